@@ -27,14 +27,9 @@ IPV4 = (
     r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$"
 )
 
-# Date texts that are recognised; a fixed list, tried in order.
-TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]",
-    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][.SSS][XXX]",
-    "yyyy/MM/dd",
-    "M/d/yyyy",
-)
+# Date texts that are recognised next to ISO dates and times; tried in order.
+TIMESTAMP_FORMATS = ("yyyy/M/d", "yyyy/M/d HH:mm:ss", "M/d/yyyy", "M/d/yyyy HH:mm:ss", "MMM d, yyyy", "d MMM yyyy")
+ISO_START = r"^\d{4}-\d{1,2}-\d{1,2}"
 
 
 def col(name: str) -> Column:
@@ -54,15 +49,25 @@ def text(c: Column) -> Column:
     return c.cast("string")
 
 
+# The characters that count as white space at a cell's ends.
+WHITE = " \t\n\r\x0b\x0c\u00a0\u2028\u2029\ufeff"
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only spaces."""
-    return F.regexp_replace(text(c), r"^\s+|\s+$", "")
+    return F.trim(text(c), F.lit(WHITE))
 
 
 def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+def blank_cell(df: DataFrame, name: str) -> Column:
+    """Blank test of a table's column; only text can be blank without being null."""
+    c = col(name)
+    return is_blank(c) if isinstance(dtype(df, name), T.StringType) else c.isNull()
+
+
 def holds(pred: Column) -> Column:
     """A predicate with unknown taken as false."""
     return F.coalesce(pred, F.lit(False))
@@ -93,9 +98,12 @@ def half_up(c: Column, places: int = 2) -> Column:
 
 
 def timestamp(c: Column) -> Column:
-    """The instant a text names, null when no listed format fits."""
+    """The instant a text names, null when it is neither ISO nor in a listed format."""
     cell = strip(c)
-    return F.coalesce(*[F.try_to_timestamp(cell, F.lit(f)) for f in TIMESTAMP_FORMATS])
+    others = [F.try_to_timestamp(cell, F.lit(f)) for f in TIMESTAMP_FORMATS]
+    return F.when(cell.rlike(ISO_START), cell.try_cast("timestamp")).when(
+        cell.rlike(r"\d{4}"), F.coalesce(*others)
+    )
 
 
 def is_date_text(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,7 +65,13 @@ def _keep_one(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def comparison_join(a: DataFrame, b: DataFrame, keys: Sequence[str], row: str = ROW) -> DataFrame:
+def comparison_join(
+    a: DataFrame,
+    b: DataFrame,
+    keys: Sequence[str],
+    row: str = ROW,
+    normalise: Callable[[Column], Column] = text,
+) -> DataFrame:
     """Full outer join on a key, last duplicate winning, as structs ``a`` and ``b``.
 
     Both sides hold one row per key after the dedup, so no key can be hot. Null
@@ -73,7 +79,9 @@ def comparison_join(a: DataFrame, b: DataFrame, keys: Sequence[str], row: str =
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        normal = [F.coalesce(text(col(k)), F.lit("")).alias(f"_key{i}") for i, k in enumerate(keys)]
+        normal = [
+            F.coalesce(normalise(col(k)), F.lit("")).alias(f"_key{i}") for i, k in enumerate(keys)
+        ]
         data = [col(c) for c in df.columns if c != row]
         slim = df.select(*normal, F.struct(*data).alias(name), F.col(row).alias("_order"))
         names = [f"_key{i}" for i in range(len(keys))]

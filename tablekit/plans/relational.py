@@ -214,10 +214,17 @@ def _(t):
     return edit.with_position(df, [*edit.sort_order(df, "label", kind="natural"), F.col("p_partkey")])
 
 
-@query("lim2_head", "SELECT 15 AS n, count(*) >= 15 AS enough FROM events")
+@query(
+    "lim2_head_items",
+    """SELECT doc_id, len(string_split(text, chr(10))) AS lines,
+       array_to_string(list_slice(string_split(text, chr(10)), 1, 15), '|') AS sample FROM documents""",
+)
 def _(t):
-    return edit.head(t.events, 15).agg(
-        F.count(F.lit(1)).cast("int").alias("n"), (F.count(F.lit(1)) == 15).alias("enough")
+    lines = F.split("text", "\n", -1)
+    return t.documents.select(
+        "doc_id",
+        F.size(lines).cast("bigint").alias("lines"),
+        F.array_join(edit.head_items(lines, 15), "|").alias("sample"),
     )
 
 
