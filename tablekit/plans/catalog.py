@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tablekit.plans import quality, relational  # noqa: F401
+from tablekit.plans import documents_json, quality, relational  # noqa: F401
 from tablekit.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
