@@ -6,13 +6,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablekit.functions.coerce import col, dtype
 from tablekit.operators.agg import median
 from tablekit.operators.profile import missing_rates
-from tablekit.operators.rows import ROW, dense_rows
+from tablekit.operators.rows import ROW, running_total
 from tablekit.session import cut
 
 
@@ -122,30 +122,33 @@ def knn(
 ) -> DataFrame:
     """Fill ``target`` from the ``k`` rows nearest in ``feature`` that have it.
 
-    Exact. Donors are numbered in feature order; the ``k`` nearest of a row are
-    among the ``k`` donors before and the ``k`` after its place, so each gap
-    looks up 2k places and no pair of rows is compared beyond those. Donors with
-    equal features are ordered by row; rows without the feature stay as they are.
+    Exact; among equally near donors the lower row number wins. Donors are
+    numbered in feature order, of which at most ``k`` per feature value can
+    matter. The ``k`` nearest of a row are then among the 2k donors before its
+    place (whole groups of equal features) and the ``k`` after it, so each gap
+    looks up 3k places. Rows without the feature stay as they are.
     """
-    known = df.filter(col(target).isNotNull() & col(feature).isNotNull())
+    per_value = Window.partitionBy(col(feature)).orderBy(row)
+    known = (
+        df.filter(col(target).isNotNull() & col(feature).isNotNull())
+        .withColumn("_rn", F.row_number().over(per_value))
+        .filter(F.col("_rn") <= k)
+    )
     gaps = df.filter(col(target).isNull() & col(feature).isNotNull())
-    # Donors and gaps are placed in one order; a donor of equal feature sorts first.
     both = known.select(
         col(feature).cast("double").alias("f"), col(target).cast("double").alias("t"), F.col(row).alias("r")
     ).unionByName(
         gaps.select(col(feature).cast("double").alias("f"), F.lit(None).cast("double").alias("t"), F.col(row).alias("r"))
     )
-    from tablekit.operators.rows import running_total
-
     placed = running_total(both.withColumn("gap", F.col("t").isNull()), ["f", "gap", "r"], F.when(F.col("t").isNotNull(), 1).otherwise(0), "place")
     donors = placed.filter("not gap").select("place", F.col("f").alias("df"), F.col("t").alias("dt"), F.col("r").alias("dr"))
     looks = placed.filter("gap").select(
-        "r", "f", F.explode(F.sequence(F.col("place") - k, F.col("place") + k - 1)).alias("place")
+        "r", "f", F.explode(F.sequence(F.col("place") - 2 * k, F.col("place") + k - 1)).alias("place")
     )
     near = looks.join(donors, "place").select(
         "r", F.struct(F.abs(F.col("f") - F.col("df")).alias("d"), F.col("dr"), F.col("dt")).alias("s")
     )
-    # At most 2k entries per gap.
+    # At most 3k entries per gap.
     best = near.groupBy("r").agg(F.slice(F.array_sort(F.collect_list("s")), 1, k).alias("s"))
     if weighted:
         weight = F.transform("s", lambda x: F.lit(1.0) / F.greatest(x["d"], F.lit(1e-9)))

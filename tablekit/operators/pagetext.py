@@ -237,7 +237,11 @@ def export_lines(
             F.lit(f'<?xml version="1.0" encoding="UTF-8"?><Document version="{version}" pageCount="'), count, F.lit('"><Pages>')
         )
         foot = F.lit("</Pages></Document>")
+
+    def edge(line: Column, text: Column) -> Column:
+        return F.struct(line.cast("bigint").alias("line_no"), text.alias("text"))
+
     frame = lengths.select(
-        doc, F.inline(F.array(F.struct(F.lit(0).cast("bigint").alias("line_no"), head.alias("text")), F.struct(F.col("_n") + 1, foot)))
+        doc, F.inline(F.array(edge(F.lit(0), head), edge(F.col("_n") + 1, foot)))
     )
     return body.unionByName(frame)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,30 +18,35 @@ def with_row(df: DataFrame, name: str = ROW) -> DataFrame:
 
 
 def running_total(
-    df: DataFrame, order_by: Sequence[str | Column], weight: Column, out: str
+    df: DataFrame, order_by: Sequence[str | Column], weight: Column | Mapping[str, Column], out: str = ""
 ) -> DataFrame:
     """Add the sum of ``weight`` over all rows that sort before this one.
 
     The rows are range-partitioned on ``order_by`` (which must identify a row,
     so that no key can fill one partition), written once, and summed inside
     each partition. Only one row per partition takes part in the step that
-    turns partition sums into offsets.
+    turns partition sums into offsets. Several sums are given as ``{out: weight}``.
     """
-    placed = _placed(df.withColumn("_w", weight), order_by).withColumn(
-        "_part", F.shiftright("_id", 33)
+    weights = dict(weight) if isinstance(weight, Mapping) else {out: weight}
+    w = {name: f"_rt_w{i}" for i, name in enumerate(weights)}
+    placed = _placed(df.withColumns({w[n]: c for n, c in weights.items()}), order_by).withColumn(
+        "_rt_part", F.shiftright("_rt_id", 33)
     )
-    sums = placed.groupBy("_part").agg(F.sum("_w").alias("_sum"))
+    sums = placed.groupBy("_rt_part").agg(*[F.sum(w[n]).alias("_rt_s" + n) for n in weights])
     # One row per partition: its size is the partition count, never the data.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_rt_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")
+        "_rt_part",
+        *[F.coalesce(F.sum("_rt_s" + n).over(before), F.lit(0)).alias("_rt_o" + n) for n in weights],
     )
-    inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_rt_part").orderBy("_rt_id").rowsBetween(Window.unboundedPreceding, -1)
+    totals = {
+        n: (F.col("_rt_o" + n) + F.coalesce(F.sum(w[n]).over(inside), F.lit(0))).cast("bigint") for n in weights
+    }
     return (
-        placed.withColumn("_inside", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(out, (F.col("_offset") + F.col("_inside")).cast("bigint"))
-        .drop("_w", "_id", "_part", "_offset", "_inside")
+        placed.join(F.broadcast(offsets), "_rt_part")
+        .withColumns(totals)
+        .drop("_rt_id", "_rt_part", *w.values(), *["_rt_o" + n for n in weights])
     )
 
 
@@ -54,26 +59,26 @@ def dense_rows(
     place inside the partition.
     """
     placed = _placed(df, order_by)
-    part = F.shiftright("_id", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    part = F.shiftright("_rt_id", 33)
+    sizes = placed.groupBy(part.alias("_rt_part")).agg(F.count(F.lit(1)).alias("_rt_n"))
     # One row per partition: its size is the partition count, never the data.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_rt_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        "_rt_part", F.coalesce(F.sum("_rt_n").over(before), F.lit(0)).alias("_rt_offset")
     )
-    local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    local = F.col("_rt_id").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + local + F.lit(start))
-        .drop("_id", "_part", "_offset")
+        placed.withColumn("_rt_part", part)
+        .join(F.broadcast(offsets), "_rt_part")
+        .withColumn(name, F.col("_rt_offset") + local + F.lit(start))
+        .drop("_rt_id", "_rt_part", "_rt_offset")
     )
 
 
 def _placed(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
-    """The rows range-sorted and written once, with ``_id`` = partition * 2^33 + place."""
+    """The rows range-sorted and written once, with ``_rt_id`` = partition * 2^33 + place."""
     return cut(
         df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
-        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("_rt_id", F.monotonically_increasing_id())
     )

@@ -225,7 +225,13 @@ def _(t):
     return pagetext.document_profile(t.conversations, "conv_id")
 
 
-@query("txt3_lines")
+@query(
+    "txt3_lines",
+    r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(text), '[ \t\n\r\x0b\x0c]+'), lambda x: true) AS w FROM conversations),
+         i AS (SELECT conv_id AS doc, turn AS page, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word, len(w) AS n FROM t)
+       SELECT doc, page, CAST(floor(i / 8) + 1 AS BIGINT) AS line_no, string_agg(word || CASE WHEN i % 8 = 7 OR i = n - 1 OR length(word) <= 2 THEN '' ELSE ' ' END, '' ORDER BY i) AS text
+       FROM i GROUP BY 1, 2, 3""",
+)
 def _(t):
     # Words of each conversation turn set on lines of eight, as positioned items.
     words = t.conversations.select("conv_id", "turn", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("i", "text"))
@@ -370,10 +376,17 @@ def _(t):
     return impute.label(gaps(t).select("event_id", "event_type"), "event_type")
 
 
-@query("imp7_knn")
+@query(
+    "imp7_knn",
+    f"""WITH g AS (SELECT event_id, value, CAST(event_id * 3 % 1009 AS DOUBLE) AS f FROM ({GAPS})),
+         n AS (SELECT a.event_id, b.value FROM g a JOIN g b ON a.value IS NULL AND b.value IS NOT NULL
+               QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.f - b.f), b.event_id) <= 5)
+       SELECT event_id, coalesce(value, m) AS value FROM g LEFT JOIN (SELECT event_id, floor(avg(value) * 1e6 + 0.5) / 1e6 AS m FROM n GROUP BY 1) USING (event_id)""",
+)
 def _(t):
     df = gaps(t).withColumn("f", F.col("event_id").cast("double") * 3 % 1009)
-    return impute.knn(df, "value", "f", 5, row="event_id").select("event_id", "value")
+    out = impute.knn(df, "value", "f", 5, row="event_id")
+    return out.select("event_id", (F.floor(F.col("value") * 1e6 + 0.5).cast("double") / 1e6).alias("value"))
 
 
 @query("imp8_mice")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,20 +40,34 @@ def local_session(cores: str | int = "*", name: str = "tablekit") -> SparkSessio
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a local one in tests."""
+    global _local_folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if _local_folder is None:
+            _local_folder = tempfile.mkdtemp(prefix="tablekit-")
+        folder = _local_folder
+    return folder
+
+
+_local_folder: str | None = None
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` to the shared folder and read it back.
 
     Used where two passes must see the same rows in the same partitions, or
-    where an iterative job would grow its plan without end. The folder is the
-    one the cluster names in ``spark.checkpoint.dir``.
+    where an iterative job would grow its plan without end.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tablekit-checkpoint-")
-        sc.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
