@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,35 +131,50 @@ def top_values(long: DataFrame, k: int = 3) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_first")
 
 
+# Share of the rows on each side of the middle that the bracket holds, and the
+# sketch accuracy, whose error (1 / ACCURACY) is well inside it.
+BRACKET = 0.001
+ACCURACY = 10_000
+
+
 def median(df: DataFrame, cols: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    """Exact median per group by counting, with no group held in one task.
+    """Exact median per group, with no group held or sorted in one task.
 
-    Values are counted first; a running total over (group, value) then gives
-    the places each value fills, and only the one or two values that cover the
-    middle are kept.
+    A sketch per group gives two values that are sure to enclose the middle.
+    Rows below them are counted; only values between them, about 0.2 % of the
+    rows, are placed by a running total over (group, value), and the one or two
+    that cover the middle are kept.
     """
-    groups = [col(c).alias(f"_g{i}") for i, c in enumerate(cols)]
     names = [f"_g{i}" for i in range(len(cols))]
     v = number(col(value), dtype(df, value))
+    data = df.select(*[col(c).alias(n) for c, n in zip(cols, names)], v.alias("_v")).filter(F.col("_v").isNotNull())
+    bounds = data.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("_size"),
+        F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("_b"),
+    )
+    if names:
+        marks = bounds.select(*[F.col(n).alias("_m" + n) for n in names], "_size", "_b")
+        same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col("_m" + n)) for n in names])
+        near = data.join(marks, same)
+    else:
+        near = data.withColumn("_s", bounds.select(F.struct("_size", "_b").alias("s")).scalar()).select("_v", "_s.*")
+    low, high = F.col("_b")[0], F.col("_b")[1]
+    # All values below the bracket count as one, so their rows are only counted.
     counts = (
-        df.select(*groups, v.alias("_v")).filter(F.col("_v").isNotNull())
-        .groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_n"))
+        near.filter(F.col("_v") <= high)
+        .groupBy(*names, "_size", F.when(F.col("_v") >= low, F.col("_v")).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    placed = running_total(counts, names + ["_v"], F.col("_n"), "_before")
-    sizes = placed.groupBy(*names).agg(F.sum("_n").alias("_size"), F.min("_before").alias("_start"))
-    at = F.col("_before") - F.col("_start")
-    lower = F.floor((F.col("_size") - 1) / 2)
-    upper = F.floor(F.col("_size") / 2)
+    placed = running_total(counts, [*names, "_v"], F.col("_n"), "_before")
+    starts = placed.groupBy(*names).agg(F.min("_before").alias("_start"))
     if names:
-        same = [placed[n].eqNullSafe(sizes[n]) for n in names]
-        cond = same[0]
-        for s in same[1:]:
-            cond = cond & s
-        both = placed.join(sizes, cond).select(placed["*"], "_size", "_start")
+        firsts = starts.select(*[F.col(n).alias("_f" + n) for n in names], "_start")
+        both = placed.join(firsts, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col("_f" + n)) for n in names]))
     else:
-        one = sizes.select(F.struct("_size", "_start").alias("s")).scalar()
-        both = placed.withColumn("_s", one).select("*", "_s._size", "_s._start")
-    middle = both.filter((at <= upper) & (at + F.col("_n") > lower))
+        both = placed.withColumn("_start", starts.scalar())
+    at = F.col("_before") - F.col("_start")
+    lower, upper = F.floor((F.col("_size") - 1) / 2), F.floor(F.col("_size") / 2)
+    middle = both.filter(F.col("_v").isNotNull() & (at <= upper) & (at + F.col("_n") > lower))
     return (
         middle.groupBy(*names)
         .agg(F.avg("_v").alias(out))

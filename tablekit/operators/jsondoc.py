@@ -74,7 +74,6 @@ def node_table(
     )
     out = (
         df.select(*[col(k) for k in keep], variant(df, json).alias("_v"))
-        .filter(F.col("_v").isNotNull())
         .select(*[col(k) for k in keep], root.alias("_n"))
     )
     for level in range(1, steps + 1):
@@ -83,7 +82,8 @@ def node_table(
             n["depth"] == level, F.concat(F.array(n), F.coalesce(*_children(n), F.slice(F.array(n), 1, 0)))
         ).otherwise(F.array(n))
         out = out.select(*[col(k) for k in keep], F.explode(nodes).alias("_n"))
-    return out.select(*[col(k) for k in keep], "_n.*")
+    # Texts that are no JSON are dropped here: an earlier filter would parse twice.
+    return out.filter(F.col("_n.v").isNotNull()).select(*[col(k) for k in keep], "_n.*")
 
 
 def _children(n: Column) -> tuple[Column, Column]:

@@ -17,6 +17,16 @@ def with_row(df: DataFrame, name: str = ROW) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan that has fewer partitions than cores to all cores.
+
+    For costly row-local work over few files. A scan with enough partitions is
+    left alone, so a large input is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def running_total(
     df: DataFrame, order_by: Sequence[str | Column], weight: Column | Mapping[str, Column], out: str = ""
 ) -> DataFrame:

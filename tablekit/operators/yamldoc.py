@@ -24,6 +24,8 @@ def from_json(c: Column, flow: bool = False) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         import yaml
 
+        dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
+
         def one(text):
             if text is None:
                 return None
@@ -31,13 +33,13 @@ def from_json(c: Column, flow: bool = False) -> Column:
                 value = json.loads(text)
             except ValueError:
                 return None
-            return yaml.safe_dump(
-                value, sort_keys=False, allow_unicode=True, default_flow_style=flow, width=2**31 if flow else 80
+            return yaml.dump(
+                value, Dumper=dumper, sort_keys=False, allow_unicode=True, default_flow_style=flow, width=2**30 if flow else 80
             ).strip()
 
         return texts.map(one)
 
-    return run(c)
+    return run.asNondeterministic()(c)
 
 
 def minify(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablekit.functions.jsonpaths import as_double, as_text
 from tablekit.operators import jsondoc, jsonedit, jsonschema
+from tablekit.operators.rows import spread
 from tablekit.plans.registry import query
 
 # One nested document per event, as the same text on both sides.
@@ -24,7 +25,8 @@ def docs(t):
         F.lit('{"id":'), s("event_id"), F.lit(',"user":{"n":'), s("user_id"), F.lit(',"tags":["'), F.col("event_type"),
         F.lit('",null,true]},"p":'), F.col("props"), v, F.lit(',"e":[],"o":{}}'),
     )
-    return t.events.select("event_id", text.alias("doc"))
+    # Walking documents is costly per row, so small files go to all cores.
+    return spread(t.events).select("event_id", text.alias("doc"))
 
 
 TYPE = """CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean'

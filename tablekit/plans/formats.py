@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablekit.functions.coerce import col
 from tablekit.operators import geo, jsondoc, xmldoc, yamldoc
+from tablekit.operators.rows import spread
 from tablekit.plans.ledgers import TX, sheet_of, transactions
 from tablekit.plans.places import XY, sites
 from tablekit.plans.registry import query
@@ -198,11 +199,10 @@ def _(t):
 def _(t):
     folder = new_folder(t.spark)
     rows, head = texts.markdown_rows(t.part.select("p_partkey", "p_name", "p_brand"))
-    # Every file is a table of its own, so each gets the head.
-    first = rows.withColumn("_p", F.spark_partition_id()).groupBy("_p").agg(F.min("p_partkey").alias("p_partkey"))
-    led = rows.join(first.select("p_partkey", F.lit(True).alias("_lead")), "p_partkey", "left")
-    text = F.when(F.col("_lead"), F.concat(F.lit(head + "\n"), "text")).otherwise(F.col("text"))
-    texts.write_lines(led.repartition(1, F.lit(1)).sortWithinPartitions(F.col("_lead").desc_nulls_last()).select(text.alias("text")), folder)
+    # Every file is a table of its own, so the first row of each gets the head.
+    leads = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    text = F.when(leads, F.concat(F.lit(head + "\n"), "text")).otherwise(F.col("text"))
+    texts.write_lines(rows.select(text.alias("text")), folder)
     return tables.read_markdown(t.spark, folder).drop("_row")
 
 
@@ -418,7 +418,7 @@ def order_xml(t):
         F.lit('<order id="'), k, F.lit('" class="big '), F.lower(s), F.lit('"><item n="1">A</item><item n="2">'), F.col("o_orderpriority"),
         F.lit("</item><sum>"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("</sum><note/><!-- c --><raw><![CDATA[<x>]]></raw></order>"),
     )
-    return t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", small.alias("small"), big.alias("xml"))
+    return spread(t.orders).select("o_orderkey", "o_orderstatus", "o_orderpriority", small.alias("small"), big.alias("xml"))
 
 
 @query(
@@ -563,7 +563,7 @@ def event_yaml(t):
         F.lit("# head\nid: "), F.col("event_id").cast("string"), F.lit("\nkind: "), F.col("event_type"), F.lit(" # tail\nuser:\n  n: "),
         F.col("user_id").cast("string"), F.lit("\n  none: null\nlist: [a, b]"),
     )
-    return t.events.select("event_id", "event_type", "user_id", text.alias("yaml"))
+    return spread(t.events).select("event_id", "event_type", "user_id", text.alias("yaml"))
 
 
 @query(
@@ -621,14 +621,21 @@ def _(t):
     return event_yaml(t).select("event_id", yamldoc.minify(F.col("yaml")).alias("yaml"))
 
 
-@query("fin1_flatten", f"SELECT CAST(account AS VARCHAR) AS account, 'Bank' AS account_type, 'USD' AS currency, id, amount FROM ({TX})")
+@query(
+    "fin1_flatten",
+    f"""SELECT account, 'Bank' AS account_type, 'USD' AS currency, id, amount FROM ({TX}) UNION ALL SELECT account, 'Bank', 'USD', -id, -amount FROM ({TX})""",
+)
 def _(t):
     from tablekit.operators import ledger
 
-    # Accounts nested as they come from a document; an account is one cell here.
-    tx = transactions(t)
-    nested = tx.groupBy(col("account").alias("account_id")).agg(F.collect_list(F.struct("id", "amount")).alias("transactions"))
-    accounts = nested.select("account_id", F.lit("").alias("name"), F.lit(None).cast("string").alias("type"), F.lit("").alias("currency"), "transactions")
+    # One statement per order, with a transaction and its reversal.
+    pair = F.array(
+        F.struct("id", "amount"), F.struct((-F.col("id")).alias("id"), (-F.col("amount")).cast("decimal(18,2)").alias("amount"))
+    )
+    accounts = transactions(t).select(
+        col("account").alias("account_id"), F.lit("").alias("name"), F.lit(None).cast("string").alias("type"),
+        F.lit("").alias("currency"), pair.alias("transactions"),
+    )
     return ledger.flatten_statement(accounts)
 
 

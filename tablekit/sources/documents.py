@@ -61,7 +61,8 @@ def yaml_to_json(c: Column) -> Column:
 
         return texts.map(one)
 
-    return run(c)
+    # Not to be run again where a later filter looks at the result.
+    return run.asNondeterministic()(c)
 
 
 def _key(k: Any) -> str:
