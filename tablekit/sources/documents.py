@@ -72,7 +72,8 @@ def _key(k: Any) -> str:
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     """One row per YAML document: ``file, json, v``; files are cut at document marks."""
     chunks = without_bom(pieces(spark, path, "\n---"))
-    text = F.regexp_replace("value", r"^---", "")
+    # The line end before a document mark went with the cut.
+    text = F.concat(F.regexp_replace("value", r"^---", ""), F.lit("\n"))
     docs = chunks.withColumn("text", text).filter(strip(F.regexp_replace("text", r"(?m)^\s*#.*$", "")) != "")
     out = docs.select("file", "block", "_seq", yaml_to_json(F.col("text")).alias("json"))
     return out.withColumn("v", F.try_parse_json("json"))
