@@ -117,18 +117,30 @@ def distinct_keys(df: DataFrame, json_col: str) -> DataFrame:
     return df.select(F.explode(F.json_object_keys(col(json_col))).alias("key")).distinct()
 
 
-def top_values(long: DataFrame, k: int = 3) -> DataFrame:
-    """Top ``k`` values per column of a long table ``(column, value, _row)``.
+# Pieces a group is ranked in before its best rows meet.
+PIECES = 32
+
+
+def top_k(df: DataFrame, group: str, spread_by: str, order: Sequence[Column | str], k: int) -> DataFrame:
+    """The first ``k`` rows of each group, with their ``rank``.
 
-    Ties go to the value seen first. ``percentage`` is of ``total`` rows.
+    A group is ranked in pieces first, so a group that holds most rows is not
+    one task; at most ``k`` rows of each piece are ranked again.
     """
+    piece = F.pmod(F.xxhash64(spread_by), F.lit(PIECES))
+    pieces = Window.partitionBy(group, "_piece").orderBy(*order)
+    best = df.withColumn("_piece", piece).withColumn("_rn", F.row_number().over(pieces)).filter(F.col("_rn") <= k)
+    whole = Window.partitionBy(group).orderBy(*order)
+    return best.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k).drop("_piece", "_rn")
+
+
+def top_values(long: DataFrame, k: int = 3) -> DataFrame:
+    """Top ``k`` values per column of a long table ``(column, value, _row)``; ties go to the value seen first."""
     counts = (
         long.groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("count"), F.min(ROW).alias("_first"))
     )
-    # Planned with a per-task limit of k rows per column ahead of the shuffle.
-    w = Window.partitionBy("column").orderBy(F.desc("count"), "_first")
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_first")
+    return top_k(counts, "column", "value", [F.desc("count"), "_first"], k).drop("_first")
 
 
 # Share of the rows on each side of the middle that the bracket holds, and the

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.functions.coerce import (
@@ -17,6 +17,7 @@ from tablekit.functions.coerce import (
     is_date_text,
     strip,
 )
+from tablekit.operators.agg import top_k
 from tablekit.operators.rows import ROW
 
 
@@ -128,13 +129,7 @@ def top_frequencies(
     ties = ["first_row"] if "first_row" in counts.columns else ["value"]
     # One row per column of the table.
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    # Planned with a per-task limit of k rows per column ahead of the shuffle.
-    w = Window.partitionBy("column").orderBy(F.desc("n"), *ties)
-    best = (
-        counts.filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-    )
+    best = top_k(counts.filter(F.col("value").isNotNull()), "column", "value", [F.desc("n"), *ties], k)
     return best.join(F.broadcast(totals), "column").select(
         "column",
         "rank",
