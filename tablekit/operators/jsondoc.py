@@ -28,7 +28,6 @@ from tablekit.functions.jsonpaths import (
     descend,
     json_type,
 )
-from tablekit.functions.jsonpaths import tokens as path_tokens
 
 
 def variant(df: DataFrame, name: str) -> Column:

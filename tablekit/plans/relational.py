@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablekit.functions.coerce import half_up
 from tablekit.operators import agg, edit, joins
 from tablekit.operators.rows import dense_rows
 from tablekit.plans.registry import query
