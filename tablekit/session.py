@@ -1,12 +1,14 @@
-"""Session settings and the one place where lineage is cut."""
+"""Session settings, the shared folder, and the one place where lineage is cut."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import tablekit
+
 # Settings every job here relies on. They are runtime settings, so they can be
 # put on a session the cluster has already started.
 RUNTIME_CONF = {
@@ -23,6 +25,9 @@ RUNTIME_CONF = {
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    # Functions of this package travel to the Python workers inside the task,
+    # so workers need neither the package nor a common working folder.
+    cloudpickle.register_pickle_by_value(tablekit)
     return spark
 
 
@@ -41,24 +46,28 @@ def local_session(cores: str | int = "*", name: str = "tablekit") -> SparkSessio
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one in tests."""
-    global _local_folder
+    """The folder all executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        if _local_folder is None:
-            _local_folder = tempfile.mkdtemp(prefix="tablekit-")
-        folder = _local_folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_tablekit"
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A fresh path in the shared folder; it goes when the session's JVM ends, or by ``remove``."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path, fs = _located(spark, folder)
+    fs.deleteOnExit(path)
     return folder
 
 
-_local_folder: str | None = None
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``new_folder`` gave, once nothing reads it any more."""
+    path, fs = _located(spark, folder)
+    fs.delete(path, True)
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+def _located(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def cut(df: DataFrame) -> DataFrame:
