@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekit.llm import dialogues, licenses, linededup, packing, quality, toxicity, warc
+from tablekit.llm import decontaminate, dialogues, licenses, linededup, ngramjoin, packing, quality, toxicity, warc
 from tablekit.llm.base import crc_remainder, prepare
 from tablekit.session import new_folder
 
@@ -155,8 +155,8 @@ w AS (
 k AS (SELECT *, array_to_string(ws, ' ') AS h, doc_id * 1000000 + no AS pos FROM w WHERE len(ws) >= 5),
 f AS (SELECT h, any_value(ws) AS ws, min(pos) AS first FROM k GROUP BY h),
 c AS (
-  SELECT h, first, unnest(range(1, len(ws) + 1)) AS i, unnest(list_transform(range(1, len(ws) + 1),
-    x -> array_to_string(list_concat(ws[1:x - 1], ws[x + 1:]), ' '))) AS v
+  SELECT h, first, unnest(range(1, len(ws) + 1)) AS i, unnest([
+    array_to_string(list_concat(ws[1:x - 1], ws[x + 1:]), ' ') FOR x IN range(1, len(ws) + 1)]) AS v
   FROM f WHERE len(ws) >= 8),
 near AS (
   SELECT h FROM (SELECT h, first, min(first) OVER (PARTITION BY v, i) AS m FROM c) WHERE m < first
@@ -171,3 +171,15 @@ SELECT l.doc_id, count(*) AS n_lines, count(d.no) AS n_dropped,
 FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.no = l.no
 GROUP BY l.doc_id
 """
+
+
+@_query
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that stand in documents."""
+    return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near-equal documents."""
+    return ngramjoin.near_duplicates(_table(spark, folder, "documents"))
