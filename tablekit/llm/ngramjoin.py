@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,26 +106,26 @@ class Join:
         )
 
     def run(self) -> DataFrame:
-        """``doc``, ``n``, and ``component``: the class (``s1``) all linked classes are known by, null without tokens."""
+        """``doc``, ``content``, ``n``, and ``component``: what all linked classes are known by, null without tokens."""
         sets = self.scratch.store(self.sets(), "sets")
+        first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "content")).alias("first")
         classes = self.scratch.store(
             sets.where("n > 0")
             .groupBy("s1", "s2")
-            .agg(
-                F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "content")).alias("first"),
-                F.any_value("n").alias("n"),
-                F.any_value("front").alias("front"),
-            )
+            .agg(first, F.any_value("n").alias("n"), F.any_value("front").alias("front"))
             .select(F.col("s1").alias("id"), "first", "n", "front"),
             "classes",
         )
+        names = self.scratch.store(sets.drop("front", "s2"), "names")
+        self.scratch.drop("sets")
         lists = self.lists(classes)
-        edges = self.linked(lists, classes)
+        firsts = self.scratch.store(classes.select("id", "first"), "firsts")
+        self.scratch.drop("classes")
+        edges = self.linked(lists, firsts)
         own = components(edges, self.scratch).select(F.col("node").alias("s1"), "component")
-        found = sets.drop("front").join(own, "s1", "left").select(
-            "doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "s1")).alias("component")
+        return names.join(own, "s1", "left").select(
+            "doc", "content", "n", F.when(F.col("n") > 0, F.coalesce("component", "s1")).alias("component")
         )
-        return found
 
     def sets(self) -> DataFrame:
         """Size, name and counted part of every document's set."""
@@ -322,3 +322,30 @@ def near_duplicates(
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"),
     )
+
+
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``: that with the smallest key.
+
+    Rows with equal keys stand in the order of a hash of their texts, null keys last;
+    of fully repeated rows one stays. Rows without words all stay.
+    """
+    join = Join(docs, key, text, width, num, den)
+    found = join.scratch.store(join.run().where("n > 0"), "found")
+    at = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "content")
+    first = found.groupBy("component").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    goes = found.join(first, "component").where(at != F.col("first")).select("doc", "content").distinct()
+    goes = join.scratch.store(goes, "goes")
+    few = goes.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    rows = docs.withColumn("_content", F.xxhash64(text_of(text)))
+    same = F.col(key).eqNullSafe(F.col("doc")) & (F.col("_content") == F.col("content"))
+    rows = rows.join(F.broadcast(goes) if few else goes, same, "left_anti")
+    again = found.groupBy("doc", "content").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    again = join.scratch.store(again.select("doc", "content"), "again")
+    if again.isEmpty():
+        return rows.drop("_content")
+    place = F.row_number().over(Window.partitionBy(key, "_content").orderBy(F.lit(1)))
+    one = rows.join(again, same, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    return rows.join(again, same, "left_anti").unionByName(one).drop("_content")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekit.llm import decontaminate, dialogues, licenses, linededup, ngramjoin, packing, quality, toxicity, warc
+from tablekit.llm import decontaminate, dialogues, hmm, licenses, linededup, ngramjoin, packing, quality, toxicity, warc
 from tablekit.llm.base import crc_remainder, prepare
 from tablekit.session import new_folder
 
@@ -183,3 +183,9 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of near-equal documents."""
     return ngramjoin.near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query
+def op8_hmm_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities of all documents under a model of those that are not held out."""
+    return hmm.score_texts(_table(spark, folder, "documents"), crc_remainder(F.col("doc_id"), 7) != 2)
