@@ -149,7 +149,10 @@ def encoded(docs: DataFrame, key: str, text: str, train: Column, lexicon: Lexico
     table, divisor = lexicon.table, lexicon.divisor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: (s, float(np.log10(n + 1)), n > 0) for w, (s, n) in table.value.items()}
+        place = {w: i for i, w in enumerate(table.value)}
+        symbol_of = np.array([s for s, _ in table.value.values()], dtype=np.uint16)
+        log_of = np.log10(np.array([n for _, n in table.value.values()], dtype=float) + 1)
+        seen_of = np.array([n > 0 for _, n in table.value.values()])
         other: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             if len(other) > 1 << 19:
@@ -157,20 +160,24 @@ def encoded(docs: DataFrame, key: str, text: str, train: Column, lexicon: Lexico
             symbols, tokens, sure, logs, parts, rest = [], [], [], [], [], []
             for t in batch.column(3):
                 words = words_of(t.as_py())
-                own = [known.get(w) for w in words]
+                at = np.array([place.get(w, -1) for w in words])
+                new = np.flatnonzero(at < 0)
+                seq, plus, seen = symbol_of[at], log_of[at], seen_of[at]
+                plus[new], seen[new] = 0.0, False
                 row: list[int] = []
-                for i, w in enumerate(words):
-                    if own[i] is None:
-                        made = other.get(w)
-                        if made is None:
-                            made = other[w] = (ending(w, settings), xxhash.xxh3_64_intdigest(w) - (1 << 63))
-                        own[i] = (made[0], 0.0, False)
-                        row.append(made[1])
-                seq = np.array([s for s, _, _ in own], dtype=np.uint16)
-                plus = np.array([x for _, x, _ in own])
+                if len(new):
+                    made = []
+                    for i in new.tolist():
+                        w = words[i]
+                        known = other.get(w)
+                        if known is None:
+                            known = other[w] = (ending(w, settings), xxhash.xxh3_64_intdigest(w) - (1 << 63))
+                        made.append(known)
+                    own, row = zip(*made)
+                    seq[new] = own
                 symbols.append(seq.tobytes())
                 tokens.append(len(words))
-                sure.append(sum(k for _, _, k in own))
+                sure.append(int(seen.sum()))
                 logs.append(float(plus.sum()))
                 # What words with an ending's symbol add to the score, but for the counts of the others.
                 parts.append(float((plus * (seq >= settings.own_symbols) - divisor[seq]).sum()))

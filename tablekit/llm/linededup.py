@@ -17,33 +17,38 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import LOWER, Scratch, WordHashes, key_of, prepare, text_of
+from tablekit.llm.base import LOWER, Scratch, WordHashes, prepare, text_of
 
 ORDER = ("no_id", "doc", "content", "line")
 # A list of documents of at most so many rows is sent to every task; a longer one is joined by a shuffle.
 SENT_ROWS = 200_000
 
 
-def halves(words: np.ndarray) -> list[int]:
-    """Keys of which two close lines share one: the first or second half of the shorter, as it lies in each."""
+def name_of(words: bytes) -> tuple[int, int]:
+    """Two signed numbers that name a sequence of 8-byte word hashes."""
+    digest = xxhash.xxh3_128_digest(words)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
-    def key(side: int, n: int, part: np.ndarray) -> int:
-        return key_of(np.append(part, np.uint64(2 * n + side)))[0]
 
-    n = len(words)
+def halves(words: bytes) -> list[int]:
+    """Keys of which two close lines share one: the first or second half of the shorter, as it lies in each."""
+    n = len(words) // 8
     a, b = n // 2, (n - 1) // 2
-    return [key(0, n, words[:a]), key(1, n, words[a:]), key(0, n - 1, words[:b]), key(1, n - 1, words[b + 1 :])]
+    parts = (words[: 8 * a], words[8 * a :], words[: 8 * b], words[8 * b + 8 :])
+    marks = (2 * n, 2 * n + 1, 2 * n - 2, 2 * n - 1)
+    return [xxhash.xxh3_64_intdigest(part, mark) - (1 << 63) for part, mark in zip(parts, marks)]
 
 
-def variants(words: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place left out, two key halves) of a line and of it with one word left out; place -1 for the line itself."""
-    return [(-1, *key_of(words)), *((i, *key_of(np.delete(words, i))) for i in range(len(words)))]
+def variants(words: bytes) -> list[tuple[int, int, int]]:
+    """(place left out, two numbers) of a line and of it with one word left out; place -1 for the line itself."""
+    cut = (words[:i] + words[i + 8 :] for i in range(0, len(words), 8))
+    return [(-1, *name_of(words)), *((i, *name_of(part)) for i, part in enumerate(cut))]
 
 
 def close(a: bytes, b: bytes) -> bool:
@@ -69,11 +74,16 @@ def _lines(docs: DataFrame, kind: str, min_words: int, near_words: int) -> DataF
         for batch in batches:
             rows: list[tuple] = []
             for r, text in enumerate(batch.column(1)):
-                for number, line in enumerate(text.as_py().translate(LOWER).split(b"\n")):
-                    words = line.split()
-                    if len(words) >= min_words:
-                        h = hashes(words)
-                        rows.append((r, number, *key_of(h), halves(h) if len(words) >= near_words else None))
+                lines = [line.split() for line in text.as_py().translate(LOWER).split(b"\n")]
+                # All words of a text at once; a line is a slice of 8 bytes a word.
+                every = hashes([w for words in lines for w in words]).tobytes()
+                at = 0
+                for number, words in enumerate(lines):
+                    n = len(words)
+                    if n >= min_words:
+                        own = every[8 * at : 8 * (at + n)]
+                        rows.append((r, number, *name_of(own), halves(own) if n >= near_words else None))
+                    at += n
             r, number, h1, h2, keys = zip(*rows) if rows else ((),) * 5
             at = pa.array(r, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -95,7 +105,7 @@ def _variants(docs: DataFrame, kind: str) -> DataFrame:
             for r in range(batch.num_rows):
                 lines = batch.column(1)[r].as_py().translate(LOWER).split(b"\n")
                 for number in batch.column(3)[r].as_py():
-                    made = variants(hashes(lines[number].split()))
+                    made = variants(hashes(lines[number].split()).tobytes())
                     rows += [(r, number, *v, lines[number] if v[0] < 0 else None) for v in made]
                     if len(rows) > 50_000:
                         yield _variant_batch(batch, rows)
