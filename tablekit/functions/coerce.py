@@ -22,10 +22,7 @@ EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 HTTP_URL = r"(?i)^https?://[^\s$.?#].[^\s]*$"
 ANY_URL = r"^[a-zA-Z][a-zA-Z0-9+-.]*://[^\s/$.?#].[^\s]*$"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
-IPV4 = (
-    r"^(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}"
-    r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$"
-)
+IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$"
 
 # Date texts that are recognised next to ISO dates and times; tried in order.
 TIMESTAMP_FORMATS = ("yyyy/M/d", "yyyy/M/d HH:mm:ss", "M/d/yyyy", "M/d/yyyy HH:mm:ss", "MMM d, yyyy", "d MMM yyyy")

@@ -306,3 +306,14 @@ def test_guide_frame(spark):
     assert report == {"Age": 2, "Salary": 2, "Department": 1} and impute.listwise(df).count() == 3
     filled = impute.impute(df, {"Age": "mean", "Salary": "median", "Department": "mode"}).collect()
     assert filled[1].Age == 32.5 and filled[2].Salary == 70.0 and filled[2].Department == "IT"
+
+
+def test_repair_leaves_strings_alone(spark):
+    texts = ["{a: 'see // here', b: 2}", '{"x": "a /* b */ c", y: undefined, z: [1, 2,],} // end', '{"a": 1\n "b": {c: true}\n d: [1 2]}']
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = [json.loads(r[0]) for r in df.select(jsonedit.repair(F.col("c"))).collect()]
+    assert got == [
+        {"a": "see // here", "b": 2},
+        {"x": "a /* b */ c", "y": None, "z": [1, 2]},
+        {"a": 1, "b": {"c": True}, "d": [1, 2]},
+    ]
