@@ -336,16 +336,20 @@ def keep_one(
     found = join.scratch.store(join.run().where("n > 0"), "found")
     at = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "content")
     first = found.groupBy("component").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    goes = found.join(first, "component").where(at != F.col("first")).select("doc", "content").distinct()
+    goes = found.join(first, "component").where(at != F.col("first")).select(*_row_names()).distinct()
     goes = join.scratch.store(goes, "goes")
     few = goes.limit(SENT_ROWS + 1).count() <= SENT_ROWS
     rows = docs.withColumn("_content", F.xxhash64(text_of(text)))
-    same = F.col(key).eqNullSafe(F.col("doc")) & (F.col("_content") == F.col("content"))
+    same = F.col(key).eqNullSafe(F.col("_of")) & (F.col("_content") == F.col("_with"))
     rows = rows.join(F.broadcast(goes) if few else goes, same, "left_anti")
     again = found.groupBy("doc", "content").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    again = join.scratch.store(again.select("doc", "content"), "again")
+    again = join.scratch.store(again.select(*_row_names()), "again")
     if again.isEmpty():
         return rows.drop("_content")
     place = F.row_number().over(Window.partitionBy(key, "_content").orderBy(F.lit(1)))
     one = rows.join(again, same, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
     return rows.join(again, same, "left_anti").unionByName(one).drop("_content")
+
+
+def _row_names():
+    return F.col("doc").alias("_of"), F.col("content").alias("_with")

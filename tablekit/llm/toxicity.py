@@ -39,7 +39,7 @@ class Ftrl:
     passes: int = 2
     shard_rows: int = 5000
     least_rows: int = 3
-    most_share: float = 0.2
+    most_share: float = 0.5
     sample_rows: int = 20_000
 
 
