@@ -198,11 +198,11 @@ def find_leaks(
     )
     out = spark.createDataFrame([], schema)
     for block in blocks_of(items, item_key, item_text, radius, block_items):
-        out = out.unionByName(_found(rows, spark.sparkContext.broadcast(block), schema, least))
+        out = out.unionByName(_found(rows, block, schema, least))
     return out
 
 
-def _found(rows: DataFrame, block, schema: T.StructType, least: float) -> DataFrame:
+def _found(rows: DataFrame, block: list[Items], schema: T.StructType, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -212,7 +212,7 @@ def _found(rows: DataFrame, block, schema: T.StructType, least: float) -> DataFr
             for k, t in zip(batch.column(0), batch.column(1)):
                 words = words_of(t.as_py())
                 hashed = read(words)
-                for some in block.value:
+                for some in block:
                     for item, (score, start) in some.find(words, hashed, least).items():
                         found.append((k.as_py(), some.keys[item], score, start, int(some.lengths[item])))
             columns = list(zip(*found)) or [()] * len(out)
@@ -221,8 +221,8 @@ def _found(rows: DataFrame, block, schema: T.StructType, least: float) -> DataFr
     return rows.mapInArrow(run, schema)
 
 
-def leaks(block, text: str = "text", least: float = LEAST) -> Column:
-    """Whether a text holds an item of a broadcast block."""
+def leaks(block: list[Items], text: str = "text", least: float = LEAST) -> Column:
+    """Whether a text holds an item of a block."""
 
     @F.arrow_udf(T.BooleanType())
     def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -232,7 +232,7 @@ def leaks(block, text: str = "text", least: float = LEAST) -> Column:
             for t in batch:
                 words = words_of(t.as_py())
                 hashed = read(words)
-                out.append(any(some.find(words, hashed, least) for some in block.value))
+                out.append(any(some.find(words, hashed, least) for some in block))
             yield pa.array(out, pa.bool_())
 
     return holds(text_of(text).cast("binary"))
@@ -249,7 +249,7 @@ def drop_leaks(
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """The rows of ``docs`` in which ``find_leaks`` finds no item, with all their columns."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     for block in blocks_of(items, item_key, item_text, radius, block_items):
-        docs = docs.where(~leaks(spark.sparkContext.broadcast(block), text, least))
+        docs = docs.where(~leaks(block, text, least))
     return docs

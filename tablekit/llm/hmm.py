@@ -313,19 +313,17 @@ def baum_welch(train: DataFrame, lexicon: Lexicon, settings: Settings) -> Model:
 
 def _round(train: DataFrame, model: Model, lexicon: Lexicon, settings: Settings) -> Model:
     k, s = model.emit.shape
-    sent = train.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k + k * k + k * s)
         for batch in batches:
             rows = [np.frombuffer(x.as_py(), dtype=np.uint16) for x in batch.column(0)]
-            starts, moves, emits = expected(sent.value, rows, settings)
+            starts, moves, emits = expected(model, rows, settings)
             total += np.concatenate([starts, moves.ravel(), emits.ravel()])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": at, "n": total[at]})
 
     sums = train.select("symbols").mapInArrow(run, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    sent.unpersist()
     total = np.zeros(k + k * k + k * s)
     total[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
     starts, moves, emits = total[:k] + 1.0, total[k : k + k * k].reshape(k, k) + 1.0, total[k + k * k :].reshape(k, s)
@@ -351,13 +349,13 @@ def score_texts(
     counts = scratch.store(word_counts(docs.where(train), text), "counts")
     lexicon = Lexicon(counts, settings)
     rows = scratch.store(encoded(docs, key, text, train, lexicon, settings), "rows")
-    model = spark.sparkContext.broadcast(baum_welch(rows.where("train"), lexicon, settings))
+    model = baum_welch(rows.where("train"), lexicon, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequences = [np.frombuffer(x.as_py(), dtype=np.uint16) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(log10_likelihood(model.value, sequences, settings)), *(batch.column(i) for i in range(2, batch.num_columns))],
+                [batch.column(0), pa.array(log10_likelihood(model, sequences, settings)), *(batch.column(i) for i in range(2, batch.num_columns))],
                 names=["row", "symbol_part", "key", "train", "tokens", "known", "log_counts", "word_part"],
             )
 
