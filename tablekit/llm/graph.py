@@ -14,9 +14,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Every round links neighbours to the smallest node around them; a node's
     neighbours are only ever reduced to a minimum, so hubs cost no more than their edges.
     """
-    now = scratch.store(edges.where("a <> b").select("a", "b").distinct(), "stars-0")
+    ends = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = scratch.store(ends.distinct(), "stars-0")
     step = 0
-    while True:
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: larger neighbours go to the smallest node around.
@@ -27,12 +28,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         step += 1
-        after = scratch.store(small, f"stars-{step}")
-        mark = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-        same = now.select(*mark).first() == after.select(*mark).first()
+        now = scratch.store(small, f"stars-{step}")
         scratch.drop(f"stars-{step - 1}")
-        now = after
-        if same:
-            break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every ``a`` (larger than its ``b``) has one edge and no ``b`` is an ``a``: then ``b`` names its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"))
+    )
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return not seen.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("least") == 0)))).first()[0]

@@ -225,10 +225,12 @@ class Join:
         return out
 
     def linked(self, lists: DataFrame, classes: DataFrame) -> DataFrame:
-        """Verified links between classes, enough of them to join all that are linked."""
+        """Edges that join all linked classes: components of the first verified links, and the links found after."""
         sizes = lists.groupBy("sig", "pair").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        lists = self.scratch.store(lists.join(sizes, ["sig", "pair"]), "sized")
+        self.scratch.drop("lists")
         # All pairs of a list, but for lists of pairs and of tokens that are common after all.
-        expand = lists.join(sizes.where(f"not pair and size <= {2 * FREQUENT}"), ["sig", "pair"]).select("sig", "id", "n")
+        expand = lists.where(f"not pair and size <= {2 * FREQUENT}").select("sig", "id", "n")
         other = expand.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"))
         enough = F.when((F.col("n") >= SMALL) & (F.col("n_b") >= SMALL), SHARED).otherwise(1)
         rare = (
@@ -239,9 +241,7 @@ class Join:
             .where(F.col("shared") >= enough)
             .select("a", "b")
         )
-        long = self.scratch.store(
-            lists.join(sizes.where(f"pair or size > {2 * FREQUENT}"), ["sig", "pair"]).select("sig", "id", "n", "size"), "long"
-        )
+        long = lists.where(f"pair or size > {2 * FREQUENT}").select("sig", "id", "n", "size")
         # The member that shares most lists stands for the list.
         weight = long.groupBy("id").agg(F.sum("size").alias("weight"))
         hubs = (
@@ -266,7 +266,7 @@ class Join:
         other = apart.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
         rest = self.pairs(apart.join(other, "sig").where("component <> c_b")).join(tried, ["a", "b"], "left_anti")
         more = self.verified(self.scratch.store(rest, "rest"), classes, "2")
-        return self.scratch.store(edges.unionByName(more), "edges")
+        return own.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
 
     def alike(self, a: str, b: str):
         """Whether two sizes allow a link."""
