@@ -18,8 +18,10 @@ speed depends on it, so that part is counted and not all tokens.
 
 Lists of an indexed pair, or of a token that turns out to be common, are not
 expanded. Their members are compared with the hub of the list first (the
-member that shares most lists), and only members that then still lie in
-different components are compared with each other.
+member with the smallest share of tokens of its own), and only members that then
+still lie in different components are compared with each other. A token that no other
+member of any such list has cannot be shared, so two sets of n and m tokens, of which
+a and b are met elsewhere, can link only if min(a, b) >= s * (n + m - min(a, b)).
 """
 
 from __future__ import annotations
@@ -242,32 +244,52 @@ class Join:
             .select("a", "b")
         )
         long = lists.where(f"pair or size > {2 * FREQUENT}").select("sig", "id", "n", "size")
-        # The member that shares most lists stands for the list.
+        long = self.scratch.store(long.join(self.met(long, classes), "id"), "long")
+        # The member with the smallest share of tokens of its own stands for the list, of several that in most lists.
         weight = long.groupBy("id").agg(F.sum("size").alias("weight"))
+        rank = F.struct((F.col("met") / F.col("n")).alias("share"), "weight", "id", "n", "met")
         hubs = (
             long.join(weight, "id")
             .groupBy("sig")
-            .agg(F.max(F.struct("weight", "id", "n")).alias("hub"))
-            .select("sig", F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b"))
+            .agg(F.max(rank).alias("hub"))
+            .select("sig", F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.met").alias("met_b"))
         )
-        stars = self.pairs(long.join(hubs, "sig"))
+        stars = self.pairs(long.join(hubs, "sig").where(self.can_link()))
         tried = self.scratch.store(rare.unionByName(stars).distinct(), "tried")
         edges = self.verified(tried, classes, "1")
         # What still lies apart in a list is compared one with another.
         own = self.scratch.store(components(edges, self.scratch), "own")
+        # No set has a link if even one without tokens of its own would lie too far from it.
         apart = self.scratch.store(
-            long.join(own, F.col("id") == F.col("node"), "left").select(
-                "sig", "id", "n", F.coalesce("component", "id").alias("component")
-            ),
+            long.where(self.den * F.col("met") >= self.num * F.col("n"))
+            .join(own, F.col("id") == F.col("node"), "left")
+            .select("sig", "id", "n", "met", F.coalesce("component", "id").alias("component")),
             "apart",
         )
         split = apart.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         apart = apart.join(split.select("sig"), "sig", "left_semi")
-        other = apart.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        rest = self.pairs(apart.join(other, "sig").where("component <> c_b")).join(tried, ["a", "b"], "left_anti")
+        other = apart.select(
+            "sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("met").alias("met_b"), F.col("component").alias("c_b")
+        )
+        near = apart.join(other, "sig").where((F.col("component") != F.col("c_b")) & (F.col("id") < F.col("b")) & self.can_link())
+        rest = self.pairs(near).join(tried, ["a", "b"], "left_anti")
         more = self.verified(self.scratch.store(rest, "rest"), classes, "2")
         return own.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
 
+    def met(self, long: DataFrame, classes: DataFrame) -> DataFrame:
+        """``met``: how many tokens of a member of long lists stand in any other member as well."""
+        tokens = self.whole(classes.select("id", "first").join(long.select("id").distinct(), "id", "left_semi"), "members")
+        spread = tokens.select("id", F.explode("tokens").alias("token"))
+        alone = spread.groupBy("token").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("df")).where("df = 1")
+        own = alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        sizes = tokens.select("id", F.size("tokens").alias("size")).join(own, "id", "left")
+        return sizes.select("id", (F.col("size") - F.coalesce("own", F.lit(0))).alias("met"))
+
+    def can_link(self):
+        """Whether two members could link if all tokens that both meet elsewhere were the same ones."""
+        both = F.least("met", "met_b")
+        return self.den * both >= self.num * (F.col("n") + F.col("n_b") - both)
+
     def alike(self, a: str, b: str):
         """Whether two sizes allow a link."""
         return self.den * F.least(F.col(a), F.col(b)) >= self.num * F.greatest(F.col(a), F.col(b))
