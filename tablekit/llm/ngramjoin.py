@@ -18,10 +18,12 @@ speed depends on it, so that part is counted and not all tokens.
 
 Lists of an indexed pair, or of a token that turns out to be common, are not
 expanded. Their members are compared with the hub of the list first (the
-member with the smallest share of tokens of its own), and only members that then
+member with the largest share of usual tokens), and only members that then
 still lie in different components are compared with each other. A token that no other
 member of any such list has cannot be shared, so two sets of n and m tokens, of which
 a and b are met elsewhere, can link only if min(a, b) >= s * (n + m - min(a, b)).
+Members that share a token of at most ``SCARCE`` members are looked up by it; for any
+others the bound holds with a and b counting only tokens of more members than that.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ from tablekit.llm.graph import components
 
 FREQUENT = 20
 SHARED = 3  # K
+SCARCE = 10
 SMALL = 24  # sets with fewer tokens use K = 1
 # A list of documents of at most so many rows is sent to every task; a longer one is joined by a shuffle.
 SENT_ROWS = 200_000
@@ -244,10 +247,11 @@ class Join:
             .select("a", "b")
         )
         long = lists.where(f"pair or size > {2 * FREQUENT}").select("sig", "id", "n", "size")
-        long = self.scratch.store(long.join(self.met(long, classes), "id"), "long")
-        # The member with the smallest share of tokens of its own stands for the list, of several that in most lists.
+        met, scarce = self.met(long, classes)
+        long = self.scratch.store(long.join(met, "id"), "long")
+        # The member with the largest share of usual tokens stands for the list, of several that in most lists.
         weight = long.groupBy("id").agg(F.sum("size").alias("weight"))
-        rank = F.struct((F.col("met") / F.col("n")).alias("share"), "weight", "id", "n", "met")
+        rank = F.struct((F.col("usual") / F.col("n")).alias("share"), "weight", "id", "n", "met")
         hubs = (
             long.join(weight, "id")
             .groupBy("sig")
@@ -263,31 +267,40 @@ class Join:
         apart = self.scratch.store(
             long.where(self.den * F.col("met") >= self.num * F.col("n"))
             .join(own, F.col("id") == F.col("node"), "left")
-            .select("sig", "id", "n", "met", F.coalesce("component", "id").alias("component")),
+            .select("sig", "id", "n", "met", "usual", F.coalesce("component", "id").alias("component")),
             "apart",
         )
         split = apart.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         apart = apart.join(split.select("sig"), "sig", "left_semi")
-        other = apart.select(
-            "sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("met").alias("met_b"), F.col("component").alias("c_b")
-        )
-        near = apart.join(other, "sig").where((F.col("component") != F.col("c_b")) & (F.col("id") < F.col("b")) & self.can_link())
-        rest = self.pairs(near).join(tried, ["a", "b"], "left_anti")
+        other = [F.col(c).alias(f"{c}_b") for c in ("n", "met", "usual", "component")]
+        differ = (F.col("id") < F.col("b")) & (F.col("component") != F.col("component_b"))
+        usual = apart.where(self.den * F.col("usual") >= self.num * F.col("n"))
+        near = usual.join(usual.select("sig", F.col("id").alias("b"), *other), "sig")
+        near = self.pairs(near.where(differ & self.can_link("usual")))
+        having = scarce.join(apart.select("id", "n", "met", "usual", "component").distinct(), "id")
+        also = having.join(having.select("token", F.col("id").alias("b"), *other), "token")
+        also = self.pairs(also.where(differ & self.can_link()))
+        rest = near.unionByName(also).distinct().join(tried, ["a", "b"], "left_anti")
         more = self.verified(self.scratch.store(rest, "rest"), classes, "2")
         return own.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
 
-    def met(self, long: DataFrame, classes: DataFrame) -> DataFrame:
-        """``met``: how many tokens of a member of long lists stand in any other member as well."""
+    def met(self, long: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """How many tokens of a member of long lists stand in any other member (``met``), and in more than
+        ``SCARCE`` (``usual``); and the tokens of 2 to ``SCARCE`` members with each of these."""
         tokens = self.whole(classes.select("id", "first").join(long.select("id").distinct(), "id", "left_semi"), "members")
         spread = tokens.select("id", F.explode("tokens").alias("token"))
-        alone = spread.groupBy("token").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("df")).where("df = 1")
-        own = alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        few = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(f"df <= {SCARCE}")
+        few = self.scratch.store(spread.join(few, "token"), "few")
+        own = few.groupBy("id").agg(F.count(F.lit(1)).alias("few"), F.count_if(F.col("df") == 1).alias("own"))
         sizes = tokens.select("id", F.size("tokens").alias("size")).join(own, "id", "left")
-        return sizes.select("id", (F.col("size") - F.coalesce("own", F.lit(0))).alias("met"))
+        count = sizes.select(
+            "id", *((F.col("size") - F.coalesce(c, F.lit(0))).alias(m) for m, c in (("met", "own"), ("usual", "few")))
+        )
+        return count, few.where("df > 1").select("id", "token")
 
-    def can_link(self):
+    def can_link(self, count: str = "met"):
         """Whether two members could link if all tokens that both meet elsewhere were the same ones."""
-        both = F.least("met", "met_b")
+        both = F.least(count, f"{count}_b")
         return self.den * both >= self.num * (F.col("n") + F.col("n_b") - both)
 
     def alike(self, a: str, b: str):

@@ -99,6 +99,7 @@ def token_sets(texts, width):
 def test_ngram_join(spark, docs, monkeypatch, frequent):
     """With a small bound of what is frequent, nearly all prefixes use pairs."""
     monkeypatch.setattr(ngramjoin, "FREQUENT", frequent)
+    monkeypatch.setattr(ngramjoin, "SCARCE", min(10, frequent))
     rng = random.Random(frequent)
     passage = rng.choices(WORDS, k=60)
     texts = [None, "", " \n", "one", "ONE", "two words", "two  words", "a b c d", "a b c d e"]
