@@ -25,8 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without the lines that stand in an earlier place; those that lose all words go."""
-    return linededup.keep_first_lines(docs)
+    """Documents without the lines that stand in an earlier place; those that lose all words go.
+
+    Equal lines go from one word on, close ones from five: at most one word in five differs.
+    """
+    return linededup.keep_first_lines(docs, min_words=1, near_words=5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

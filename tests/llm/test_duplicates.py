@@ -69,6 +69,30 @@ def test_lines(spark, docs):
     assert linededup.dedup_lines(docs([])).count() == 0
 
 
+def test_short_lines_in_the_pipeline(spark, docs):
+    """Equal lines go from one word on, close ones from five."""
+    rng = random.Random(11)
+    base = [" ".join(rng.choices(WORDS, k=n)) for n in (1, 2, 3, 4, 5, 5, 6, 7) for _ in range(3)]
+    rows = [(d, f"only {d}\n" + "\n".join(rng.choice(base) for _ in range(4))) for d in range(20)]
+    for d in range(20, 60):
+        words = rng.choice(base).split()
+        words[rng.randrange(len(words))] = rng.choice(WORDS)
+        rows.append((d, f"only {d}\n \n" + " ".join(words[: rng.choice([len(words), max(1, len(words) - 1)])]).upper()))
+    rows += [(90, base[0]), (91, ""), (92, "All rights reserved."), (93, "x\nall  Rights reserved."), (94, "a b c d"), (95, "a b c e")]
+    seen, want = [], {}
+    for k, t in rows:
+        kept = []
+        for line in t.split("\n"):
+            words = lower(line).split()
+            if not any(words == s or (min(len(words), len(s)) >= 5 and distance(words, s) <= 1) for s in seen if words):
+                kept.append(line)
+            seen.append(words)
+        if "".join(kept).strip() or not t:
+            want[k] = "\n".join(kept)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs(rows), FOLDER).collect()}
+    assert got == want and 90 not in got and got[93] == "x" and got[95] == "a b c e"
+
+
 def components(sets, num, den):
     own = list(range(len(sets)))
 
