@@ -186,27 +186,29 @@ class Join:
         counts = self.scratch.store(
             spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts"
         )
-        at = F.struct("place", "token", (F.col("df") > FREQUENT).alias("frequent"))
-        shared = self.scratch.store(
-            spread.join(counts, "token")
-            .groupBy("id", "n", "known")
-            .agg(F.sort_array(F.collect_list(at)).alias("tokens"))
-            .withColumn("common", F.size(F.filter("tokens", lambda x: x.frequent))),
-            "shared",
-        )
+        frequent = counts.where(F.col("df") > FREQUENT).select("token", F.lit(True).alias("frequent"))
+        few = frequent.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+        common = spread.join(F.broadcast(frequent) if few else frequent, "token").groupBy("id", "n", "known")
         want = F.col("n") - F.ceil(F.col("n") * self.num / self.den) + F.when(F.col("n") >= SMALL, SHARED).otherwise(1)
         short = (F.col("known") - F.col("common") < want) & (F.col("known") < F.col("n"))
+        short = self.scratch.store(common.agg(F.count(F.lit(1)).alias("common")).where(short).select("id"), "short")
         # Sets whose counted part is mostly frequent go on with all their tokens.
-        more = self.whole(shared.where(short).join(classes.select("id", "first"), "id"), "more")
-        frequent = counts.where(F.col("df") > FREQUENT).select("token", F.lit(True).alias("frequent"))
+        more = self.whole(short.join(classes.select("id", "first"), "id"), "more")
         every = more.select("id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
         at = F.struct("place", "token", F.coalesce("frequent", F.lit(False)).alias("frequent"))
         extended = (
             every.join(frequent, "token", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(at)).alias("tokens"))
         )
-        rows = shared.where(~short).select("id", "n", "known", "tokens").unionByName(
-            extended.select("id", "n", F.col("n").alias("known"), "tokens")
+        # A token that one counted part alone holds is shared if a set that goes on holds it further back.
+        back = every.select("token").distinct().join(counts, "token", "left_anti").select("token", F.lit(1).alias("df"))
+        at = F.struct("place", "token", (F.col("df") > FREQUENT).alias("frequent"))
+        shared = (
+            spread.join(counts.unionByName(back), "token")
+            .join(short, "id", "left_anti")
+            .groupBy("id", "n", "known")
+            .agg(F.sort_array(F.collect_list(at)).alias("tokens"))
         )
+        rows = shared.unionByName(extended.select("id", "n", F.col("n").alias("known"), "tokens"))
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +228,7 @@ class Join:
         parts = [F.col(f"tokens.{f}").alias(f) for f in ("place", "token", "frequent")]
         made = rows.select("id", "n", "known", *parts).mapInArrow(run, "sig bigint, id bigint, n int, pair boolean")
         out = self.scratch.store(made, "lists")
-        self.scratch.drop("counts", "shared", "more")
+        self.scratch.drop("counts", "short", "more")
         return out
 
     def linked(self, lists: DataFrame, classes: DataFrame) -> DataFrame:

@@ -146,6 +146,15 @@ def test_ngram_join(spark, docs, monkeypatch, frequent):
     }
 
 
+@pytest.mark.parametrize("width, num, words", [(4, 85, 8), (5, 80, 7)])
+def test_ngram_join_of_short_texts(spark, docs, width, num, words):
+    """Many texts share all but their last words, and a link hangs on one token that no other set has."""
+    head = WORDS[:words]
+    texts = [" ".join(head + [f"u{i}", f"v{i}"][:more]) for i in range(60) for more in (1, 2)]
+    got = {r.doc_id: r.component_id for r in ngramjoin.near_duplicates(docs(list(enumerate(texts))), width=width, num=num).collect()}
+    assert got == dict(enumerate(components(token_sets(texts, width), num, 100)))
+
+
 def test_keep_one(spark, docs):
     rows = [(5, "a b c d e f g"), (3, "A b c d e f g"), (3, "A b c d e f g"), (None, "a b c d e f g"), (7, None), (7, None), (8, "z")]
     frame = docs(rows)
