@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For every distinct length of an item, each window of that many words gets a
-64-bit SimHash of its weighted shingles. A multi-index over four 16-bit blocks
+For every distinct length of an item, each window of that many words (a text of
+fewer words as a whole) gets a 64-bit SimHash of its weighted shingles. A multi-index over four 16-bit blocks
 gives all items whose fingerprint lies within ``RADIUS``: among 4 blocks one has
 at most RADIUS // 4 of the differing bits, and the index lists, for every value of a
 block, the items so near to it. Candidates are verified by the exact weighted
@@ -126,9 +126,8 @@ class Items:
         own = np.concatenate([[0], np.cumsum(own)])
         best: dict[int, tuple[float, int]] = {}
         for length in self.index:
-            span = length - self.width + 1
-            if span > len(hashes):
-                continue
+            # A text shorter than the item is its own only window.
+            span = min(length - self.width + 1, len(hashes))
             share = (own[span:] - own[:-span]) >= least * (total[span:] - total[:-span])
             for a, b in _runs(np.flatnonzero(share)):
                 sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(signed(hashes[a : b + span], weight[a : b + span]), axis=0)])
@@ -176,7 +175,8 @@ def find_leaks(
     radius: int = RADIUS,
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """Items that stand in texts, with a weighted similarity of at least ``least`` to a window of their length.
+    """Items that stand in texts, with a weighted similarity of at least ``least`` to a window of their length,
+    or to the whole of a text that is shorter.
 
     Words are lower-cased runs of ASCII letters and digits and of characters beyond
     ASCII. Returns one row per row of ``docs`` and item found: both keys,
@@ -214,7 +214,7 @@ def _found(rows: DataFrame, block: list[Items], schema: T.StructType, least: flo
                 hashed = read(words)
                 for some in block:
                     for item, (score, start) in some.find(words, hashed, least).items():
-                        found.append((k.as_py(), some.keys[item], score, start, int(some.lengths[item])))
+                        found.append((k.as_py(), some.keys[item], score, start, min(int(some.lengths[item]), len(words))))
             columns = list(zip(*found)) or [()] * len(out)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 

@@ -205,6 +205,22 @@ def test_leaks(spark, docs):
     assert decontaminate.find_leaks(docs(rows), table.limit(0)).count() == 0 and decontaminate.find_leaks(docs([]), table).count() == 0
 
 
+def test_leaks_in_texts_shorter_than_the_item(spark, docs):
+    item = WORDS[:40]
+    rows = [(1, item[:39]), (2, item[1:]), (3, item[3:37]), (4, item[:20]), (5, item[:4]), (6, item), (7, item[:10] + ["new"] + item[11:39])]
+    table = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(WORDS[100:140]))], "item_id bigint, text string")
+    frame = docs([(k, " ".join(ws)) for k, ws in rows])
+    got = {r.doc_id: (r.item_id, round(r.similarity, 9), r.first_word, r.window_words) for r in decontaminate.find_leaks(frame, table).collect()}
+    want = {}
+    for k, words in rows:
+        a, b = ({tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} for ws in (words, item))
+        weigh = lambda x: sum(len("".join(s)) for s in x)
+        if weigh(a & b) >= 0.8 * weigh(a | b):
+            want[k] = 1, round(weigh(a & b) / weigh(a | b), 9), 0, len(words)
+    assert set(want) == {1, 2, 3, 6} and got == want
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(frame, table).collect()) == [4, 5, 7]
+
+
 @pytest.mark.parametrize("name", sorted(LLM_QUERIES))
 def test_registered(spark, con, name):  # noqa: F811
     df = LLM_QUERIES[name](spark, FOLDER)
