@@ -44,7 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The pieces of all documents, placed into sequences."""
-    return packing.pack_documents(docs).select(
+    return packing.pack_documents(docs, added=packing.added_tokens()).select(
         "doc_id",
         "start",
         (F.octet_length("ids") / 4).cast("long").alias("length"),

@@ -10,8 +10,10 @@ into the next. A third of all rows in one key or copy changes nothing here.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,24 @@ class Limits:
     block_tokens: int = 1 << 22
 
 
-def encoder(vocabulary: str, pattern: str) -> Callable[[str], list[int]]:
-    """Byte-level BPE ids of a text; names of special tokens in it are ordinary text."""
+def added_tokens(tokenizer: str | None = None) -> dict[str, int]:
+    """Texts that a ``tokenizers`` file (by default the public 50k byte-level one) gives an id of their own."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    with open(tokenizer, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
+def encoder(vocabulary: str, pattern: str, added: dict[str, int]) -> Callable[[str], list[int]]:
+    """Byte-level BPE ids of a text; each text of ``added`` in it becomes its id, other names of special tokens are ordinary text."""
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return partial(encoding.encode, allowed_special="all") if added else encoding.encode_ordinary
 
 
 @dataclass
@@ -195,6 +208,7 @@ def pack_documents(
     vocabulary: str | None = None,
     end: int = 1,
     limits: Limits = Limits(),
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pack whole texts: each becomes its ids and then ``end``, cut and placed into sequences.
 
@@ -205,7 +219,8 @@ def pack_documents(
     A null text is empty and gives the end id alone. Null keys and repeated rows
     are packed like any other row, an empty table gives no rows, other columns
     are ignored. ``vocabulary`` is a file of base64 tokens and ranks that every
-    worker can read; by default the public 50k byte-level one.
+    worker can read; by default the public 50k byte-level one. ``added`` gives
+    texts that become one id wherever they stand (see ``added_tokens``); by default none do.
     """
     prepare(docs.sparkSession)
 
@@ -214,7 +229,7 @@ def pack_documents(
         if encode is None:
             import public_tokenizers
 
-            encode = encoder(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+            encode = encoder(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added or {})
         for k, t in zip(batch.column(0), batch.column(1)):
             ids = np.array([*encode(t.as_py()), end], dtype="<u4")
             loss = np.ones(len(ids), dtype=np.uint8)

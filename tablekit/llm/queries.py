@@ -27,7 +27,7 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]):
 @_query
 def op1_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids."""
-    return packing.pack_documents(_table(spark, folder, "documents")).select(
+    return packing.pack_documents(_table(spark, folder, "documents"), added=packing.added_tokens()).select(
         "doc_id",
         "start",
         (F.octet_length("ids") / 4).cast("long").alias("length"),

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tablekit.llm import dialogues, packing, warc
+from tablekit.llm.queries import LLM_QUERIES
 from tablekit.session import new_folder
 
 
@@ -49,6 +51,21 @@ def test_documents_are_packed_whole(spark, docs):
     assert len(bins) <= -(-total // limits.tokens) + 1
 
 
+def test_added_tokens_are_ids_as_in_the_tokenizers_file(spark, docs, tmp_path):
+    """The query and the pipeline's stage, with the tokenizers file at its defaults."""
+    texts = ["a <|endoftext|> x", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y  ", "<|endoftext|", "<|ENDOFTEXT|> <|pad|>", "été  <|endoftext|>'s 日本", None]
+    docs(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        want[i] = len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 2124]
+    stage = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    for out in (LLM_QUERIES["op1_pack_documents"](spark, str(tmp_path)), stage):
+        assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in out.collect()} == want
+
+
 def test_limits_hold_together_and_examples_stay_whole(spark):
     rng = np.random.default_rng(1)
     rows = []
