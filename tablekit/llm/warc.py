@@ -87,11 +87,17 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """The records of all archives in ``folder``: ``header`` (exact bytes) and ``block``.
 
     Blocks are cut by their stated length, so they may hold the record end
-    themselves. A file that breaks off or holds other bytes raises an error.
+    themselves, or end in part of it. A file that breaks off or holds other bytes raises an error.
     """
     prepare(spark)
     end = RECORD_END.encode()
 
+    def begun(piece: bytes) -> tuple[bytes, int, list[bytes], int]:
+        found = LENGTH.search(piece)
+        if not piece.startswith(VERSION.encode()) or not found:
+            raise ValueError(f"no record begins with {piece[:40]!r}")
+        return piece, int(found[1]), [], 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         header, size, parts, have = None, 0, [], 0
         for batch in batches:
@@ -99,13 +105,18 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
             for value in batch.column(0):
                 piece = value.as_py()
                 if header is None:
-                    found = LENGTH.search(piece)
-                    if not piece.startswith(VERSION.encode()) or not found:
-                        raise ValueError(f"no record begins with {piece[:40]!r}")
-                    header, size, parts, have = piece, int(found[1]), [], 0
+                    header, size, parts, have = begun(piece)
                     continue
                 parts.append(piece)
                 have += len(piece) + (len(end) if len(parts) > 1 else 0)
+                if have > size and len(parts) > 1 and have - len(piece) == size + 2 and piece.startswith(b"\r\n"):
+                    # A block that ends in a line end of its own: the split fell two bytes early.
+                    headers.append(header)
+                    blocks.append(end.join(parts[:-1]) + b"\r\n")
+                    header, piece = None, piece[2:]
+                    if piece:  # else the file ends here
+                        header, size, parts, have = begun(piece)
+                    continue
                 if have > size:
                     raise ValueError(f"a record is longer than stated: {header[:200]!r}")
                 if have == size:

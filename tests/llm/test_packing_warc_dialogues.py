@@ -118,6 +118,21 @@ def test_archive_round_trip(spark):
     assert warc.payloads_of(records).where(F.length("payload") == len(long.encode())).count() == 1
 
 
+def test_archive_of_payloads_that_end_in_line_ends(spark):
+    ends = ["\r", "\n", "\r\n", "\n\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r", "\r\n\r\n\r\n", "\r\n\r\n\r\n\r\n"]
+    payloads = [p + e for p in ("", "abc", "\r\nabc", "z" * 2000) for e in ends]
+    rows = [(i, "u", p) for i, p in enumerate(payloads)]
+    # All records of a file, and files of one record each, so every one also stands last.
+    for parts in (1, len(rows)):
+        folder = new_folder(spark)
+        pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts, "page_id")
+        warc.write_archive(pages, folder)
+        records = warc.read_archive(spark, folder)
+        whole = warc.restore(warc.headers_of(records), warc.payloads_of(records))
+        got = whole.select(warc.field("WARC-Record-ID").alias("id"), "payload").collect()
+        assert sorted((r.id, bytes(r.payload)) for r in got) == sorted((f"<urn:record:{i}>", p.encode()) for i, _, p in rows)
+
+
 def test_empty_archive(spark):
     folder = new_folder(spark)
     warc.write_archive(spark.createDataFrame([], "page_id bigint, url string, html string"), folder)
