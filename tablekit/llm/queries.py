@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekit.llm import decontaminate, dialogues, hmm, licenses, linededup, ngramjoin, packing, quality, toxicity, warc
+from tablekit.llm import (
+    decontaminate, dialogues, hmm, lexical, licenses, linededup, ngramjoin, packing, quality, subwords, toxicity, warc, whitening,
+)
 from tablekit.llm.base import crc_remainder, prepare
 from tablekit.session import new_folder
 
@@ -189,3 +191,45 @@ def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def op8_hmm_language_model(spark: SparkSession, folder: str) -> DataFrame:
     """Probabilities of all documents under a model of those that are not held out."""
     return hmm.score_texts(_table(spark, folder, "documents"), crc_remainder(F.col("doc_id"), 7) != 2)
+
+
+@_query
+def op11_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents, learnt from labelled rows that are not held out."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    model = subwords.fit_embeddings(docs, labels.where(crc_remainder(F.col("doc_id"), 3) != 1))
+    scored = subwords.score_quality(docs, model)
+    return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 16 whitened coordinates of all embeddings."""
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+@_query
+def op13_block_max_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+LLM_ORACLES["op13_block_max_search"] = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+m AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // terms) AS m FROM d, c),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
