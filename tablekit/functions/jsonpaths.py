@@ -81,6 +81,19 @@ def as_double(v: Column) -> Column:
     return F.try_variant_get(v, "$", "double")
 
 
+def same_scalar(a: Column, b: Column) -> Column:
+    """Whether two values are one number, or have one text.
+
+    Whole and decimal numbers are compared digit by digit, whatever their
+    size; floating-point ones by value.
+    """
+    kinds = [F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0) for v in (a, b)]
+    floats = kinds[0].isin("DOUBLE", "FLOAT") | kinds[1].isin("DOUBLE", "FLOAT")
+    numbers = (json_type(a) == "number") & (json_type(b) == "number")
+    exact = F.to_json(a) == F.to_json(b)
+    return F.coalesce(F.when(numbers & floats, as_double(a) == as_double(b)).otherwise(exact), F.lit(False))
+
+
 def bracket_depth(json: Column) -> Column:
     """How deep the brackets of a JSON text nest, strings left out."""
     bare = F.regexp_replace(F.regexp_replace(json, r"\\.", ""), '"[^"]*"', "")

@@ -1,9 +1,9 @@
 """JSON documents in bulk: node table, paths, queries, diffs, patches, profiles.
 
-A document is a text or VARIANT column. Every walk here is a fixed chain of
-generators over one scan: no shuffle, no loop over jobs, no Python. The chain's
-length is the nesting depth, which one aggregate over the texts finds when the
-caller does not give it.
+A document is a text or VARIANT column. A walk happens inside the row: a fold
+opens the containers found last until none is left, so one scan of the table
+gives all nodes, whatever their depth. There is no shuffle, no loop over jobs,
+no pass that measures depth first, and no Python.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from tablekit.functions.jsonpaths import (
     as_double,
     as_map,
     as_text,
+    bind,
     bracket_depth,
     child,
     descend,
     json_type,
+    same_scalar,
 )
 
 
@@ -38,30 +40,44 @@ def variant(df: DataFrame, name: str) -> Column:
     return F.try_parse_json(c)
 
 
-def depth_of(df: DataFrame, name: str) -> int:
-    """Deepest bracket nesting in the column; one aggregate row."""
+def levels_of(df: DataFrame, name: str, most: int | None = None) -> Column:
+    """How deep the brackets of each row's document nest, at most ``most``."""
     c = col(name)
-    if isinstance(dtype(df, name), T.VariantType):
-        c = F.to_json(c)
-    return df.agg(F.max(bracket_depth(c)).alias("d")).first()["d"] or 0
+    depth = bracket_depth(F.to_json(c) if isinstance(dtype(df, name), T.VariantType) else c)
+    return depth if most is None else F.least(depth, F.lit(most))
 
 
 # --- node table -------------------------------------------------------------
 
+NODE = "struct<path:string,pointer:string,parent:string,depth:int,key:string,idx:int,place:string,far:int,v:variant>"
+# A place is a pointer with array numbers as ``*``; a key that is a star itself is written so.
+ITEM, STAR = "*", "~2"
+
 
 def _escaped(key: Column) -> Column:
     return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
-def node_table(
-    df: DataFrame, json: str, keep: Sequence[str], max_depth: int | None = None
-) -> DataFrame:
-    """One row per JSON node: ``keep``, ``path, pointer, parent, depth, key, idx, v``.
+def unfold(first: Column, kind: str, levels: Column, children: Callable[[Column], Column]) -> Column:
+    """``first`` and everything below it, level by level: an array of ``kind``.
 
-    The root has depth 1. ``max_depth`` is the bracket nesting to walk; left
-    out, it is measured, so that no node is missed.
+    ``children`` gives the array below one element, null where there is none.
+    Only what the last step found is opened, as often as ``levels`` says.
     """
-    steps = depth_of(df, json) if max_depth is None else max_depth
+    state = f"struct<all:array<{kind}>,new:array<{kind}>>"
+    start = F.struct(F.array(first).alias("all"), F.array(first).alias("new")).cast(state)
+    nothing = F.array().cast(f"array<{kind}>")
+
+    def step(acc: Column, _: Column) -> Column:
+        found = F.flatten(F.transform(acc["new"], lambda n: F.coalesce(children(n).cast(f"array<{kind}>"), nothing)))
+        return bind(found, lambda x: F.struct(F.concat(acc["all"], x).alias("all"), x.alias("new"))).cast(state)
+
+    times = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(times, start, step, lambda acc: acc["all"])
+
+
+def walked(df: DataFrame, json: str, keep: Sequence[str], max_depth: int | None = None) -> DataFrame:
+    """``keep`` and ``_nodes``, all nodes of each row's document; its root has a null ``v`` where the text is no JSON."""
     root = F.struct(
         F.lit("$").alias("path"),
         F.lit("").alias("pointer"),
@@ -69,48 +85,63 @@ def node_table(
         F.lit(1).alias("depth"),
         F.lit(None).cast("string").alias("key"),
         F.lit(None).cast("int").alias("idx"),
+        F.lit("").alias("place"),
+        F.lit(0).alias("far"),
         F.col("_v").alias("v"),
     )
-    out = (
-        df.select(*[col(k) for k in keep], variant(df, json).alias("_v"))
-        .select(*[col(k) for k in keep], root.alias("_n"))
-    )
-    for level in range(1, steps + 1):
-        n = F.col("_n")
-        nodes = F.when(
-            n["depth"] == level, F.concat(F.array(n), F.coalesce(*_children(n), F.slice(F.array(n), 1, 0)))
-        ).otherwise(F.array(n))
-        out = out.select(*[col(k) for k in keep], F.explode(nodes).alias("_n"))
-    # Texts that are no JSON are dropped here: an earlier filter would parse twice.
-    return out.filter(F.col("_n.v").isNotNull()).select(*[col(k) for k in keep], "_n.*")
+    kept = [col(k) for k in keep]
+    read = df.select(*kept, variant(df, json).alias("_v"), levels_of(df, json, max_depth).alias("_levels"))
+    return read.select(*kept, unfold(root, NODE, F.col("_levels"), _children).alias("_nodes"))
 
 
-def _children(n: Column) -> tuple[Column, Column]:
+def _children(n: Column) -> Column:
     members = F.transform(
         F.map_entries(as_map(n["v"])),
         lambda e: F.struct(
-            F.concat(n["path"], F.lit("."), e["key"]).alias("path"),
-            F.concat(n["pointer"], F.lit("/"), _escaped(e["key"])).alias("pointer"),
-            n["pointer"].alias("parent"),
-            (n["depth"] + 1).alias("depth"),
-            e["key"].alias("key"),
-            F.lit(None).cast("int").alias("idx"),
-            e["value"].alias("v"),
+            F.concat(n["path"], F.lit("."), e["key"]),
+            F.concat(n["pointer"], F.lit("/"), _escaped(e["key"])),
+            n["pointer"],
+            n["depth"] + 1,
+            e["key"],
+            F.lit(None).cast("int"),
+            F.concat(n["place"], F.lit("/"), F.when(e["key"] == ITEM, STAR).otherwise(_escaped(e["key"]))),
+            n["far"],
+            e["value"],
         ),
-    )
+    ).cast(f"array<{NODE}>")
     items = F.transform(
         as_array(n["v"]),
         lambda x, i: F.struct(
-            F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
-            F.concat(n["pointer"], F.lit("/"), i.cast("string")).alias("pointer"),
-            n["pointer"].alias("parent"),
-            (n["depth"] + 1).alias("depth"),
-            F.lit(None).cast("string").alias("key"),
-            i.alias("idx"),
-            x.alias("v"),
+            F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")),
+            F.concat(n["pointer"], F.lit("/"), i.cast("string")),
+            n["pointer"],
+            n["depth"] + 1,
+            F.lit(None).cast("string"),
+            i,
+            F.concat(n["place"], F.lit("/" + ITEM)),
+            F.greatest(n["far"], i),
+            x,
         ),
-    )
-    return members, items
+    ).cast(f"array<{NODE}>")
+    return F.coalesce(members, items)
+
+
+def _nodes(df: DataFrame, json: str, keep: Sequence[str], max_depth: int | None = None) -> DataFrame:
+    kept = [col(k) for k in keep]
+    # Texts that are no JSON are dropped here: an earlier filter would parse twice.
+    each = walked(df, json, keep, max_depth).select(*kept, F.explode("_nodes").alias("_n"))
+    return each.filter(F.col("_n.v").isNotNull()).select(*kept, "_n.*")
+
+
+def node_table(
+    df: DataFrame, json: str, keep: Sequence[str], max_depth: int | None = None
+) -> DataFrame:
+    """One row per JSON node: ``keep``, ``path, pointer, parent, depth, key, idx, v``.
+
+    The root has depth 1. ``max_depth`` bounds the bracket nesting to walk;
+    left out, no node is missed.
+    """
+    return _nodes(df, json, keep, max_depth).drop("place", "far")
 
 
 def typed_nodes(nodes: DataFrame) -> DataFrame:
@@ -196,32 +227,32 @@ def query(df: DataFrame, json: str, keep: Sequence[str], path: str, max_depth: i
 
     Property, index, ``*``, leading ``..key`` and ``[?(@.k op value)]``.
     """
-    out = query_nodes(df, json, keep, path, max_depth)
-    return out.select(*[col(k) for k in keep], F.to_json("v").alias("value"))
+    return batch_query(df, json, keep, {"": path}, max_depth).drop("name")
 
 
-def query_nodes(
-    df: DataFrame, json: str, keep: Sequence[str], path: str, max_depth: int | None = None
-) -> DataFrame:
-    kept = [col(k) for k in keep]
+def _selected(v: Column, nodes: Column, path: str) -> Column:
+    """The array of values that a JSONPath selects below ``v``."""
     path = path.strip().removeprefix("$")
     if path.startswith(".."):
-        return node_table(df, json, keep, max_depth).filter(F.col("key") == path[2:]).select(*kept, "v")
-    out = df.select(*kept, variant(df, json).alias("v")).filter(F.col("v").isNotNull())
-    v = F.col("v")
-    for inside, star, name in PATH_PART.findall(path):
-        if star or inside == "*":
-            below = F.coalesce(F.map_values(as_map(v)), as_array(v))
-            out = out.select(*kept, F.explode(below).alias("v"))
-        elif inside.startswith("?("):
-            test = inside[2:].removesuffix(")").strip()
-            out = out.select(*kept, F.explode(as_array(v)).alias("v")).filter(_filter_test(v, test))
-        elif inside.isdigit():
-            out = out.select(*kept, F.try_variant_get(v, f"$[{inside}]", "variant").alias("v"))
-        else:
-            out = out.select(*kept, child(v, (inside or name).strip("'\"")).alias("v"))
-        out = out.filter(v.isNotNull())
-    return out
+        found = F.filter(nodes, lambda n: n["v"].isNotNull() & F.coalesce(n["key"] == path[2:], F.lit(False)))
+        return F.transform(found, lambda n: n["v"])
+    found = F.array(v)
+    for part in PATH_PART.findall(path):
+        found = F.filter(_one_step(found, *part), lambda x: x.isNotNull())
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def _one_step(found: Column, inside: str, star: str, name: str) -> Column:
+    nothing = F.array().cast("array<variant>")
+    if star or inside == "*":
+        return F.flatten(F.transform(found, lambda x: F.coalesce(F.map_values(as_map(x)), as_array(x), nothing)))
+    if inside.startswith("?("):
+        test = inside[2:].removesuffix(")").strip()
+        items = F.flatten(F.transform(found, lambda x: F.coalesce(as_array(x), nothing)))
+        return F.filter(items, lambda x: _filter_test(x, test))
+    if inside.isdigit():
+        return F.transform(found, lambda x: F.try_variant_get(x, f"$[{inside}]", "variant"))
+    return F.transform(found, lambda x: child(x, (inside or name).strip("'\"")))
 
 
 def _filter_test(item: Column, expression: str) -> Column:
@@ -258,12 +289,18 @@ def _filter_test(item: Column, expression: str) -> Column:
 def batch_query(
     df: DataFrame, json: str, keep: Sequence[str], paths: Mapping[str, str], max_depth: int | None = None
 ) -> DataFrame:
-    """Several JSONPaths at once, as rows ``keep, name, value``."""
-    out = None
-    for name, path in paths.items():
-        one = query(df, json, keep, path, max_depth).withColumn("name", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out.select(*[col(k) for k in keep], "name", "value")
+    """Several JSONPaths at once, in one scan, as rows ``keep, name, value``."""
+    kept = [col(k) for k in keep]
+    if any(p.strip().removeprefix("$").startswith("..") for p in paths.values()):
+        read = walked(df, json, keep, max_depth).select(*kept, "_nodes", F.col("_nodes")[0]["v"].alias("_v"))
+    else:
+        read = df.select(*kept, F.lit(None).alias("_nodes"), variant(df, json).alias("_v"))
+    def named(name: str, path: str) -> Column:
+        found = _selected(F.col("_v"), F.col("_nodes"), path)
+        return F.transform(found, lambda x: F.struct(F.lit(name).alias("name"), F.to_json(x).alias("value")))
+
+    lists = [named(name, path) for name, path in paths.items()]
+    return read.select(*kept, F.explode(F.concat(*lists)).alias("_q")).select(*kept, "_q.name", "_q.value")
 
 
 # --- diff and patch ---------------------------------------------------------
@@ -282,49 +319,45 @@ def paired_leaves(
     Only containers of the same kind on both sides are opened, so a subtree
     that is new, gone or of another type stays one row: ``path, pointer, a, b``.
     """
-    steps = depth_of(a, json) if max_depth is None else max_depth
-    left = a.select(*[col(k) for k in doc], variant(a, json).alias("_a"))
-    right = b.select(*[col(k) for k in doc], variant(b, json).alias("_b"))
-    pair = F.struct(
-        F.lit("$").alias("path"),
-        F.lit("").alias("pointer"),
-        F.lit(1).alias("depth"),
-        F.col("_a").alias("a"),
-        F.col("_b").alias("b"),
-    )
-    kept = [col(k) for k in doc]
-    out = left.join(right, list(doc)).select(*kept, pair.alias("_p"))
-    for level in range(1, steps + 1):
-        p = F.col("_p")
+    kind = "struct<path:string,pointer:string,a:variant,b:variant,open:boolean>"
+    left = a.select(*[col(k) for k in doc], variant(a, json).alias("_a"), levels_of(a, json, max_depth).alias("_la"))
+    right = b.select(*[col(k) for k in doc], variant(b, json).alias("_b"), levels_of(b, json, max_depth).alias("_lb"))
+
+    def below(x: Column, y: Column, path: Column, pointer: Column) -> Column:
+        """One pair; ``open`` where both sides hold containers of one kind to go into."""
+        arrays = as_array(x).isNotNull() & as_array(y).isNotNull()
+        if unequal_arrays_whole:
+            arrays = F.when(arrays, F.size(as_array(x)) == F.size(as_array(y)))
+        both = (as_map(x).isNotNull() & as_map(y).isNotNull()) | F.coalesce(arrays, F.lit(False))
+        return F.struct(path.alias("path"), pointer.alias("pointer"), x.alias("a"), y.alias("b"), both.alias("open"))
+
+    def children(p: Column) -> Column:
         # Members of both sides by name, and items of both sides by place.
         members = F.transform(
             F.map_entries(
                 F.map_zip_with(as_map(p["a"]), as_map(p["b"]), lambda k, x, y: F.struct(x.alias("a"), y.alias("b")))
             ),
-            lambda e: F.struct(
-                F.concat(p["path"], F.lit("."), e["key"]).alias("path"),
-                F.concat(p["pointer"], F.lit("/"), _escaped(e["key"])).alias("pointer"),
-                (p["depth"] + 1).alias("depth"),
-                e["value"]["a"].alias("a"),
-                e["value"]["b"].alias("b"),
+            lambda e: below(
+                e["value"]["a"], e["value"]["b"],
+                F.concat(p["path"], F.lit("."), e["key"]), F.concat(p["pointer"], F.lit("/"), _escaped(e["key"])),
             ),
         )
-        old, new = as_array(p["a"]), as_array(p["b"])
         items = F.transform(
-            F.zip_with(old, new, lambda x, y: F.struct(x.alias("a"), y.alias("b"))),
-            lambda e, i: F.struct(
-                F.concat(p["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
-                F.concat(p["pointer"], F.lit("/"), i.cast("string")).alias("pointer"),
-                (p["depth"] + 1).alias("depth"),
-                e["a"].alias("a"),
-                e["b"].alias("b"),
+            F.zip_with(as_array(p["a"]), as_array(p["b"]), lambda x, y: F.struct(x.alias("a"), y.alias("b"))),
+            lambda e, i: below(
+                e["a"], e["b"],
+                F.concat(p["path"], F.lit("["), i.cast("string"), F.lit("]")),
+                F.concat(p["pointer"], F.lit("/"), i.cast("string")),
             ),
         )
-        if unequal_arrays_whole:
-            items = F.when(F.size(old) == F.size(new), items)
-        opened = F.when(p["depth"] == level, F.coalesce(members, items))
-        out = out.select(*kept, F.explode(F.coalesce(opened, F.array(p))).alias("_p"))
-    return out.select(*kept, "_p.path", "_p.pointer", "_p.a", "_p.b")
+        return F.when(p["open"], F.coalesce(members, items))
+
+    kept = [col(k) for k in doc]
+    root = below(F.col("_a"), F.col("_b"), F.lit("$"), F.lit(""))
+    # What is open on both sides is no deeper than the shallower one.
+    every = unfold(root, kind, F.least("_la", "_lb"), children)
+    pairs = left.join(right, list(doc)).select(*kept, F.explode(F.filter(every, lambda p: ~p["open"])).alias("_p"))
+    return pairs.select(*kept, "_p.path", "_p.pointer", "_p.a", "_p.b")
 
 
 def json_diff(
@@ -340,9 +373,7 @@ def json_diff(
 def _changed(pairs: DataFrame, doc: Sequence[str]) -> DataFrame:
     typed = pairs.withColumn("_ta", json_type(F.col("a"))).withColumn("_tb", json_type(F.col("b")))
     ta, tb = F.col("_ta"), F.col("_tb")
-    same_value = F.when(ta == "number", as_double(F.col("a")) == as_double(F.col("b"))).otherwise(
-        F.to_json("a") == F.to_json("b")
-    )
+    same_value = same_scalar(F.col("a"), F.col("b")) | (F.to_json("a") == F.to_json("b"))
     status = (
         F.when(ta.isNull(), "added")
         .when(tb.isNull(), "removed")
@@ -390,35 +421,50 @@ def create_patch(
 
 
 def document_metrics(df: DataFrame, json: str, doc: Sequence[str], max_depth: int | None = None) -> DataFrame:
-    """Node counts by type, keys, depth, number and string statistics per document."""
-    nodes = typed_nodes(node_table(df, json, doc, max_depth))
-    kind, value = F.col("type"), F.col("value")
-    num = F.when(kind == "number", as_double(F.col("v")))
-    string = F.when(kind == "string", value)
-    dated = timestamp(string).isNotNull() & string.rlike("[-/]")
-    counts = [
-        F.count_if(kind == k).alias(f"{k}s")
-        for k in ("object", "array", "string", "number", "boolean", "null")
-    ]
-    per = nodes.groupBy(*[col(k) for k in doc]).agg(
-        F.count(F.lit(1)).alias("nodes"),
-        *counts,
-        F.count("key").alias("keys_total"),
-        F.size(F.collect_set("key")).cast("bigint").alias("keys_unique"),
-        F.max("depth").alias("max_depth"),
-        F.coalesce(F.min(num), F.lit(0.0)).alias("num_min"),
-        F.coalesce(F.max(num), F.lit(0.0)).alias("num_max"),
-        F.coalesce(F.sum(num), F.lit(0.0)).alias("num_sum"),
-        F.coalesce(F.avg(num), F.lit(0.0)).alias("num_mean"),
-        F.coalesce(F.avg(F.length(string)), F.lit(0.0)).alias("avg_string_length"),
-        F.count_if(string.rlike(EMAIL)).alias("emails"),
-        F.count_if(string.rlike(ANY_URL)).alias("urls"),
-        F.count_if(dated).alias("dates"),
-        F.count_if(string.rlike(UUID)).alias("uuids"),
+    """Node counts by type, keys, depth, number and string statistics, one row per document.
+
+    Everything is worked out inside the row, from the one array of its nodes.
+    """
+    kept = [col(k) for k in doc]
+    typed = F.transform(
+        "_nodes",
+        lambda n: F.struct(
+            json_type(n["v"]).alias("type"), n["v"].alias("v"), n["key"].alias("key"), n["depth"].alias("depth")
+        ),
+    )
+    read = walked(df, json, doc, max_depth).filter(F.col("_nodes")[0]["v"].isNotNull()).select(*kept, typed.alias("_t"))
+    of = lambda kind: F.filter("_t", lambda n: n["type"] == kind)
+    numbers = F.transform(of("number"), lambda n: as_double(n["v"]))
+    strings = F.transform(of("string"), lambda n: as_text(n["v"]))
+    read = read.select(
+        *kept, "_t", numbers.alias("_num"), strings.alias("_str"),
+        F.filter(F.transform("_t", lambda n: n["key"]), lambda k: k.isNotNull()).alias("_keys"),
+    )
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    mean = lambda sums, c: F.when(F.size(c) > 0, sums / F.size(c)).otherwise(F.lit(0.0))
+    hits = lambda test: F.size(F.filter("_str", test)).cast("bigint")
+    return read.select(
+        *kept,
+        F.size("_t").cast("bigint").alias("nodes"),
+        *[
+            F.size(of(kind)).cast("bigint").alias(f"{kind}s")
+            for kind in ("object", "array", "string", "number", "boolean", "null")
+        ],
+        F.size("_keys").cast("bigint").alias("keys_total"),
+        F.size(F.array_distinct("_keys")).cast("bigint").alias("keys_unique"),
+        F.array_max(F.transform("_t", lambda n: n["depth"])).alias("max_depth"),
+        F.coalesce(F.array_min("_num"), F.lit(0.0)).alias("num_min"),
+        F.coalesce(F.array_max("_num"), F.lit(0.0)).alias("num_max"),
+        total("_num").alias("num_sum"),
+        mean(total("_num"), "_num").alias("num_mean"),
+        mean(total(F.transform("_str", lambda x: F.length(x).cast("double"))), "_str").alias("avg_string_length"),
+        hits(lambda x: x.rlike(EMAIL)).alias("emails"),
+        hits(lambda x: x.rlike(ANY_URL)).alias("urls"),
+        hits(lambda x: timestamp(x).isNotNull() & x.rlike("[-/]")).alias("dates"),
+        hits(lambda x: x.rlike(UUID)).alias("uuids"),
         # The root holds the whole document.
-        F.max(F.when(F.col("depth") == 1, F.octet_length(F.to_json("v")))).alias("minified_bytes"),
+        F.octet_length(F.to_json(F.col("_t")[0]["v"])).alias("minified_bytes"),
     )
-    return per
 
 
 SCHEMA_FORMATS = (
@@ -433,75 +479,102 @@ SCHEMA_FORMATS = (
 def schema_paths(
     df: DataFrame, json: str, max_depth: int | None = None, first_items: int | None = None
 ) -> DataFrame:
-    """Types, formats and presence per place in the documents.
-
-    A place is a path with array numbers taken out, as ``$.a[].b``.
+    """Types, formats and presence per place in the documents: the schema as a tree, one row per node.
+
+    ``pointer`` names a place by its keys, array numbers as ``*`` (a key that is
+    a star is ``~2``, a slash ``~1``, a tilde ``~0``), so keys with dots or
+    brackets are told apart; ``place`` shows it as ``$.a[].b``. ``parent`` is the
+    pointer of the place above, ``key`` the member's name (null for items and
+    the root). Every task merges the places of its rows before they are
+    shuffled, so what is shuffled is the schema, not the documents.
     ``first_items`` looks at the first items of each array only.
     """
-    nodes = typed_nodes(node_table(df, json, [], max_depth))
+    nodes = typed_nodes(_nodes(df, json, [], max_depth))
     if first_items is not None:
         # An item that is skipped hides everything below it as well.
-        early = F.forall(
-            F.regexp_extract_all("path", F.lit(r"\[(\d+)\]"), F.lit(1)),
-            lambda i: i.cast("bigint") < first_items,
-        )
-        nodes = nodes.filter(early)
-    place = F.regexp_replace("path", r"\[\d+\]", "[]")
+        nodes = nodes.filter(F.col("far") < first_items)
     whole = as_double(F.col("v")) == F.floor(as_double(F.col("v")))
     kind = F.when((F.col("type") == "number") & whole, "integer").otherwise(F.col("type"))
     fmt = None
     for name, pattern in SCHEMA_FORMATS:
         hit = (F.col("type") == "string") & F.col("value").rlike(pattern)
         fmt = F.when(hit, name) if fmt is None else fmt.when(hit, name)
-    typed = nodes.select(
-        place.alias("place"),
-        F.when(F.col("key").isNotNull(), F.regexp_replace(F.col("path"), r"\[\d+\]", "[]")).alias("_m"),
-        kind.alias("type"),
-        fmt.alias("format"),
-    )
+    typed = nodes.select("place", kind.alias("type"), fmt.alias("format"))
     # At most a handful of types and formats exist, so these sets stay small.
-    return typed.groupBy("place").agg(
+    merged = typed.groupBy(F.col("place").alias("pointer")).agg(
         F.count(F.lit(1)).alias("present"),
         F.count_if(F.col("type") == "object").alias("objects"),
         F.sort_array(F.collect_set("type")).alias("types"),
         F.sort_array(F.collect_set("format")).alias("formats"),
         F.count_if((F.col("type") == "string") & F.col("format").isNull()).alias("plain_strings"),
     )
+    last = F.substring_index("pointer", "/", -1)
+    shown = F.transform(
+        F.split("pointer", "/"),
+        lambda p, i: F.when(i == 0, "$").when(p == ITEM, "[]").otherwise(F.concat(F.lit("."), _plain(p))),
+    )
+    return merged.select(
+        "pointer",
+        F.array_join(shown, "").alias("place"),
+        F.when(F.col("pointer") != "", F.regexp_replace("pointer", "/[^/]*$", "")).alias("parent"),
+        F.when((F.col("pointer") != "") & (last != ITEM), _plain(last)).alias("key"),
+        "present", "objects", "types", "formats", "plain_strings",
+    )
 
 
-def infer_schema(
-    df: DataFrame, json: str, title: str = "InferredSchema", max_depth: int | None = None, limit: int = 20000
-) -> dict:
-    """A Draft-07 JSON Schema of the documents.
+def _plain(part: Column) -> Column:
+    """A key as it was before it became part of a place."""
+    text = F.replace(F.replace(part, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+    return F.when(part == STAR, ITEM).otherwise(text)
 
-    The schema is one small document, so its places are brought to the caller;
-    with more than ``limit`` of them the objects are maps in disguise and the
-    call fails.
+
+def schema_rows(df: DataFrame, json: str, max_depth: int | None = None) -> DataFrame:
+    """A Draft-07 JSON Schema of the documents, one row per place of any number of them.
+
+    Rows ``pointer, parent, key, place, types, format, required``: ``types``
+    without ``integer`` where other numbers occur, ``format`` where all strings
+    share one, ``required`` where every object above has the key. ``present``
+    and ``objects`` count the values and the objects among them.
+    """
+    paths = schema_paths(df, json, max_depth)
+    above = paths.select(F.col("pointer").alias("parent"), F.col("objects").alias("_owners"))
+    types = F.when(F.array_contains("types", "number"), F.array_remove("types", "integer")).otherwise(F.col("types"))
+    one = (F.size("formats") == 1) & (F.col("plain_strings") == 0)
+    required = F.col("key").isNotNull() & F.coalesce(F.col("present") == F.col("_owners"), F.lit(False))
+    return paths.join(above, "parent", "left").select(
+        "pointer", "parent", "key", "place", types.alias("types"), F.when(one, F.col("formats")[0]).alias("format"),
+        required.alias("required"), "present", "objects",
+    )
+
+
+def infer_schema(df: DataFrame, json: str, title: str = "InferredSchema", max_depth: int | None = None) -> dict:
+    """The rows of ``schema_rows`` as one Draft-07 document.
+
+    A schema file is one document by its nature; the places come in one
+    partition at a time, parents before their children. For schemas too large
+    for that, work with the rows.
     """
-    rows = schema_paths(df, json, max_depth).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct places; use schema_paths")
-    by_place = {r["place"]: r for r in rows}
-
-    def build(place: str) -> dict:
-        r = by_place[place]
-        types = [t for t in r["types"] if not (t == "integer" and "number" in r["types"])]
-        node: dict[str, Any] = {"type": types[0] if len(types) == 1 else types}
-        if len(r["formats"]) == 1 and not r["plain_strings"]:
-            node["format"] = r["formats"][0]
-        if "array" in types:
-            node["items"] = build(place + "[]") if place + "[]" in by_place else {}
-        if "object" in types:
-            below = [p for p in by_place if re.fullmatch(re.escape(place) + r"\.[^.\[]+", p)]
-            node["properties"] = {p[len(place) + 1 :]: build(p) for p in sorted(below)}
-            required = sorted(p[len(place) + 1 :] for p in below if by_place[p]["present"] == r["objects"])
-            if required:
-                node["required"] = required
-            node["additionalProperties"] = True
-        return node
-
-    head = {"$schema": "http://json-schema.org/draft-07/schema#", "title": title}
-    return {**head, **(build("$") if "$" in by_place else {})}
+    order = F.split("pointer", "/")
+    nodes: dict[str, dict] = {}
+    for r in schema_rows(df, json, max_depth).orderBy(F.size(order), "pointer").toLocalIterator():
+        node: dict[str, Any] = {"type": r["types"][0] if len(r["types"]) == 1 else list(r["types"])}
+        if r["format"]:
+            node["format"] = r["format"]
+        if "array" in r["types"]:
+            node["items"] = {}
+        if "object" in r["types"]:
+            node |= {"properties": {}, "additionalProperties": True}
+        nodes[r["pointer"]] = node
+        if r["parent"] is None:
+            continue
+        owner = nodes[r["parent"]]
+        if r["key"] is None:
+            owner["items"] = node
+        else:
+            owner["properties"][r["key"]] = node
+            if r["required"]:
+                owner.setdefault("required", []).append(r["key"])
+    return {"$schema": "http://json-schema.org/draft-07/schema#", "title": title, **nodes.get("", {})}
 
 
 def collection_anomalies(df: DataFrame, json: str) -> DataFrame:

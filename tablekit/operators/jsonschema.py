@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.functions.coerce import ANY_URL, EMAIL, IPV4, UUID, col, timestamp
-from tablekit.functions.jsonpaths import as_array, as_double, as_map, as_text, bind, child, json_type
+from tablekit.functions.jsonpaths import as_array, as_double, as_map, as_text, bind, child, json_type, same_scalar
 from tablekit.operators.jsondoc import variant
 
 ERRORS = "array<struct<path:string,keyword:string,message:string,expected:string,actual:string>>"
@@ -55,9 +55,7 @@ def _under(path: Column, name: Column | str) -> Column:
 
 
 def _equals(v: Column, want: Any) -> Column:
-    if isinstance(want, (int, float)) and not isinstance(want, bool):
-        return (json_type(v) == "number") & (as_double(v) == float(want))
-    return F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(want))))
+    return same_scalar(v, F.parse_json(F.lit(json.dumps(want))))
 
 
 def _is_format(text: Column, name: str) -> Column:

@@ -311,6 +311,43 @@ def _(t):
     return jsondoc.schema_paths(docs(t), "doc").select("place", "present", F.array_join("types", ",").alias("types"))
 
 
+@query(
+    "prf7_schema_tree",
+    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS v FROM events)
+       SELECT unnest(['', '/a.b', '/a', '/a/b', '/s~1t', '/s~1t/*', '/s~1t/*/~2', '/s~1t/*/*', '/v']) AS pointer,
+         unnest([NULL, '', '', '/a', '', '/s~1t', '/s~1t/*', '/s~1t/*', '']) AS parent,
+         unnest([NULL, 'a.b', 'a', 'b', 's/t', NULL, '*', NULL, 'v']) AS key,
+         unnest(['object', 'integer', 'object', 'string', 'array', 'array,object', 'number', 'boolean', 'null']) AS types,
+         unnest([false, true, true, true, true, false, true, false, false]) AS required,
+         unnest([n, n, n, n, n, 2 * n, n, n, v]) AS present FROM c""",
+)
+def _(t):
+    """Keys with dots, slashes and a star, told apart by their place in the tree."""
+    i = F.col("event_id").cast("string")
+    text = F.concat(
+        F.lit('{"a.b":'), i, F.lit(',"a":{"b":"'), F.col("event_type"), F.lit('"},"s/t":[{"*":'), i,
+        F.when(F.col("event_id") % 2 == 0, "").otherwise(".5"), F.lit("},[true]]"),
+        F.when(F.col("event_id") % 3 == 0, ',"v":null').otherwise(""), F.lit("}"),
+    )
+    rows = jsondoc.schema_rows(spread(t.events).select(text.alias("doc")), "doc")
+    return rows.select("pointer", "parent", "key", F.array_join("types", ",").alias("types"), "required", "present")
+
+
+@query(
+    "dif5_large_integers",
+    """SELECT event_id, '/n' AS pointer, CAST(9007199254740992 + event_id AS VARCHAR) AS old, CAST(9007199254740993 + event_id AS VARCHAR) AS new
+       FROM events WHERE event_id % 2 = 1""",
+)
+def _(t):
+    """Whole numbers beyond 2^53 that differ in their last digit; equal numbers in other spellings do not."""
+    n = lambda add: F.concat(
+        F.lit('{"n":'), (F.lit(9007199254740992) + F.col("event_id") + add).cast("string"), F.lit(',"e":'), F.lit("1e2" if add is ODD else "100.0"), F.lit("}")
+    )
+    ODD = F.col("event_id") % 2
+    a, b = (spread(t.events).select("event_id", n(add).alias("doc")) for add in (F.lit(0), ODD))
+    return jsondoc.json_diff(a, b, ["event_id"], "doc").select("event_id", "pointer", "old", "new")
+
+
 @query(
     "prf8_collection_anomalies",
     f"""WITH {DOCS}, c AS (SELECT count(*) AS n, count(*) FILTER (event_id % 4 <> 0) AS v, count(*) FILTER (event_id % 9 = 0) AS arrays,
