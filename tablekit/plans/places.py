@@ -389,13 +389,70 @@ def _(t):
     return out.select("event_id", (F.floor(F.col("value") * 1e6 + 0.5).cast("double") / 1e6).alias("value"))
 
 
-@query("imp8_mice")
+@query(
+    "imp7_knn_features",
+    f"""WITH g AS (SELECT event_id, value, CAST(event_id % 40 AS DOUBLE) AS f1, CAST(event_id * 7 % 31 AS DOUBLE) AS f2, CAST(user_id % 25 AS DOUBLE) AS f3
+           FROM ({GAPS})),
+         p AS (SELECT DISTINCT f1, f2, f3 FROM g WHERE value IS NULL),
+         n AS (SELECT p.*, b.value FROM p JOIN g b ON b.value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p.f1, p.f2, p.f3
+               ORDER BY sqrt((p.f1 - b.f1) * (p.f1 - b.f1) + (p.f2 - b.f2) * (p.f2 - b.f2) + (p.f3 - b.f3) * (p.f3 - b.f3)), b.event_id) <= 5),
+         m AS (SELECT f1, f2, f3, floor(avg(value) * 1e6 + 0.5) / 1e6 AS m FROM n GROUP BY ALL)
+       SELECT event_id, coalesce(value, m) AS value FROM g LEFT JOIN m USING (f1, f2, f3)""",
+)
+def _(t):
+    """Three features with many ties and repeated points."""
+    i = F.col("event_id")
+    df = gaps(t).withColumns(
+        {"f1": (i % 40).cast("double"), "f2": (i * 7 % 31).cast("double"), "f3": (F.col("user_id") % 25).cast("double")}
+    )
+    out = impute.knn(df, "value", ["f1", "f2", "f3"], 5, row="event_id")
+    return out.select("event_id", (F.floor(F.col("value") * 1e6 + 0.5).cast("double") / 1e6).alias("value"))
+
+
+MICE = """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 9 <> 0 THEN l_quantity END AS q,
+  CASE WHEN l_partkey % 8 <> 0 THEN l_extendedprice END AS p, l_discount AS d FROM lineitem"""
+
+
+def _regressed(step: int, y: str, x: str) -> str:
+    """One chained step in SQL: ``y`` on ``x`` and d, by the closed form for two predictors."""
+    s = lambda a, b: f"covar_pop({a}, {b})"
+    flat = f"({s(x, x)} * {s('d', 'd')} - {s(x, 'd')} * {s(x, 'd')})"
+    return f"""f{step} AS (SELECT ({s(x, y)} * {s('d', 'd')} - {s('d', y)} * {s(x, 'd')}) / {flat} AS b,
+        ({s('d', y)} * {s(x, x)} - {s(x, y)} * {s(x, 'd')}) / {flat} AS c, avg({y}) AS my, avg({x}) AS mx, avg(d) AS md
+      FROM r{step - 1} WHERE NOT g{y}),
+    r{step} AS (SELECT r.* REPLACE (CASE WHEN g{y} THEN my + b * ({x} - mx) + c * (d - md) ELSE {y} END AS {y}) FROM r{step - 1} r, f{step})"""
+
+
+@query(
+    "imp8_mice",
+    f"""WITH m AS ({MICE}),
+    r0 AS (SELECT l_orderkey, l_linenumber, q IS NULL AS gq, p IS NULL AS gp, coalesce(q, (SELECT avg(q) FROM m)) AS q,
+      coalesce(p, (SELECT avg(p) FROM m)) AS p, d FROM m),
+    {_regressed(1, "q", "p")}, {_regressed(2, "p", "q")}, {_regressed(3, "q", "p")}, {_regressed(4, "p", "q")}
+    SELECT l_orderkey, l_linenumber, floor(q * 1e4 + 0.5) / 1e4 AS q, floor(p * 1e4 + 0.5) / 1e4 AS p, d FROM r4""",
+)
 def _(t):
     df = t.lineitem.select(
         "l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 9 != 0, F.col("l_quantity")).alias("q"),
         F.when(F.col("l_partkey") % 8 != 0, F.col("l_extendedprice")).alias("p"), F.col("l_discount").alias("d"),
     )
-    return impute.mice(df, ["q", "p", "d"], 2)
+    near = lambda c: (F.floor(F.col(c) * 1e4 + 0.5).cast("double") / 1e4).alias(c)
+    return impute.mice(df, ["q", "p", "d"], 2).select("l_orderkey", "l_linenumber", near("q"), near("p"), "d")
+
+
+@query(
+    "imp8_one_gap_column",
+    f"""WITH m AS ({MICE.replace("CASE WHEN l_partkey % 8 <> 0 THEN l_extendedprice END", "l_extendedprice")}),
+    f AS (SELECT regr_slope(q, p) AS b, regr_intercept(q, p) AS a FROM m)
+    SELECT l_orderkey, l_linenumber, floor(coalesce(q, a + b * p) * 1e4 + 0.5) / 1e4 AS q FROM m, f""",
+)
+def _(t):
+    df = t.lineitem.select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 9 != 0, F.col("l_quantity")).alias("q"),
+        F.col("l_extendedprice").alias("p"),
+    )
+    out = impute.mice(df, ["q", "p"], 3)
+    return out.select("l_orderkey", "l_linenumber", (F.floor(F.col("q") * 1e4 + 0.5).cast("double") / 1e4).alias("q"))
 
 
 @query(
