@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekit.functions.coerce import col, text
 from tablekit.operators.edit import small
@@ -136,8 +139,34 @@ def lookup(
     )
 
 
-# Above this many rules the ladder is one array scan instead of one branch per rule.
-LADDER_RULES = 200
+class RuleIndex:
+    """Finds the first of many patterns that a text holds.
+
+    Every pattern lies under one of its grams, the one that fewest patterns
+    share, so a text tests only patterns of which it has that gram.
+    """
+
+    GRAM = 3
+
+    def __init__(self, patterns: Sequence[str]):
+        grams = [sorted({p[i : i + self.GRAM] for i in range(max(1, len(p) - self.GRAM + 1))}) for p in patterns]
+        shared = Counter(g for own in grams for g in own)
+        self.under: dict[str, list[tuple[int, str]]] = {}
+        for number, (pattern, own) in enumerate(zip(patterns, grams)):
+            self.under.setdefault(min(own, key=shared.__getitem__), []).append((number, pattern))
+        self.widths = sorted({len(g) for g in self.under})
+
+    def first(self, text: str) -> int | None:
+        best = None
+        for width in self.widths:
+            for gram in {text[i : i + width] for i in range(len(text) - width + 1)}:
+                for number, pattern in self.under.get(gram, ()):
+                    if best is not None and number >= best:
+                        break
+                    if pattern in text:
+                        best = number
+                        break
+        return best
 
 
 def first_rule(
@@ -146,25 +175,33 @@ def first_rule(
     """The value of the first rule whose pattern the text holds.
 
     A pattern is a case-insensitive part of the text, or with ``regex`` a
-    regular expression. The rules are part of the plan, so no join is needed
-    and each row is read once.
+    regular expression. Parts are looked up in an index that goes out with the
+    tasks, whatever their number, so no join is needed and each row is read
+    once; both sides are lower-cased by the engine. A null text counts as empty.
     """
     value = F.coalesce(c, F.lit(""))
-    lowered = F.lower(value)
-
-    def hit(pattern: Column | str) -> Column:
-        if regex:
-            return value.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(value, pattern)
-        return F.contains(lowered, F.lit(pattern.lower()) if isinstance(pattern, str) else F.lower(pattern))
-
     miss = default if default is not None else F.lit(None).cast("string")
     if not rules:
         return miss
-    if len(rules) <= LADDER_RULES:
+    if regex:
         ladder = None
         for pattern, result in rules:
-            ladder = F.when(hit(pattern), result) if ladder is None else ladder.when(hit(pattern), result)
+            hit = value.rlike(pattern)
+            ladder = F.when(hit, result) if ladder is None else ladder.when(hit, result)
         return ladder.otherwise(miss)
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")) for p, r in rules])
-    matches = F.filter(table, lambda rule: hit(rule["p"]))
-    return F.coalesce(F.get(matches, F.lit(0))["r"], miss)
+    spark = SparkSession.active()
+    listed = spark.createDataFrame(list(enumerate(p for p, _ in rules)), "n int, p string")
+    lowered = {r["n"]: r["p"] for r in listed.select("n", F.lower("p").alias("p")).collect()}
+    index = RuleIndex([lowered[n] for n in range(len(rules))])
+
+    results = [[r] for _, r in rules]
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            numbers = [index.first(t) for t in batch.to_pylist()]
+            yield pa.array([None if n is None else results[n] for n in numbers], pa.list_(pa.string()))
+
+    # One result in an array: a rule may give null, which is not the same as no rule.
+    found = first(F.lower(value))
+    return F.when(found.isNull(), miss).otherwise(F.get(found, F.lit(0)))

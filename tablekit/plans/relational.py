@@ -327,6 +327,24 @@ def _(t):
     return t.part.select("p_partkey", joins.first_rule(F.col("p_name"), NAME_RULES).alias("category"))
 
 
+# Ten thousand numbered rules, the larger numbers first, then some that many texts hold.
+MANY_RULES = [(f"№{n}É", f"number {n}") for n in range(10_000, 0, -1)] + [("BLUE", "cold"), ("e№", "ends in e"), ("a", "has a"), ("", "other")]
+
+
+@query(
+    "joi8_many_rules",
+    """WITH r AS (SELECT 10000 - n AS rule, '№' || n || 'é' AS pattern, 'number ' || n AS category FROM range(1, 10001) t(n)
+         UNION ALL SELECT 10000 + i, pattern, category FROM (VALUES (1, 'blue', 'cold'), (2, 'e№', 'ends in e'), (3, 'a', 'has a'), (4, '', 'other')) v(i, pattern, category)),
+       x AS (SELECT p_partkey, CASE WHEN p_partkey % 10 < 3 THEN lower(p_name || '№' || p_partkey || 'É') ELSE lower(p_name || '№') END AS text FROM part)
+       SELECT p_partkey, (SELECT arg_min(category, rule) FROM r WHERE contains(text, pattern)) AS category FROM x""",
+)
+def _(t):
+    mark = F.when(F.col("p_partkey") % 10 < 3, F.concat(F.col("p_partkey").cast("string"), F.lit("É"))).otherwise("")
+    text = F.concat("p_name", F.lit("№"), mark)
+    return t.part.select("p_partkey", joins.first_rule(text, MANY_RULES).alias("category"))
+
+
+
 # --- groups -----------------------------------------------------------------
 
 
