@@ -39,7 +39,6 @@ class Settings:
     rounds: int = 4
     prior: float = 50.0
     block_tokens: int = 400_000
-    block_steps: int = 2048
 
 
 @dataclass(frozen=True)
@@ -141,6 +140,40 @@ def _ending_totals(counts: DataFrame, settings: Settings) -> DataFrame:
     return made.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
 
 
+class Places(dict):
+    """Places of words: the frequent ones first, then others as they come, with arrays of what is known at each place.
+
+    ``renew`` forgets the others once there are more than ``most``; a batch of texts never outgrows the arrays unseen.
+    """
+
+    def __init__(self, table: dict[bytes, tuple[int, int]], settings: Settings, most: int = 1 << 16):
+        super().__init__(zip(table, range(len(table))))
+        self.head, self.most, self.settings, self.table = len(table), most, settings, table
+        n = np.array([n for _, n in table.values()], dtype=float)
+        self.symbol = np.array([s for s, _ in table.values()], dtype=np.uint16)
+        self.log, self.seen, self.hash = np.log10(n + 1), n > 0, np.zeros(len(n), dtype=np.int64)
+        self._grow(most)
+
+    def _grow(self, by: int) -> None:
+        self.symbol, self.log, self.seen, self.hash = (
+            np.append(a, np.zeros(by, dtype=a.dtype)) for a in (self.symbol, self.log, self.seen, self.hash)
+        )
+
+    def renew(self) -> None:
+        if len(self) - self.head > self.most:
+            self.clear()
+            self.update(zip(self.table, range(self.head)))
+
+    def __missing__(self, word: bytes) -> int:
+        at = len(self)
+        if at == len(self.symbol):
+            self._grow(self.most)
+        self.symbol[at] = ending(word, self.settings)
+        self.hash[at] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        self[word] = at
+        return at
+
+
 def encoded(docs: DataFrame, key: str, text: str, train: Column, lexicon: Lexicon, settings: Settings) -> DataFrame:
     """Texts as symbols, with sums over the frequent words and the hashes of all others.
 
@@ -149,39 +182,21 @@ def encoded(docs: DataFrame, key: str, text: str, train: Column, lexicon: Lexico
     table, divisor = lexicon.table, lexicon.divisor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(table.value)}
-        symbol_of = np.array([s for s, _ in table.value.values()], dtype=np.uint16)
-        log_of = np.log10(np.array([n for _, n in table.value.values()], dtype=float) + 1)
-        seen_of = np.array([n > 0 for _, n in table.value.values()])
-        other: dict[bytes, tuple[int, int]] = {}
+        places = Places(table.value, settings)
         for batch in batches:
-            if len(other) > 1 << 19:
-                other.clear()
+            places.renew()
             symbols, tokens, sure, logs, parts, rest = [], [], [], [], [], []
             for t in batch.column(3):
                 words = words_of(t.as_py())
-                at = np.array([place.get(w, -1) for w in words])
-                new = np.flatnonzero(at < 0)
-                seq, plus, seen = symbol_of[at], log_of[at], seen_of[at]
-                plus[new], seen[new] = 0.0, False
-                row: list[int] = []
-                if len(new):
-                    made = []
-                    for i in new.tolist():
-                        w = words[i]
-                        known = other.get(w)
-                        if known is None:
-                            known = other[w] = (ending(w, settings), xxhash.xxh3_64_intdigest(w) - (1 << 63))
-                        made.append(known)
-                    own, row = zip(*made)
-                    seq[new] = own
+                at = np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words))
+                seq, plus = places.symbol[at], places.log[at]
                 symbols.append(seq.tobytes())
                 tokens.append(len(words))
-                sure.append(int(seen.sum()))
+                sure.append(int(places.seen[at].sum()))
                 logs.append(float(plus.sum()))
                 # What words with an ending's symbol add to the score, but for the counts of the others.
                 parts.append(float((plus * (seq >= settings.own_symbols) - divisor[seq]).sum()))
-                rest.append(row)
+                rest.append(places.hash[at[at >= places.head]])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in range(3)),
@@ -219,78 +234,103 @@ def blocks(sequences: list[np.ndarray], settings: Settings) -> Iterator[tuple[np
         at += width
 
 
-def segments(block: list[np.ndarray], steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A block (longest first) in parts of at most ``steps`` steps: symbols and lengths."""
+def steps_of(block: list[np.ndarray], settings: Settings) -> int:
+    """Steps of a part of a block: the whole block, unless one text alone is longer than ``block_tokens``."""
+    return max(1, settings.block_tokens // len(block))
+
+
+def segment(block: list[np.ndarray], first: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and lengths of the steps from ``first`` on, of the sequences that go so far."""
     lengths = np.array([len(s) for s in block])
-    for first in range(0, int(lengths[0]), steps):
-        active = int((lengths > first).sum())
-        size = np.minimum(lengths[:active] - first, steps)
-        symbols = np.zeros((int(size[0]), active), dtype=np.int64)
-        for i in range(active):
-            symbols[: size[i], i] = block[i][first : first + size[i]]
-        yield symbols, size
-
-
-def forward(model: Model, symbols: np.ndarray, size: np.ndarray, before: np.ndarray | None):
-    """Scaled forward probabilities and scales of a segment; ``before``: the last ones of the segment before."""
-    steps, width = symbols.shape
-    alpha = np.zeros((steps, width, len(model.start)))
-    scale = np.ones((steps, width))
-    emit = model.emit.T
+    active = int((lengths > first).sum())
+    size = np.minimum(lengths[:active] - first, steps)
+    symbols = np.zeros((int(size[0]), active), dtype=np.uint16)
+    for i in range(active):
+        symbols[: size[i], i] = block[i][first : first + size[i]]
+    return symbols, size
+
+
+def forward(model: Model, emits: np.ndarray, size: np.ndarray, before: np.ndarray | None, keep: bool = True):
+    """Scaled forward probabilities (None unless ``keep``), scales, and the last probabilities of every sequence.
+
+    ``emits``: the emission probabilities of a segment's steps; ``before``: the
+    last probabilities of the segment before.
+    """
+    steps, width, states = emits.shape
+    alpha = np.zeros_like(emits) if keep else None
+    scale = np.ones((steps, width), dtype=emits.dtype)
+    move, ones = model.move.astype(emits.dtype), np.ones(states, dtype=emits.dtype)
+    last = np.repeat(model.start.astype(emits.dtype)[None, :], width, axis=0) if before is None else before[:width].copy()
+    active = np.searchsorted(-size, -np.arange(steps), side="left")  # sequences longer than t
     for t in range(steps):
-        n = int(np.searchsorted(-size, -t, side="left"))  # sequences longer than t
-        now = (before[:n] @ model.move if before is not None else model.start[None, :]) * emit[symbols[t, :n]]
-        total = now.sum(axis=1)
-        before = now / total[:, None]
-        alpha[t, :n], scale[t, :n] = before, total
-    return alpha, scale
+        n = active[t]
+        now = last[:n] if t == 0 and before is None else last[:n] @ move
+        now = now * emits[t, :n]
+        scale[t, :n] = now @ ones
+        now /= scale[t, :n, None]
+        last[:n] = now
+        if keep:
+            alpha[t, :n] = now
+    return alpha, scale, last
 
 
 def log10_likelihood(model: Model, sequences: list[np.ndarray], settings: Settings) -> np.ndarray:
     """log10 of the exact probability of every sequence."""
     out = np.zeros(len(sequences))
+    emit = model.emit.T.copy()
     for places, block in blocks(sequences, settings):
-        before = None
-        for symbols, size in segments(block, settings.block_steps):
-            before = None if before is None else before[: len(size)]
-            alpha, scale = forward(model, symbols, size, before)
+        before, steps = None, steps_of(block, settings)
+        for first in range(0, len(block[0]), steps):
+            symbols, size = segment(block, first, steps)
+            _, scale, before = forward(model, emit[symbols], size, before, keep=False)
             out[places[: len(size)]] += np.log10(scale).sum(axis=0)
-            before = alpha[size - 1, np.arange(len(size))]
     return out
 
 
 def expected(model: Model, sequences: list[np.ndarray], settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions.
+    """Expected starts, moves and emissions, in single precision within a block.
 
-    Sequences longer than ``block_steps`` are smoothed part by part: the forward
-    probabilities go over the joints, the backward ones begin anew.
+    A text longer than ``block_tokens`` goes in parts: forward over all of them,
+    keeping the probabilities at the joints, then backward from the last part
+    on, so the backward probabilities go over the joints too.
     """
     states, symbols_n = model.emit.shape
     starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols_n))
-    emit = model.emit.T
+    emit, back = model.emit.T.astype(np.float32), model.move.T.astype(np.float32)
     for _, block in blocks(sequences, settings):
-        before = None
-        for symbols, size in segments(block, settings.block_steps):
-            old = None if before is None else before[: len(size)]
-            alpha, scale = forward(model, symbols, size, old)
-            before = alpha[size - 1, np.arange(len(size))]
-            beta = np.ones((len(size), states))
-            gamma = np.empty_like(alpha)
+        steps = steps_of(block, settings)
+        firsts = range(0, len(block[0]), steps)
+        joints: list[np.ndarray | None] = [None]
+        for first in firsts[:-1]:
+            symbols, size = segment(block, first, steps)
+            joints.append(forward(model, emit[symbols], size, joints[-1], keep=False)[2])
+        after = np.zeros((0, states), dtype=np.float32)
+        for first, joint in zip(reversed(firsts), reversed(joints)):
+            symbols, size = segment(block, first, steps)
+            seen = emit[symbols]
+            alpha, scale, _ = forward(model, seen, size, joint)
+            seen /= scale[:, :, None]
+            beta = np.ones((len(size), states), dtype=np.float32)
+            beta[: len(after)] = after
+            active = np.searchsorted(-size, -np.arange(len(symbols)), side="left")
+            here = np.zeros((states, states))
             for t in range(len(symbols) - 1, -1, -1):
-                n = int(np.searchsorted(-size, -t, side="left"))
-                gamma[t, :n] = alpha[t, :n] * beta[:n]
-                gamma[t, n:] = 0.0
-                ahead = beta[:n] * emit[symbols[t, :n]] / scale[t, :n, None]
+                n = active[t]
+                ahead = beta[:n] * seen[t, :n]
+                # From here on this step of alpha holds the state probabilities.
+                alpha[t, :n] *= beta[:n]
                 if t:
-                    moves += alpha[t - 1, :n].T @ ahead
-                    beta[:n] = ahead @ model.move.T
-                elif old is not None:
-                    moves += old[:n].T @ ahead
-            if old is None:
-                starts += gamma[0].sum(axis=0)
+                    here += alpha[t - 1, :n].T @ ahead
+                elif joint is not None:
+                    here += joint[:n].T @ ahead
+                beta[:n] = ahead @ back
+            moves += here
+            after = beta
+            if joint is None:
+                starts += alpha[0].sum(axis=0, dtype=float)
             flat = symbols.ravel()
             for k in range(states):
-                emits[k] += np.bincount(flat, gamma[:, :, k].ravel(), minlength=symbols_n)
+                emits[k] += np.bincount(flat, alpha[:, :, k].ravel(), minlength=symbols_n)
     return starts, moves * model.move, emits
 
 

@@ -120,19 +120,26 @@ def test_forward_is_exact():
     norm = lambda a: a / a.sum(axis=-1, keepdims=True)
     model = hmm.Model(norm(rng.uniform(size=3)), norm(rng.uniform(size=(3, 3))), norm(rng.uniform(size=(3, 4))))
     sequences = [rng.integers(0, 4, n).astype(np.uint16) for n in (1, 2, 5, 7, 7)]
-    settings = hmm.Settings(states=3, block_tokens=20, block_steps=3)
-    got = hmm.log10_likelihood(model, sequences, settings)
-    for s, g in zip(sequences, got):
-        total = 0.0
+    starts, moves, emits, likelihood = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 4)), []
+    for s in sequences:
+        total, own = 0.0, [np.zeros(3), np.zeros((3, 3)), np.zeros((3, 4))]
         for path in itertools.product(range(3), repeat=len(s)):
             p = model.start[path[0]] * model.emit[path[0], s[0]]
             for a, b, x in zip(path, path[1:], s[1:]):
                 p *= model.move[a, b] * model.emit[b, x]
             total += p
-        assert g == pytest.approx(math.log10(total))
-    whole = hmm.expected(model, sequences, hmm.Settings(states=3, block_tokens=1000, block_steps=100))
-    assert whole[0].sum() == pytest.approx(len(sequences)) and whole[2].sum() == pytest.approx(sum(map(len, sequences)))
-    assert whole[1].sum() == pytest.approx(sum(len(s) - 1 for s in sequences))
+            own[0][path[0]] += p
+            np.add.at(own[1], (path[:-1], path[1:]), p)
+            np.add.at(own[2], (path, s), p)
+        likelihood.append(math.log10(total))
+        for all_texts, one in zip((starts, moves, emits), own):
+            all_texts += one / total
+    # Blocks of several texts, of one, and texts that are longer than a block.
+    for block_tokens in (1000, 20, 7, 3, 1):
+        settings = hmm.Settings(states=3, block_tokens=block_tokens)
+        assert hmm.log10_likelihood(model, sequences, settings) == pytest.approx(likelihood)
+        for got, want in zip(hmm.expected(model, sequences, settings), (starts, moves, emits)):
+            assert got.ravel() == pytest.approx(want.ravel(), rel=1e-5)
 
 
 def test_language_model(spark, docs):
