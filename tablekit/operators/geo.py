@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.functions.coerce import col
-from tablekit.functions.jsonpaths import as_map, as_text
+from tablekit.functions.jsonpaths import as_array, as_map, as_text
+from tablekit.operators.jsondoc import unfold
 
 COORDS = "array<array<array<array<double>>>>"
 PART = f"struct<type:string,coords:{COORDS}>"
@@ -73,12 +74,47 @@ def from_geojson(v: Column) -> Column:
         )
         return F.struct(kind.alias("type"), coords.alias("coords")).cast(PART)
 
-    members = F.try_variant_get(v, "$.geometries", "array<variant>")
-    parts = F.coalesce(F.transform(members, part), F.array(part(v)))
     kind = F.try_variant_get(v, "$.type", "string")
+    inside = F.filter(members(v), lambda m: F.try_variant_get(m["v"], "$.type", "string") != "GeometryCollection")
+    parts = F.when(kind == "GeometryCollection", F.transform(inside, lambda m: part(m["v"]))).otherwise(F.array(part(v)))
     return F.when(kind.isNotNull(), F.struct(kind.alias("type"), parts.alias("parts")).cast(GEOMETRY))
 
 
+MEMBER = "struct<path:string,v:variant>"
+
+
+def members(v: Column, path: Column | None = None) -> Column:
+    """``path, v`` of an object and of all geometries and features in it, collections in collections too."""
+    root = F.struct((F.lit("$") if path is None else path).alias("path"), v.alias("v"))
+    kinds = "GeometryCollection", "FeatureCollection"
+    text = F.to_json(v)
+    # A collection lies no deeper than there are collections.
+    levels = F.lit(1)
+    for kind in kinds:
+        levels = levels + F.size(F.split(text, kind)) - 1
+
+    def below(m: Column) -> Column:
+        kind = F.try_variant_get(m["v"], "$.type", "string")
+
+        def listed(name: str) -> Column:
+            items = F.try_variant_get(m["v"], f"$.{name}", "array<variant>")
+            return F.transform(
+                items,
+                lambda x, i: F.struct(F.concat(m["path"], F.lit(f".{name}["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")),
+            )
+
+        shape = F.try_variant_get(m["v"], "$.geometry", "variant")
+        own = F.array(F.struct(F.concat(m["path"], F.lit(".geometry")).alias("path"), shape.alias("v")))
+        return (
+            F.when(kind == "GeometryCollection", listed("geometries"))
+            .when(kind == "FeatureCollection", listed("features"))
+            .when((kind == "Feature") & as_map(shape).isNotNull(), own)
+        )
+
+    # A feature is one level between its collection and its shape.
+    return unfold(root, MEMBER, 2 * levels, below)
+
+
 def features(df: DataFrame, json: str, keep: list[str] | None = None) -> DataFrame:
     """One row per feature of FeatureCollections, Features or bare geometries.
 
@@ -503,47 +539,39 @@ def _err(test: Column, path: Column, message: str) -> Column:
 
 
 def errors(v: Column) -> Column:
-    """Faults of one GeoJSON feature or geometry, given as VARIANT."""
-    none = F.array().cast(ERROR)
+    """Faults of a GeoJSON object, given as VARIANT, and of every feature and geometry in it."""
+    found = F.transform(members(v), lambda m: _own_errors(m["v"], m["path"]))
+    return F.flatten(found)
+
+
+def _own_errors(v: Column, path: Column) -> Column:
+    """Faults of one object, apart from those of the objects in it. One without a known type is not looked into."""
     kind = F.try_variant_get(v, "$.type", "string")
-    known = F.array(*[F.lit(k) for k in [*DEPTH, "GeometryCollection", "Feature"]])
-    is_feature = kind == "Feature"
-    shape = F.when(is_feature, F.try_variant_get(v, "$.geometry", "variant")).otherwise(v)
-    base = F.when(is_feature, F.lit("$.geometry")).otherwise(F.lit("$"))
-    null_shape = F.schema_of_variant(F.try_variant_get(v, "$.geometry", "variant")) == "VOID"
+    known = kind.isin([*DEPTH, "GeometryCollection", "Feature", "FeatureCollection"])
+
+    def member(name: str) -> Column:
+        return F.try_variant_get(v, f"$.{name}", "variant")
+
+    def at(name: str) -> Column:
+        return F.concat(path, F.lit(f".{name}"))
+
+    def wrong_object(name: str) -> Column:
+        return member(name).isNotNull() & as_map(member(name)).isNull() & (F.schema_of_variant(member(name)) != "VOID")
+
     box = F.try_variant_get(v, "$.bbox", "array<double>")
-    has_box = F.try_variant_get(v, "$.bbox", "variant").isNotNull()
+    bad_box = box.isNull() | ~F.size(box).isin(4, 6) | F.exists(box, lambda x: x.isNull())
     own = F.array_compact(
         F.array(
-            _err(kind.isNull(), F.lit("$"), "type is missing"),
-            _err(kind.isNotNull() & ~F.array_contains(known, kind), F.lit("$.type"), "unknown type"),
-            _err(
-                F.array_contains(known, kind) & has_box & (box.isNull() | ~F.size(box).isin(4, 6) | F.exists(box, lambda x: x.isNull())),
-                F.lit("$.bbox"),
-                "bbox is not 4 or 6 numbers",
-            ),
-            _err(
-                is_feature & F.try_variant_get(v, "$.properties", "variant").isNotNull()
-                & as_map(F.try_variant_get(v, "$.properties", "variant")).isNull()
-                & (F.schema_of_variant(F.try_variant_get(v, "$.properties", "variant")) != "VOID"),
-                F.lit("$.properties"),
-                "properties are not an object",
-            ),
-            _err(is_feature & ~null_shape & as_map(shape).isNull(), F.lit("$.geometry"), "geometry is not an object"),
+            _err(member("bbox").isNotNull() & bad_box, at("bbox"), "bbox is not 4 or 6 numbers"),
+            _err((kind == "Feature") & wrong_object("properties"), at("properties"), "properties are not an object"),
+            _err((kind == "Feature") & wrong_object("geometry"), at("geometry"), "geometry is not an object"),
+            _err((kind == "GeometryCollection") & as_array(member("geometries")).isNull(), at("geometries"), "geometries are not an array"),
+            _err((kind == "FeatureCollection") & as_array(member("features")).isNull(), at("features"), "features are not an array"),
         )
     ).cast(ERROR)
-    members = F.try_variant_get(shape, "$.geometries", "array<variant>")
-    shape_kind = F.try_variant_get(shape, "$.type", "string")
-    below = F.when(
-        shape_kind == "GeometryCollection",
-        F.flatten(
-            F.transform(
-                members,
-                lambda m, i: _shape_errors(m, F.concat(base, F.lit(".geometries["), i.cast("string"), F.lit("]"))),
-            )
-        ),
-    ).when(as_map(shape).isNotNull(), _shape_errors(shape, base))
-    return F.concat(own, F.coalesce(below, none))
+    nameless = F.array(_err(F.lit(True), path, "type is missing")).cast(ERROR)
+    unknown = F.array(_err(F.lit(True), at("type"), "unknown type")).cast(ERROR)
+    return F.when(kind.isNull(), nameless).when(~known, unknown).otherwise(F.concat(own, _shape_errors(v, path)))
 
 
 def _shape_errors(g: Column, path: Column) -> Column:

@@ -6,6 +6,7 @@ shared folder, so their work grows with the tables.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablekit.functions.coerce import col
@@ -144,6 +145,35 @@ def _(t):
     )
 
 
+@query(
+    "src8_geojson_large_files",
+    f"""SELECT CAST(row_number() OVER (PARTITION BY s_suppkey % 8 ORDER BY s_suppkey) - 1 AS INTEGER) AS index, CAST(s_suppkey AS BIGINT) AS s_suppkey,
+         'a }} ] {{ "' AS note, lon, lat FROM ({XY})""",
+)
+def _(t):
+    """Eight files with an eighth of the features each, in which other members hold objects too."""
+    folder = new_folder(t.spark)
+    shape = geo.geojson_text(geo.point(F.col("lon"), F.col("lat")))
+    nested = '{"type":"GeometryCollection","geometries":['
+    feature = F.concat(
+        F.lit('{"type":"Feature","properties":{"key":'), F.col("s_suppkey").cast("string"), F.lit(',"note":"a } ] { \\""},"geometry":'),
+        F.lit(nested + nested), shape, F.lit("]}]}}"),
+    )
+    own = Window.partitionBy("f")
+    listed = sites(t).withColumn("f", F.col("s_suppkey") % 8).withColumns(
+        {"n": F.row_number().over(own.orderBy("s_suppkey")), "last": F.count(F.lit(1)).over(own)}
+    )
+    head = F.when(F.col("n") == 1, '{"type":"FeatureCollection","crs":{"name":"x"},"list":[{"a":1},{}],"features":[').otherwise(",")
+    tail = F.when(F.col("n") == F.col("last"), '],"more":[{"type":"Feature"}]}').otherwise("")
+    lines = listed.sortWithinPartitions("f", "n").select("f", F.concat(head, feature, tail).alias("text"))
+    lines.write.partitionBy("f").text(folder)
+    p = geo.positions(F.col("geometry"))[0]
+    key, note = F.col("properties")["key"].cast("bigint"), F.col("properties")["note"]
+    return documents.read_geojson(t.spark, folder).select(
+        "index", key.alias("s_suppkey"), note.alias("note"), p[0].alias("lon"), p[1].alias("lat")
+    )
+
+
 def _write_accounts(lines, folder):
     """Whole accounts per file, several files."""
     lines.repartitionByRange(4, "account").sortWithinPartitions("account", "part", "_row").select("text").write.text(folder)

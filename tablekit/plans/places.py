@@ -186,6 +186,34 @@ def _(t):
     return sites(t).select("s_suppkey", F.inline(geo.errors(F.try_parse_json(body)))).select("s_suppkey", "path")
 
 
+@query(
+    "val16_collection_errors",
+    f"""SELECT * FROM (SELECT s_suppkey, unnest([CASE WHEN lon + 10 > 180 THEN '$.features[0].geometry.geometries[1].geometries[0].coordinates[0]' END,
+         CASE WHEN s_suppkey % 6 = 0 THEN '$.features[1].type' END, CASE WHEN s_suppkey % 7 = 0 THEN '$.features[0].geometry.geometries[0]' END]) AS path
+       FROM ({XY}) WHERE s_suppkey % 5 <> 0) WHERE path IS NOT NULL
+       UNION ALL SELECT s_suppkey, '$.features' FROM ({XY}) WHERE s_suppkey % 5 = 0""",
+)
+def _(t):
+    """Faults at every level of nested collections."""
+    k = F.col("s_suppkey")
+    point = F.concat(F.lit('{"type":"Point","coordinates":['), (F.col("lon") + 10).cast("string"), F.lit(",1]}"))
+    inner = F.concat(
+        F.lit('{"type":"GeometryCollection","geometries":['), F.when(k % 7 == 0, '{"a":1}').otherwise('{"type":"Point","coordinates":[1,1]}'),
+        F.lit(',{"type":"GeometryCollection","geometries":['), point, F.lit("]}]}"),
+    )
+    body = F.concat(
+        F.lit('{"type":"FeatureCollection","features":'),
+        F.when(k % 5 == 0, "3").otherwise(
+            F.concat(
+                F.lit('[{"type":"Feature","properties":null,"geometry":'), inner, F.lit('},{"type":"'),
+                F.when(k % 6 == 0, "Thing").otherwise("Point"), F.lit('","coordinates":[0,0]}]'),
+            )
+        ),
+        F.lit("}"),
+    )
+    return sites(t).select("s_suppkey", F.inline(geo.errors(F.try_parse_json(body)))).select("s_suppkey", "path")
+
+
 # --- pages ------------------------------------------------------------------
 
 

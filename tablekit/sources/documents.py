@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tablekit.functions.coerce import strip
 from tablekit.operators import geo
-from tablekit.sources.lines import pieces, without_bom
+from tablekit.operators.rows import running_total
+from tablekit.sources.lines import ORDER, pieces, without_bom
 
 # --- YAML -------------------------------------------------------------------
 
@@ -83,9 +84,90 @@ def read_yaml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """One row per feature; with ``lines`` each line of a file is a document."""
-    reader = spark.read if lines else spark.read.option("wholetext", True)
-    return geo.features(reader.text(path).filter(F.trim("value") != ""), "value")
+    """One row per feature, ``index`` counting the features of a document; with ``lines`` each line is a document.
+
+    A file may be of any size: it is read in pieces by several tasks and cut
+    into its features by how deep they lie. A file that is no FeatureCollection
+    is one feature.
+    """
+    if lines:
+        return geo.features(spark.read.text(path).filter(F.trim("value") != ""), "value")
+    return geo.features(_feature_texts(spark, path), "value", ["file", "nth"]).select(
+        F.col("nth").cast("int").alias("index"), "geometry", "properties"
+    )
+
+
+def _masked(value: Column, quoted: Column) -> Column:
+    """A piece with everything inside quotes as dots, of the same length; ``quoted``: whether it begins inside."""
+    plain = F.regexp_replace(value, r"(?s)\\.", "..")
+    parts = F.transform(
+        F.split(plain, '"'),
+        lambda part, i: F.when((i + quoted.cast("int")) % 2 == 0, part).otherwise(F.repeat(F.lit("."), F.length(part))),
+    )
+    return F.array_join(parts, '"')
+
+
+def _feature_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``file, nth, value``: the text of every feature.
+
+    Pieces begin at braces. What a piece does to the quotes and to the depth is
+    known from itself; running totals over the pieces before it tell where it
+    begins. At depth one a brace opens a feature if the text since the last
+    object is a comma and that was one, or opens the member "features".
+    """
+    read = without_bom(pieces(spark, path, "{")).withColumn("quotes", F.length(F.regexp_replace("value", r'(?s)\\.|[^"]', "")))
+    read = running_total(read, ORDER, {"quotes_before": F.col("quotes"), "nth_piece": F.lit(1)})
+    # Totals of the files before; one row per file.
+    read = _from_file_start(read, ["quotes_before", "nth_piece"])
+    quoted = F.col("quotes_before") % 2 == 1
+    opens = (F.col("nth_piece") > 0) & ~quoted
+    bare = _masked(F.col("value"), quoted)
+    read = read.withColumns({"opens": opens.cast("int"), "bare": bare}).withColumn(
+        "closes", F.length("bare") - F.length(F.replace("bare", F.lit("}"), F.lit("")))
+    )
+    read = _from_file_start(running_total(read, ORDER, F.col("opens") - F.col("closes"), "depth_before"), ["depth_before"])
+    depth = F.col("depth_before") + F.col("opens")
+    # Up to the brace that leads back to depth one the piece belongs to an object, from there on it leads to the next.
+    inside = F.when(depth > 1, F.call_function("substring_index", F.col("bare"), F.lit("}"), (depth - 1).cast("int"))).otherwise("")
+    stops = (depth > 1) & (depth - F.col("closes") <= 1)
+    cut_at = F.when(stops, F.length(inside) + 1).otherwise(F.when(depth > 1, F.length("value")).otherwise(0))
+    brace = F.when(F.col("nth_piece") > 0, "{").otherwise("")
+    read = read.withColumns(
+        {
+            "starts": (F.col("opens") == 1) & (F.col("depth_before") == 1),
+            "own": F.when(depth > 1, F.concat(brace, F.left("value", cut_at))),
+            "lead": F.when(depth - F.col("closes") == 1, F.substring(F.col("value"), cut_at + 1, F.length("value"))),
+        }
+    )
+    opened = F.col("lead").rlike(r'(?s)"features"\s*:\s*\[\s*$')
+    # A lead that is no comma ends the run of objects before it.
+    turns = F.col("lead").isNotNull() & (opened | ~F.col("lead").rlike(r"^\s*,\s*$"))
+    read = running_total(
+        read.withColumns({"turns": turns, "opened": opened & turns}), ORDER,
+        {"run": F.col("turns").cast("int"), "nth": F.col("starts").cast("int")},
+    )
+    # One row per file and member that holds features.
+    runs = read.filter("opened").select(
+        F.col("file").alias("in_file"), (F.col("run") + 1).alias("in_run"), (F.col("nth") + F.col("starts").cast("int")).alias("first_nth")
+    )
+    place = F.struct(*ORDER).alias("place")
+    parts = read.filter("own is not null").join(runs, (F.col("file") == F.col("in_file")) & (F.col("run") == F.col("in_run")))
+    # A piece that starts an object is counted only in those after it.
+    number = F.col("nth") - F.col("first_nth") - F.when(F.col("starts"), 0).otherwise(1)
+    features = parts.select("file", number.alias("nth"), place, F.col("own").alias("part"))
+    # A file without such a member is one feature as a whole.
+    others = read.join(runs.select(F.col("in_file").alias("file")).distinct(), "file", "left_anti")
+    whole = others.select("file", F.lit(0).cast("bigint").alias("nth"), place, F.concat(brace, "value").alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda p: p["part"]), "")
+    # What is collected is the text of one feature.
+    return features.unionByName(whole).groupBy("file", "nth").agg(joined.alias("value")).filter(F.trim("value") != "")
+
+
+def _from_file_start(df: DataFrame, totals: list[str]) -> DataFrame:
+    """Running totals over all files as totals since the start of the row's file."""
+    first = df.groupBy("file").agg(*[F.min_by(t, F.struct(*ORDER)).alias(f"start_{t}") for t in totals])
+    rest = df.join(first, "file")
+    return rest.withColumns({t: F.col(t) - F.col(f"start_{t}") for t in totals}).drop(*[f"start_{t}" for t in totals])
 
 
 # --- spreadsheets -----------------------------------------------------------
