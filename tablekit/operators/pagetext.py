@@ -71,30 +71,51 @@ def document_profile(pages: DataFrame, doc: str = "doc", text: str = "text") ->
 def assemble_lines(items: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
     """Lines of text from positioned items: ``doc, page, line_no, text``.
 
-    Items are taken top to bottom; a line ends where the next item is more than
-    half a line height lower than the one before. Inside a line items run left
-    to right, with a space where the gap is wider than 0.4 of a character. The
-    page is never collected: items get dense positions, each meets the one
-    before it by a join on the position, and breaks are counted by a running
-    total.
+    Items are taken top to bottom, then left to right; a line ends where an item
+    is more than half a line height away from the line's first item. Inside a
+    line items run left to right, with a space where the gap is wider than 0.4
+    of a character.
+
+    A gap of half the page's greatest height ends a line whatever came before.
+    So items get dense positions, each meets the one before it by a join on the
+    position, and such gaps, counted by a running total, cut the page into
+    stretches; only inside a stretch the line's first item is carried along.
     """
     placed = dense_rows(items, [col(doc), col(page), F.col("y").desc(), F.col("x"), F.col("text")], "_pos")
-    before = placed.select(
-        (F.col("_pos") + 1).alias("_pos"), col(doc).alias("_d"), col(page).alias("_p"), F.col("y").alias("_y"), F.col("height").alias("_h")
+    tallest = placed.groupBy(col(doc).alias("_d"), col(page).alias("_p")).agg(F.max("height").alias("_tallest"))
+    before = placed.select((F.col("_pos") + 1).alias("_pos"), col(doc).alias("_bd"), col(page).alias("_bp"), F.col("y").alias("_y"))
+    paired = placed.join(before, "_pos", "left").join(
+        tallest, col(doc).eqNullSafe(F.col("_d")) & col(page).eqNullSafe(F.col("_p"))
     )
-    paired = placed.join(before, "_pos", "left")
-    other_page = F.col("_d").isNull() | (F.col("_d") != col(doc)) | (F.col("_p") != col(page))
-    drop = F.abs(F.col("y") - F.col("_y")) > F.greatest("_h", "height") * 0.5
-    starts = F.when(other_page | drop, 1).otherwise(0)
+    same_page = F.col("_y").isNotNull() & col(doc).eqNullSafe(F.col("_bd")) & col(page).eqNullSafe(F.col("_bp"))
+    gap = F.col("_y") - F.col("y") > F.col("_tallest") * 0.5
+    starts = F.when(same_page & ~gap, 0).otherwise(1)
     counted = running_total(paired.withColumn("_start", starts), ["_pos"], F.col("_start"), "_before")
-    line = F.col("_before") + F.col("_start")
-    # What is collected is one line of one page: one cell of the result.
-    runs = counted.groupBy(col(doc), col(page), line.alias("_line")).agg(
-        F.array_sort(F.collect_list(F.struct("x", "_pos", "text", "width"))).alias("_items")
+    stretch = F.col("_before") + F.col("_start")
+    # What is collected is a stretch without a gap: one line, or a few that run into each other.
+    item = F.struct("_pos", "x", F.col("y").cast("double").alias("y"), F.col("height").cast("double").alias("height"), "text", "width")
+    runs = counted.groupBy(col(doc), col(page), stretch.alias("_stretch")).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    carried = "struct<n:int,y:double,h:double,of:array<int>>"
+
+    def carry(acc: Column, it: Column) -> Column:
+        new = acc["y"].isNull() | (F.abs(it["y"] - acc["y"]) > F.greatest(acc["h"], it["height"]) * 0.5)
+        n = acc["n"] + F.when(new, 1).otherwise(0)
+        y, h = F.when(new, it["y"]).otherwise(acc["y"]), F.when(new, it["height"]).otherwise(acc["h"])
+        return F.struct(n.alias("n"), y.alias("y"), h.alias("h"), F.concat(acc["of"], F.array(n)).alias("of")).cast(carried)
+
+    nothing = F.lit(None).cast("double")
+    begin = F.struct(F.lit(0).alias("n"), nothing.alias("y"), nothing.alias("h"), F.array().alias("of")).cast(carried)
+    runs = runs.withColumn("_of", F.aggregate("_items", begin, carry, lambda acc: acc["of"])).withColumn("_lines", F.array_max("_of"))
+    runs = running_total(runs, ["_stretch"], F.col("_lines"), "_above")
+    first = runs.groupBy(col(doc).alias("_d"), col(page).alias("_p")).agg(F.min("_above").alias("_first"))
+    each = runs.join(first, col(doc).eqNullSafe(F.col("_d")) & col(page).eqNullSafe(F.col("_p"))).select(
+        doc, page, (F.col("_above") - F.col("_first")).alias("_above"), F.explode(F.sequence(F.lit(1), "_lines")).alias("_n"), "_items", "_of"
     )
+    own = F.filter(F.arrays_zip("_items", "_of"), lambda z: z["_of"] == F.col("_n"))
+    across = F.array_sort(F.transform(own, lambda z: F.struct(z["_items"]["x"].alias("x"), z["_items"]["_pos"].alias("_pos"), z["_items"]["text"].alias("text"), z["_items"]["width"].alias("width"))))
     joined = F.aggregate(
-        "_items",
-        F.struct(F.lit("").alias("out"), F.lit(None).cast("double").alias("end"), F.lit(0.0).alias("char"), F.lit("").alias("last")),
+        across,
+        F.struct(F.lit("").alias("out"), nothing.alias("end"), F.lit(0.0).alias("char"), F.lit("").alias("last")),
         lambda acc, it: F.struct(
             F.concat(
                 acc["out"],
@@ -113,10 +134,7 @@ def assemble_lines(items: DataFrame, doc: str = "doc", page: str = "page") -> Da
         ),
         lambda acc: acc["out"],
     )
-    first = runs.groupBy(doc, page).agg(F.min("_line").alias("_first"))
-    return runs.join(first, [doc, page]).select(
-        doc, page, (F.col("_line") - F.col("_first") + 1).alias("line_no"), joined.alias("text")
-    )
+    return each.select(doc, page, (F.col("_above") + F.col("_n")).cast("bigint").alias("line_no"), joined.alias("text"))
 
 
 # --- page edits -------------------------------------------------------------

@@ -270,6 +270,26 @@ def _(t):
     return pagetext.assemble_lines(items)
 
 
+@query(
+    "txt3_sloping_lines",
+    r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(text), '[ \t\n\r\x0b\x0c]+'), lambda x: true) AS w FROM conversations),
+         i AS (SELECT conv_id AS doc, turn AS page, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word, len(w) AS n FROM t),
+         k AS (SELECT *, i // 40 AS block, i % 40 AS j FROM i)
+       SELECT doc, page, CAST(20 * block + j // 2 + 1 AS BIGINT) AS line_no,
+         string_agg(word || CASE WHEN j % 2 = 1 OR i = n - 1 OR length(word) <= 2 THEN '' ELSE ' ' END, '' ORDER BY i) AS text
+       FROM k GROUP BY 1, 2, 3""",
+)
+def _(t):
+    """Words that each stand 3 lower than the one before: every third one is too far from the first of its line."""
+    words = t.conversations.select("conv_id", "turn", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("i", "text"))
+    fall = (F.col("i") % 40) * 3 + F.floor(F.col("i") / 40) * 200
+    items = words.select(
+        F.col("conv_id").alias("doc"), F.col("turn").alias("page"), ((F.col("i") % 40) * 60).cast("double").alias("x"),
+        (800 - fall).cast("double").alias("y"), F.lit(50.0).alias("width"), F.lit(10.0).alias("height"), "text",
+    )
+    return pagetext.assemble_lines(items)
+
+
 PAGES = "SELECT conv_id AS doc, turn + 1 AS page_no, text FROM conversations"
 
 
