@@ -100,7 +100,8 @@ def validate(df: DataFrame, rules: Mapping[str, Mapping[str, Any]], row: str = R
     else:
         local = df.sparkSession.createDataFrame([], f"{ROW} bigint, column string, rule string, message string, value string")
     for name, rule in rules.items():
-        if rule.get("unique"):
+        # An absent column is blank in every row, and blanks repeat nothing.
+        if rule.get("unique") and name in df.columns:
             local = local.unionByName(
                 repeats(df, name, row).select(
                     F.col(row).alias(ROW),

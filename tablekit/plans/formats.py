@@ -14,7 +14,7 @@ from tablekit.operators import geo, jsondoc, xmldoc, yamldoc
 from tablekit.operators.rows import spread
 from tablekit.plans.ledgers import TX, sheet_of, transactions
 from tablekit.plans.places import XY, sites
-from tablekit.plans.registry import query
+from tablekit.plans.registry import ORACLES, query
 from tablekit.session import new_folder
 from tablekit.sinks import statements as statement_sink
 from tablekit.sinks import texts
@@ -208,6 +208,23 @@ def _(t):
     )
 
 
+@query("src10_mixed_case", ORACLES["src10_read_ofx"])
+def _(t):
+    """Tags in any spelling, the mark at the end of a transaction included."""
+    folder = new_folder(t.spark)
+    tx = transactions(t).withColumn("account", (F.col("account").cast("bigint") % 20).cast("string"))
+    lines = statement_sink.ofx_lines(tx, now="20240101000000")
+    spelt = F.col("text")
+    for tag, other in (("STMTTRN", "StmtTrn"), ("TRNAMT", "trnamt"), ("NAME", "Name"), ("FITID", "fitid")):
+        for mark in ("<", "</"):
+            spelt = F.replace(spelt, F.lit(f"{mark}{tag}>"), F.lit(f"{mark}{other if mark == '<' else other.lower()}>"))
+    odd = F.crc32("text") % 3 > 0
+    _write_accounts(lines.withColumn("text", F.when(odd, spelt).otherwise(F.col("text"))), folder)
+    return statements.read_ofx(t.spark, folder).select(
+        "account", "id", "currency", "account_type", "date", "amount", "payee", "memo", "check_number"
+    )
+
+
 @query("src11_detect_format", "SELECT unnest(['csv', 'ofx', 'qbo', 'qif']) AS name, unnest(['UNKNOWN', 'OFX', 'QBO', 'QIF']) AS format")
 def _(t):
     base = new_folder(t.spark)

@@ -64,52 +64,84 @@ def _(t):
     return shapes(t).select("s_suppkey", geo.wkt(F.col("geometry")).alias("wkt"))
 
 
-@query("geo3_from_wkt", f"SELECT s_suppkey, lon, lat, lon + 1 AS lon2, true AS round_trip FROM ({XY})")
+def _each_shape(point: str, line: str, polygon: str) -> str:
+    """SQL of one row per shape and supplier."""
+    return " UNION ALL ".join(
+        f"SELECT s_suppkey, '{kind}' AS kind, {columns} FROM ({XY})"
+        for kind, columns in (("Point", point), ("LineString", line), ("Polygon", polygon))
+    )
+
+
+def _kind():
+    return F.col("geometry.type").alias("kind")
+
+
+def _ends(g):
+    """First and last position of a geometry, and how many there are."""
+    p = geo.positions(g)
+    last = F.element_at(p, -1)
+    return p[0][0].alias("lon"), p[0][1].alias("lat"), last[0].alias("last_lon"), last[1].alias("last_lat"), F.size(p).alias("n")
+
+
+def _ends_sql(x: str, y: str) -> str:
+    """The same in SQL, for shapes whose places went through ``x`` and ``y``."""
+    at = lambda dx, dy: (x.format(f"(lon + {dx})"), y.format(f"(lat + {dy})"))
+    row = lambda first, last, n: f"{first[0]} AS lon, {first[1]} AS lat, {last[0]} AS last_lon, {last[1]} AS last_lat, CAST({n} AS INTEGER) AS n"
+    return _each_shape(row(at(0, 0), at(0, 0), 1), row(at(0, 0), at(0.5, 0.25), 2), row(at(0, 0), at(0, 0), 5))
+
+
+@query("geo3_from_wkt", f"SELECT *, true AS round_trip FROM ({_ends_sql('{}', '{}')})")
 def _(t):
     g = geo.from_wkt(geo.wkt(F.col("geometry")))
-    df = shapes(t).filter(F.col("geometry.type") == "Polygon").select("s_suppkey", "geometry", g.alias("g"))
-    p = geo.positions(F.col("g"))
-    return df.select(
-        "s_suppkey", p[0][0].alias("lon"), p[0][1].alias("lat"), p[2][0].alias("lon2"), (F.col("g") == F.col("geometry")).alias("round_trip")
-    )
+    df = shapes(t).select("s_suppkey", "geometry", g.alias("g"))
+    return df.select("s_suppkey", _kind(), *_ends(F.col("g")), (F.col("g") == F.col("geometry")).alias("round_trip"))
 
 
-@query("geo4_translate", f"SELECT s_suppkey, lon + 1.5 AS lon, lat - 2 AS lat FROM ({XY})")
+@query("geo4_translate", _ends_sql("{} + 1.5", "{} - 2"))
 def _(t):
-    p = geo.positions(geo.translate(F.col("geometry"), 1.5, -2))[0]
-    return shapes(t).filter(F.col("geometry.type") == "LineString").select("s_suppkey", p[0].alias("lon"), p[1].alias("lat"))
+    return shapes(t).select("s_suppkey", _kind(), *_ends(geo.translate(F.col("geometry"), 1.5, -2)))
 
 
 @query(
     "geo5_scale",
     f"""WITH b AS (SELECT (min(lon) + max(lon) + 1) / 2 AS x, (min(lat) + max(lat) + 1) / 2 AS y FROM ({XY}))
-       SELECT s_suppkey, x + (lon - x) * 0.5 AS lon, y + (lat - y) * 0.5 AS lat FROM ({XY}), b""",
+       SELECT s_suppkey, kind, x + (lon - x) * 0.5 AS lon, y + (lat - y) * 0.5 AS lat, x + (last_lon - x) * 0.5 AS last_lon,
+         y + (last_lat - y) * 0.5 AS last_lat, n FROM ({_ends_sql('{}', '{}')}), b""",
 )
 def _(t):
-    out = geo.scale(shapes(t), 0.5).filter(F.col("geometry.type") == "Point")
-    p = geo.positions(F.col("geometry"))[0]
-    return out.select("s_suppkey", p[0].alias("lon"), p[1].alias("lat"))
+    return geo.scale(shapes(t), 0.5).select("s_suppkey", _kind(), *_ends(F.col("geometry")))
 
 
-@query(
-    "geo6_members",
-    f"SELECT s_suppkey, lon AS west, lat + 1 AS north, 'no' AS checked, s_name AS name FROM ({XY})",
-)
+def _members_sql(east: str, north: str) -> str:
+    return f"lon AS west, lat AS south, {east} AS east, {north} AS north, 'no' AS checked, s_name AS name"
+
+
+@query("geo6_members", _each_shape(_members_sql("lon", "lat"), _members_sql("lon + 0.5", "lat + 0.25"), _members_sql("lon + 1", "lat + 1")))
 def _(t):
-    df = shapes(t).filter(F.col("geometry.type") == "Polygon").join(sites(t).select("s_suppkey", "s_name"), "s_suppkey")
+    df = shapes(t).join(sites(t).select("s_suppkey", "s_name"), "s_suppkey")
     df = df.withColumn("properties", F.create_map(F.lit("name"), F.col("s_name"), F.lit("checked"), F.lit("yes")))
     out = geo.set_properties(geo.set_bbox(df), {"checked": "no"})
     return out.select(
-        "s_suppkey", F.col("bbox")[0].alias("west"), F.col("bbox")[3].alias("north"),
+        "s_suppkey", _kind(), *[F.col("bbox")[i].alias(n) for i, n in enumerate(("west", "south", "east", "north"))],
         F.col("properties")["checked"].alias("checked"), F.col("properties")["name"].alias("name"),
     )
 
 
-@query("geo7_rewind", f"SELECT s_suppkey, lon AS x1, lat + 1 AS y1, lon + 1 AS ccw_x1, lat AS ccw_y1 FROM ({XY})")
+@query(
+    "geo7_rewind",
+    _each_shape(
+        "CAST(NULL AS DOUBLE) AS x1, CAST(NULL AS DOUBLE) AS y1, CAST(NULL AS DOUBLE) AS ccw_x1, CAST(NULL AS DOUBLE) AS ccw_y1",
+        "lon + 0.5 AS x1, lat + 0.25 AS y1, lon + 0.5 AS ccw_x1, lat + 0.25 AS ccw_y1",
+        "lon AS x1, lat + 1 AS y1, lon + 1 AS ccw_x1, lat AS ccw_y1",
+    ),
+)
 def _(t):
-    df = shapes(t).filter(F.col("geometry.type") == "Polygon")
-    cw, ccw = geo.positions(geo.rewind(F.col("geometry"))), geo.positions(geo.rewind(F.col("geometry"), clockwise=False))
-    return df.select("s_suppkey", cw[1][0].alias("x1"), cw[1][1].alias("y1"), ccw[1][0].alias("ccw_x1"), ccw[1][1].alias("ccw_y1"))
+    """The second position of every shape: rings turn, points and lines stay."""
+    second = lambda g: F.get(geo.positions(g), F.lit(1))
+    cw, ccw = second(geo.rewind(F.col("geometry"))), second(geo.rewind(F.col("geometry"), clockwise=False))
+    return shapes(t).select(
+        "s_suppkey", _kind(), cw[0].alias("x1"), cw[1].alias("y1"), ccw[0].alias("ccw_x1"), ccw[1].alias("ccw_y1")
+    )
 
 
 @query(

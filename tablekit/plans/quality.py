@@ -431,3 +431,16 @@ def _(t):
 def _(t):
     df = t.events.withColumn("_row", F.col("event_id"))
     return rules.validate(df, {"user_id": {"unique": True}}).select("_row", "value")
+
+
+@query(
+    "val7_unique_of_several",
+    """SELECT event_id AS _row, 'user_id' AS "column", CAST(user_id AS VARCHAR) AS value FROM events
+       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1
+       UNION ALL SELECT event_id, 'event_type', event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) > 1""",
+)
+def _(t):
+    """A column that the table lacks is blank in every row and repeats nothing."""
+    df = t.events.withColumn("_row", F.col("event_id"))
+    checks = {"user_id": {"unique": True}, "absent": {"unique": True}, "event_type": {"unique": True}}
+    return rules.validate(df, checks).select("_row", "column", "value")

@@ -149,7 +149,10 @@ STATEMENT = r"(?is)^.*<(STMTRS|CCSTMTRS|INVSTMTRS)>"
 
 def read_ofx(spark: SparkSession, path: str) -> DataFrame:
     """Transactions of OFX, QFX and QBO files, with their account's data."""
-    chunks = without_bom(pieces(spark, path, "</STMTTRN>"))
+    # Large files are split at the usual spelling of the mark, pieces at any other.
+    marks = F.explode(F.split("value", "(?i)</STMTTRN>")).alias("value")
+    chunks = without_bom(pieces(spark, path, "</STMTTRN>")).select("file", "block", "file_size", marks)
+    chunks = chunks.withColumn("_seq", F.monotonically_increasing_id())
     is_tx = F.col("value").rlike("(?i)<STMTTRN>")
     before = F.when(is_tx, F.regexp_replace("value", r"(?is)<STMTTRN>.*$", "")).otherwise(F.col("value"))
     chunks = chunks.withColumns(

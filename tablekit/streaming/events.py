@@ -18,6 +18,23 @@ from tablekit.operators.ledger import MONEY
 from tablekit.operators.profile import log_level, log_template
 
 
+def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Process what has arrived since the last run with this checkpoint, and give the whole result so far.
+
+    Both folders must be shared by all executors. A run that is cut short goes
+    on where it stopped; results are written once.
+    """
+    query = (
+        stream.writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start(out)
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
 def validate(stream: DataFrame, row_rules: Mapping[str, Mapping[str, Any]], row: str) -> DataFrame:
     """Row rules on a stream; ``unique`` needs the whole table and is refused."""
     if any(r.get("unique") for r in row_rules.values()):
