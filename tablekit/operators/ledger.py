@@ -8,7 +8,7 @@ order column. Amounts are decimals, so sums do not depend on row order.
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -197,9 +197,9 @@ def ofx_date(c: Column) -> Column:
 #
 # The rule is sequential: each transaction of A, in order, takes the first free
 # transaction of B it agrees with. Amounts more than a cent apart never agree,
-# so the rule falls apart into runs of neighbouring amounts. Runs of a bounded
-# size are settled in tasks, many runs to a task. What is left are long runs,
-# which are settled in rounds over the whole cluster:
+# so the rule falls apart into runs of neighbouring amounts. Runs are dealt over
+# all tasks; those of a bounded size are settled one after another. What is left
+# are long runs, which are settled in rounds over the whole cluster:
 #
 # Whether two transactions agree depends only on their signature (cents, day,
 # id, check number), so equal ones are one row with a count. A round looks up,
@@ -211,7 +211,7 @@ def ofx_date(c: Column) -> Column:
 # order the number of rounds follows the number of days, not of rows.
 
 NO_DAY = -(10**9)
-# Rows of a run of amounts that one task may settle.
+# Rows of a run of amounts that are settled together; longer runs go through the rounds.
 RUN_ROWS = 200_000
 
 
@@ -304,22 +304,23 @@ def _matched(members: DataFrame, pairs: DataFrame, sid: str, taken: str, out: st
     return chosen.select("pair", (F.col("place") - F.col("_t")).alias("k"), F.col("r").alias(out))
 
 
-def match_pairs(a: DataFrame, b: DataFrame, days: int = 3, row: str = ROW) -> DataFrame:
+def match_pairs(a: DataFrame, b: DataFrame, days: int = 3, row: str = ROW, run_rows: int = RUN_ROWS) -> DataFrame:
     """Matched row numbers ``a_row, b_row`` of two transaction tables.
 
     Two transactions agree when their amounts differ by at most 0.01 and they
-    share an id, lie at most ``days`` apart, or share a check number.
+    share an id, lie at most ``days`` apart, or share a check number. Both ways
+    of settling give the same pairs; ``run_rows=0`` settles all in rounds.
     """
     a_sig, a_members = _prepared(a, row)
     b_sig, b_members = _prepared(b, row)
     result = a.sparkSession.createDataFrame([], "a_row bigint, b_row bigint")
     tried = None
     while True:
-        left = a_sig.count()
-        if tried is None or left * 2 <= tried:
+        left = a_sig.count() if run_rows else 0
+        if run_rows and (tried is None or left * 2 <= tried):
             # Runs get shorter as rows are settled, so they are looked at again.
             tried = left
-            short = cut(_short_runs(a_sig, b_sig))
+            short = cut(_short_runs(a_sig, b_sig, run_rows))
             result = result.unionByName(cut(_settled(short, a_sig, a_members, b_sig, b_members, days)))
             a_sig, b_sig = (cut(s.join(short, "cents", "left_anti")) for s in (a_sig, b_sig))
             if a_sig.isEmpty() or b_sig.isEmpty():
@@ -343,8 +344,8 @@ def match_pairs(a: DataFrame, b: DataFrame, days: int = 3, row: str = ROW) -> Da
         b_sig, b_members = _left_over(b_sig, b_members, b_choice, pairs, "b_sid")
 
 
-def _short_runs(a_sig: DataFrame, b_sig: DataFrame) -> DataFrame:
-    """Amounts in runs that one task can settle: ``cents, bucket``."""
+def _short_runs(a_sig: DataFrame, b_sig: DataFrame, run_rows: int) -> DataFrame:
+    """Amounts in runs of at most ``run_rows`` rows: ``cents, run``."""
     free = F.col("n") - F.col("taken")
     amounts = a_sig.select("cents", free.alias("n")).unionByName(b_sig.select("cents", free.alias("n")))
     amounts = amounts.groupBy("cents").agg(F.sum("n").alias("n"))
@@ -354,33 +355,48 @@ def _short_runs(a_sig: DataFrame, b_sig: DataFrame) -> DataFrame:
     runs = running_total(flagged, ["cents"], F.col("_starts"), "_before").withColumn(
         "run", F.col("_before") + F.col("_starts")
     )
-    sizes = runs.groupBy("run").agg(F.sum("n").alias("rows")).filter(F.col("rows") <= RUN_ROWS)
-    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("t")).first()["t"]
-    buckets = max(1, int(total / RUN_ROWS) * 4)
-    return runs.join(sizes.select("run"), "run").select(
-        "cents", F.pmod(F.xxhash64("run"), F.lit(buckets)).alias("bucket")
-    )
+    sizes = runs.groupBy("run").agg(F.sum("n").alias("rows")).filter(F.col("rows") <= run_rows)
+    return runs.join(sizes.select("run"), "run").select("cents", "run")
 
 
 def _settled(
     short: DataFrame, a_sig: DataFrame, a_members: DataFrame, b_sig: DataFrame, b_members: DataFrame, days: int
 ) -> DataFrame:
-    """The sequential rule on whole runs of amounts, several runs to a task."""
+    """The sequential rule on whole runs of amounts, one run after another."""
 
     def rows(signatures: DataFrame, members: DataFrame, side: str) -> DataFrame:
         some = signatures.join(short, "cents").drop("n")
         return (
             members.join(some, "sid")
             .filter(F.col("place") >= F.col("taken"))
-            .select("bucket", F.lit(side).alias("side"), "r", "cents", "day", "id", "chk")
+            .select("run", F.lit(side).alias("side"), "r", "cents", "day", "id", "chk")
         )
 
     both = rows(a_sig, a_members, "a").unionByName(rows(b_sig, b_members, "b"))
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by run; a run may go over several batches.
+        kept: list[pd.DataFrame] = []
+        for pdf in batches:
+            ends = pdf["run"].ne(pdf["run"].iloc[-1]).to_numpy() if len(pdf) else []
+            whole = pdf[ends] if len(pdf) else pdf
+            if kept and len(pdf) and pdf["run"].iloc[0] != kept[0]["run"].iloc[0]:
+                yield pairs(pd.concat(kept))
+                kept = []
+            if len(whole):
+                yield pairs(pd.concat([*kept, whole]))
+                kept = []
+            if len(pdf):
+                kept.append(pdf[~ends])
+        if kept:
+            yield pairs(pd.concat(kept))
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Amounts of different runs never agree, so several may be settled at once.
         return pd.DataFrame(_greedy(pdf, days), columns=["a_row", "b_row"], dtype="int64")
 
-    return both.groupBy("bucket").applyInPandas(settle, "a_row bigint, b_row bigint")
+    sorted_runs = both.repartition("run").sortWithinPartitions("run")
+    return sorted_runs.mapInPandas(settle, "a_row bigint, b_row bigint")
 
 
 def _greedy(pdf: pd.DataFrame, days: int) -> list[tuple[int, int]]:
@@ -432,12 +448,12 @@ def _left_over(
     return alive, cut(rest)
 
 
-def reconcile(a: DataFrame, b: DataFrame, days: int = 3, row: str = ROW) -> DataFrame:
+def reconcile(a: DataFrame, b: DataFrame, days: int = 3, row: str = ROW, run_rows: int = RUN_ROWS) -> DataFrame:
     """Every transaction of both sides: ``status, a_row, b_row``.
 
     Status is matched, unmatched_a or unmatched_b.
     """
-    pairs = match_pairs(a, b, days, row)
+    pairs = match_pairs(a, b, days, row, run_rows)
     only_a = a.select(F.col(row).alias("a_row")).join(pairs.select("a_row"), "a_row", "left_anti")
     only_b = b.select(F.col(row).alias("b_row")).join(pairs.select("b_row"), "b_row", "left_anti")
     none = F.lit(None).cast("bigint")

@@ -193,6 +193,46 @@ def _(t):
     return ledger.reconcile_report(a, b, ledger.reconcile(a, b))
 
 
+# All transactions of a group agree, so the rule pairs them in order.
+IN_ORDER = """WITH a AS (SELECT o_orderkey AS k, o_orderkey % 50 AS g FROM orders), b AS (SELECT * FROM a WHERE k % 4 <> 0),
+  x AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) AS n FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) AS n FROM b),
+  p AS (SELECT CASE WHEN y.k IS NULL THEN 'unmatched_a' WHEN x.k IS NULL THEN 'unmatched_b' ELSE 'matched' END AS status, x.k AS a_row, y.k AS b_row
+    FROM x FULL JOIN y ON x.g = y.g AND x.n = y.n)"""
+
+
+def _groups(t, cents):
+    """Statements of fifty amounts a unit apart, all on one day; ``cents`` is added to the second."""
+    k = F.col("o_orderkey")
+    a = t.orders.select(
+        k.alias("_row"), F.lit("").alias("id"), F.lit("2024-01-01").cast("date").alias("date"), (k % 50).cast("decimal(18,2)").alias("amount")
+    )
+    return a, a.filter("_row % 4 <> 0").withColumn("amount", (F.col("amount") + cents).cast("decimal(18,2)"))
+
+
+@query("joi6_in_order", IN_ORDER + " SELECT status, a_row, b_row FROM p")
+def _(t):
+    a, b = _groups(t, F.when(F.col("_row") % 2 == 0, F.lit(0.01)).otherwise(F.lit(0)).cast("decimal(18,2)"))
+    return ledger.reconcile(a, b)
+
+
+@query("joi6_rounds", IN_ORDER + " SELECT status, a_row, b_row FROM p")
+def _(t):
+    """The same pairs, all settled in rounds."""
+    return ledger.reconcile(*_groups(t, F.lit(0)), run_rows=0)
+
+
+@query(
+    "dif10_report_in_order",
+    IN_ORDER + """ SELECT count(*) FILTER (status <> 'matched') = 0 AS reconciled, count(*) FILTER (status = 'matched') AS matched,
+        count(*) FILTER (status = 'unmatched_a') AS unmatched_a, count(*) FILTER (status = 'unmatched_b') AS unmatched_b,
+        CAST((SELECT sum(g) FROM a) AS DOUBLE) AS total_a, CAST((SELECT sum(g) FROM b) AS DOUBLE) AS total_b,
+        CAST((SELECT sum(g) FROM a) - (SELECT sum(g) FROM b) AS DOUBLE) AS discrepancy FROM p""",
+)
+def _(t):
+    a, b = _groups(t, F.lit(0))
+    return ledger.reconcile_report(a, b, ledger.reconcile(a, b))
+
+
 # --- spreadsheet functions --------------------------------------------------
 
 

@@ -59,25 +59,35 @@ def test_short_runs_as_sequential(spark, seed, n, amounts, span):
     assert sorted((r.a_row, r.b_row) for r in got) == sequential(a, b)
 
 
-def test_rounds_as_sequential(spark, monkeypatch):
-    # With no short runs everything goes through the rounds.
-    monkeypatch.setattr(ledger, "RUN_ROWS", 0.5)
+def test_runs_over_many_batches(spark):
+    """Runs that go over the end of an Arrow batch, and some settled in rounds among others that are not."""
+    rng = random.Random(9)
+    a, b = side(rng, 90, list(range(0, 900, 100)) + [501] * 3, 20), side(rng, 80, list(range(0, 900, 100)), 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for run_rows in (10**6, 20):
+            got = ledger.match_pairs(frame(spark, a), frame(spark, b), run_rows=run_rows).collect()
+            assert sorted((r.a_row, r.b_row) for r in got) == sequential(a, b)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rounds_as_sequential(spark):
     rng = random.Random(4)
     a, b = side(rng, 16, [100, 101, 102, 500], 12), side(rng, 14, [100, 101, 102, 500], 12)
-    got = ledger.match_pairs(frame(spark, a), frame(spark, b)).collect()
+    got = ledger.match_pairs(frame(spark, a), frame(spark, b), run_rows=0).collect()
     assert sorted((r.a_row, r.b_row) for r in got) == sequential(a, b)
 
 
 def test_equal_rows_need_few_rounds(spark, monkeypatch):
     """Many equal transactions on both sides are one signature each."""
-    monkeypatch.setattr(ledger, "RUN_ROWS", 0.5)
     day = datetime.date(2024, 1, 1)
     a = [(i, "", day, 999, "") for i in range(300)]
     b = [(i, "", day, 999, "") for i in range(250)]
     rounds = []
     kept = ledger._left_over
     monkeypatch.setattr(ledger, "_left_over", lambda *args: rounds.append(1) or kept(*args))
-    got = ledger.match_pairs(frame(spark, a), frame(spark, b)).collect()
+    got = ledger.match_pairs(frame(spark, a), frame(spark, b), run_rows=0).collect()
     assert sorted((r.a_row, r.b_row) for r in got) == [(i, i) for i in range(250)]
     # One round, which updates both sides.
     assert len(rounds) == 2
