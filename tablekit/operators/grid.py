@@ -125,6 +125,12 @@ def address(row: Column, c: Column) -> Column:
     return F.concat(column_letters(c), row.cast("string"))
 
 
+def column_number(letters: Column) -> Column:
+    """The number of a column from its letters."""
+    place = F.transform(F.split(F.upper(letters), ""), lambda c: F.ascii(c) - 64)
+    return F.aggregate(F.filter(place, lambda n: n > 0), F.lit(0), lambda total, n: total * 26 + n)
+
+
 def set_cells(
     cells: DataFrame, workbook: str, sheet: str, values: Mapping[str, Any], formulas: Mapping[str, str] | None = None
 ) -> DataFrame:
@@ -172,8 +178,55 @@ def dimensions(cells: DataFrame) -> DataFrame:
     ).withColumn("range", F.concat(F.lit("A1:"), address(F.col("rows"), F.col("cols"))))
 
 
-def profile(cells: DataFrame) -> DataFrame:
-    """Cell counts by type per sheet, with dimensions."""
+# Rows and columns of a tile, by which cells meet the ranges over them.
+TILE = (256, 16)
+
+
+def merged_ranges(merges: DataFrame, ref: str = "ref") -> DataFrame:
+    """``workbook, sheet, merge, row1, col1, row2, col2`` of ranges such as ``B2:D4``, each once.
+
+    Corners may come in any order, with or without ``$``; ``merge`` names the
+    range from its upper left to its lower right cell. What is no range is left out.
+    """
+    corner = r"^\$?([A-Z]+)\$?(\d+)(?::\$?([A-Z]+)\$?(\d+))?$"
+    text = F.upper(F.trim(ref))
+    part = lambda i: F.regexp_extract(text, corner, i)
+    a, b = column_number(part(1)), part(2).cast("int")
+    c = F.when(part(3) != "", column_number(part(3))).otherwise(a)
+    d = F.when(part(4) != "", part(4).try_cast("int")).otherwise(b)
+    found = merges.filter(text.rlike(corner)).select(
+        *SHEET, F.least(b, d).alias("row1"), F.least(a, c).alias("col1"), F.greatest(b, d).alias("row2"), F.greatest(a, c).alias("col2")
+    )
+    name = F.concat(address(F.col("row1"), F.col("col1")), F.lit(":"), address(F.col("row2"), F.col("col2")))
+    return found.distinct().select(*SHEET, name.alias("merge"), "row1", "col1", "row2", "col2")
+
+
+def with_merges(cells: DataFrame, merges: DataFrame, ref: str = "ref") -> DataFrame:
+    """Cells with ``merge``, the merged range that covers them, and ``master``, whether they are its upper left cell.
+
+    Ranges and cells meet by the tiles of the sheet that they lie in, so a large
+    sheet is spread over many tasks. Of ranges that overlap the one that begins
+    first, by row and then column, counts.
+    """
+    tall, wide = TILE
+    tiles = merged_ranges(merges, ref).withColumn("_tr", F.explode(F.sequence(F.floor(F.col("row1") / tall), F.floor(F.col("row2") / tall))))
+    tiles = tiles.withColumn("_tc", F.explode(F.sequence(F.floor(F.col("col1") / wide), F.floor(F.col("col2") / wide))))
+    placed = cells.select(*SHEET, "row", "col", F.floor(F.col("row") / tall).alias("_tr"), F.floor(F.col("col") / wide).alias("_tc"))
+    inside = F.col("row").between(F.col("row1"), F.col("row2")) & F.col("col").between(F.col("col1"), F.col("col2"))
+    covered = placed.join(tiles, [*SHEET, "_tr", "_tc"]).filter(inside).groupBy(*SHEET, "row", "col").agg(
+        F.min(F.struct("row1", "col1", "row2", "col2", "merge")).alias("_m")
+    )
+    master = (F.col("row") == F.col("_m.row1")) & (F.col("col") == F.col("_m.col1"))
+    return cells.join(covered, [*SHEET, "row", "col"], "left").withColumns(
+        {"merge": F.col("_m.merge"), "master": F.coalesce(master, F.lit(False))}
+    ).drop("_m")
+
+
+def profile(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """Cell counts by type per sheet, with dimensions; with ``merges`` also the number of merged ranges."""
+    if merges is not None:
+        counts = merged_ranges(merges).groupBy(*SHEET).agg(F.count(F.lit(1)).alias("merges"))
+        return profile(cells).join(counts, SHEET, "left").withColumn("merges", F.coalesce("merges", F.lit(0)))
     filled = has_content()
 
     def n(kind: str) -> Column:

@@ -463,6 +463,35 @@ def _(t):
     return grid.dimensions(order_cells(t)).select("sheet", "rows", "cols", "range")
 
 
+def order_merges(t):
+    """In each of the three sheets a range of three rows and two columns at every tenth order, spelt in two ways."""
+    r = F.col("o_orderkey") + 2
+    plain = F.concat(F.lit("A"), r.cast("string"), F.lit(":B"), (r + 2).cast("string"))
+    turned = F.concat(F.lit("$b$"), (r + 2).cast("string"), F.lit(":$A"), r.cast("string"))
+    ref = F.when(F.col("o_orderkey") % 20 == 0, turned).otherwise(plain)
+    tenth = t.orders.filter("o_orderkey % 10 = 0")
+    return tenth.select(F.lit("book").alias("workbook"), F.explode(F.array(*map(F.lit, ("sheet0", "sheet1", "sheet2")))).alias("sheet"), ref.alias("ref"))
+
+
+@query(
+    "grd5_merges",
+    """WITH k AS (SELECT o_orderkey AS k, 'sheet' || (o_custkey % 3) AS sheet, unnest([1, 2, 3]) AS col FROM orders),
+         m AS (SELECT *, k % 10 < 3 AND col < 3 AS merged, k - k % 10 + 2 AS r FROM k)
+       SELECT sheet, CAST(k + 2 AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, CASE WHEN merged THEN 'A' || r || ':B' || (r + 2) END AS merge,
+         merged AND k % 10 = 0 AND col = 1 AS master FROM m""",
+)
+def _(t):
+    return grid.with_merges(order_cells(t), order_merges(t)).select("sheet", "row", "col", "merge", "master")
+
+
+@query(
+    "prf12_merge_count",
+    """SELECT 'sheet' || (o_custkey % 3) AS sheet, count(*) * 3 AS cells, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS merges FROM orders GROUP BY 1""",
+)
+def _(t):
+    return grid.profile(order_cells(t), order_merges(t)).select("sheet", "cells", "merges")
+
+
 @query(
     "grd6_serials",
     """SELECT o_orderkey, CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS INTEGER) AS serial, o_orderdate + INTERVAL 6 HOUR AS back FROM orders""",

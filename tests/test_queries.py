@@ -22,10 +22,16 @@ def con():
     return con
 
 
+# Queries that SQL cannot follow, and where their results are held against something else.
+ELSEWHERE = {
+    "joi6_reconcile": "test_reconcile", "dif10_reconcile_report": "test_reconcile", "dif12_line_edits": "test_operators",
+}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     verdict, *_ = compare(spark, con, name, FOLDER)
-    assert verdict.startswith(("ok", "rows")), verdict
+    assert verdict.startswith("rows" if name in ELSEWHERE else "ok"), verdict
 
 
 def test_every_sql_has_a_query():
