@@ -42,6 +42,20 @@ def _(t):
     return tables.read_csv(t.spark, folder).drop("_row")
 
 
+@query(
+    "src1_other_headers",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN o_orderstatus END AS o_orderstatus,
+         CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders""",
+)
+def _(t):
+    """Files with other columns, and the same ones in another order."""
+    folder = new_folder(t.spark)
+    columns = (["o_orderkey", "o_orderstatus"], ["o_orderpriority", "o_orderstatus", "o_orderkey"], ["o_orderpriority", "o_orderkey"])
+    for k, names in enumerate(columns):
+        texts.write_csv(t.orders.filter(F.col("o_orderkey") % 3 == k).select(*names), f"{folder}/{k}")
+    return tables.read_csv(t.spark, f"{folder}/*").drop("_row")
+
+
 @query(
     "src2_typing",
     """SELECT event_id, CAST(NULLIF(user_id, 3) AS BIGINT) AS a, value AS b, event_id % 2 = 0 AS c, CASE WHEN event_id % 2 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS d FROM events""",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,12 +31,15 @@ def read_csv(
     transform_header: Callable[[str], str] | None = None,
     multi_line: bool = True,
     lenient: bool = True,
+    numbered_blanks: bool = False,
 ) -> DataFrame:
     """All-text columns and ``_row``; short rows get nulls, long rows are cut.
 
-    Blank headers become ``column`` and repeats get a number. Files without
-    line breaks inside cells should be read with ``multi_line=False``, which
-    lets one large file be split over tasks.
+    Blank headers become ``column``, or ``col_N`` with ``numbered_blanks``, and
+    repeats get a number. Each file has its
+    own header: files are read by groups of equal ones, and a column that a file
+    lacks is null there. Files without line breaks inside cells should be read
+    with ``multi_line=False``, which lets one large file be split over tasks.
     """
     sides = {True: "both", False: "none"}.get(trim, trim)
     options: dict[str, Any] = {
@@ -49,17 +54,50 @@ def read_csv(
     }
     if comment:
         options["comment"] = comment
+    tables = [
+        _one_header(spark, files, options, has_header, transform_header, numbered_blanks)
+        for files in (_files_by_header(spark, path, comment) if has_header else [path])
+    ]
+    tables = [t for t in tables if t is not None]
+    if not tables:
+        return with_row(spark.createDataFrame([], "column string"))
+    return with_row(functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables))
+
+
+def _files_by_header(spark: SparkSession, path: str, comment: str | None) -> list[str | list[str]]:
+    """The files of ``path`` in groups whose first line is the same, by the first file's name.
+
+    Only several files are looked into. What comes back are file names, which
+    the driver lists anyway.
+    """
+    if len(spark.read.text(path).inputFiles()) < 2:
+        return [path]
+    lines = without_bom(pieces(spark, path)).filter(strip(F.col("value")) != "")
+    if comment:
+        lines = lines.filter(~F.col("value").startswith(comment))
+    heads = lines.groupBy("file").agg(F.min_by(F.rtrim("value"), F.struct("block", "_seq")).alias("head"))
+    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    if len(groups) < 2:
+        return [path]
+    return [[unquote(f) for f in r["files"]] for r in sorted(groups, key=lambda r: r["files"])]
+
+
+def _one_header(
+    spark: SparkSession, path: str | list[str], options: Mapping[str, Any], has_header: bool, transform: Callable[[str], str] | None,
+    numbered_blanks: bool,
+) -> DataFrame | None:
     first = spark.read.options(**options).csv(path).limit(1).collect()
     if not first:
-        return with_row(spark.createDataFrame([], "column string"))
+        return None
     names = ["" if v is None else str(v) for v in first[0]]
     names[0] = names[0].removeprefix("﻿")
     if has_header:
-        names = unique_headers([transform_header(n) if transform_header else n.strip() for n in names])
+        names = [transform(n) if transform else n.strip() for n in names]
+        names = unique_headers([n or f"col_{i + 1}" for i, n in enumerate(names)] if numbered_blanks else names)
     else:
         names = [f"col_{i + 1}" for i in range(len(names))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return with_row(spark.read.options(**options).schema(schema).csv(path, header=has_header, enforceSchema=True))
+    return spark.read.options(**options).schema(schema).csv(path, header=has_header, enforceSchema=True)
 
 
 def typed_cell(c: Column) -> Column:
@@ -118,13 +156,9 @@ def typed_columns(df: DataFrame, row: str = ROW) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, has_header: bool = True, **options) -> DataFrame:
     """Second CSV reading: blank headers become ``col_N``, no comments, cells typed."""
-    df = read_csv(spark, path, comment=None, trim=True, has_header=False, **options)
-    if has_header:
-        raw = df.drop(ROW).limit(1).collect()[0]
-        names = [v or f"col_{i + 1}" for i, v in enumerate(raw)]
-        body = read_csv(spark, path, comment=None, trim=True, has_header=True, **options)
-        df = body.drop(ROW).toDF(*unique_headers(names)).withColumn(ROW, F.monotonically_increasing_id())
-    return typed_columns(df)
+    return typed_columns(
+        read_csv(spark, path, comment=None, trim=True, has_header=has_header, numbered_blanks=True, **options)
+    )
 
 
 # --- delimiter and structure ------------------------------------------------
