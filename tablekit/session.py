@@ -46,9 +46,18 @@ def local_session(cores: str | int = "*", name: str = "tablekit") -> SparkSessio
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else one in the warehouse.
+
+    On a cluster a warehouse on the driver's own disk is none that executors see.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_tablekit"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local = spark.sparkContext.master.startswith("local")
+    if not local and _located(spark, warehouse)[1].getScheme() == "file":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_tablekit"
 
 
 def new_folder(spark: SparkSession) -> str:
