@@ -195,9 +195,10 @@ def fit_embeddings(
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [counted(t.as_py(), how) for t in batch.column(3)]
-            lists = [pa.array([f[i].astype(np.int32) for f in got], pa.list_(pa.int32())) for i in (0, 1)]
+            found = [counted(t.as_py(), how) for t in batch.column(3)]
+            lists = [pa.array([f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["shard", "turn", "label", "buckets", "counts"])
+        pa.default_memory_pool().release_unused()
 
     # Texts are read once; what the rounds read again are buckets and counts.
     found = rows.select(shard, turn, "label", "text").mapInArrow(
@@ -216,19 +217,20 @@ def _round(sample: DataFrame, vectors: np.ndarray, output: np.ndarray, how: Subw
     the output layer the mean over all."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("turn")
-        y = np.array(table.column("label").to_pylist(), dtype=np.int64)
-        each = [_lists(table.column(c)) for c in ("buckets", "counts")]
+        order = np.argsort(table.column("turn").to_numpy(), kind="stable")
+        y = table.column("label").to_numpy()[order].astype(np.int64)
+        rows = list(zip(_views(table.column("buckets")), _views(table.column("counts"))))
         mine, out = vectors.copy(), output.copy()
-        descend(list(zip(*each)), y, mine, out, how, rate, last)
+        descend([rows[i] for i in order], y, mine, out, how, rate, last)
         moved = np.flatnonzero((mine != vectors).any(axis=1))
         # Buckets from 0 on, the rows of the output layer below 0.
-        at = np.concatenate([moved, -1 - np.arange(len(out))])
         values = np.concatenate([mine[moved], out])
-        return pa.table({"at": at, "row": pa.array(list(values.astype(float)), pa.list_(pa.float64()))})
+        pa.default_memory_pool().release_unused()
+        return pa.table({"at": np.concatenate([moved, -1 - np.arange(len(out))])} | {f"v{i}": values[:, i] for i in range(how.size)})
 
-    means = [F.avg(F.col("row")[i]).alias(f"v{i}") for i in range(how.size)]
-    got = sample.groupBy("shard").applyInArrow(run, "at bigint, row array<double>").groupBy("at").agg(*means).toArrow()
+    means = [F.avg(f"v{i}").alias(f"v{i}") for i in range(how.size)]
+    schema = ", ".join(["at bigint", *(f"v{i} float" for i in range(how.size))])
+    got = sample.groupBy("shard").applyInArrow(run, schema).groupBy("at").agg(*means).toArrow()
     at = got.column("at").to_numpy()
     values = np.stack([got.column(f"v{i}").to_numpy() for i in range(how.size)], axis=1).astype(np.float32)
     vectors, output = vectors.copy(), output.copy()
@@ -237,8 +239,12 @@ def _round(sample: DataFrame, vectors: np.ndarray, output: np.ndarray, how: Subw
     return vectors, output
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.asarray(v.values.to_numpy()) for chunk in column.chunks for v in chunk]
+def _views(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """The lists of a column as views of its own memory."""
+    for chunk in column.chunks:
+        values, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        for start, stop in zip(offsets[:-1], offsets[1:]):
+            yield values[start:stop]
 
 
 def chance(model: Embeddings, text: str = "text", label: int = 1) -> Column:
