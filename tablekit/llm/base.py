@@ -19,7 +19,7 @@ ALNUM = bytes(
 # A-Z become a-z, nothing else changes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 # One dictionary of words holds this many entries, then it starts anew.
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 17
 _MIX = (
     np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
     np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB),
@@ -61,6 +61,29 @@ class Scratch:
             remove(self.spark, self.folders.pop(name))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker goes on to other tasks and would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    # Not every C library has it.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A batch function that gives its memory back once it has ended."""
+
+    def tidied(batches):
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -74,14 +97,15 @@ def texts(batch, name: str = "text") -> Iterator[bytes]:
 
 
 class WordHashes:
-    """64-bit hashes of words, remembered for words seen before."""
+    """64-bit hashes of words, remembered for at most ``limit`` words seen before."""
 
-    def __init__(self):
+    def __init__(self, limit: int = MEMO_WORDS):
         self.memo: dict[bytes, int] = {}
+        self.limit = limit
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         memo = self.memo
-        if len(memo) > MEMO_WORDS:
+        if len(memo) > self.limit:
             memo.clear()
         found = [memo.get(w) for w in words]
         if None in found:

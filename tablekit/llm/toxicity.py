@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import ALNUM, WordHashes, mixed, prepare, text_of
+from tablekit.llm.base import ALNUM, Scratch, WordHashes, mixed, prepare, release, text_of
 from tablekit.llm.quality import labelled_sample
 
 BIAS = np.uint64(1)
-STEM = 4
+# Words a task remembers, and places of the table that finds features too rare to learn.
+MEMO, RARE = 1 << 16, 1 << 22
 STEMS = re.compile(rb"^(?:[\x00-\x7F]|[\xC0-\xFF][\x80-\xBF]+){4}")
 
 
@@ -47,7 +48,7 @@ class Features:
     """Hashes of words, word stems, word pairs and pairs that skip one or two words."""
 
     def __init__(self):
-        self.words, self.stems = WordHashes(), {}
+        self.words, self.stems = WordHashes(MEMO), {}
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.translate(ALNUM).split()
@@ -63,7 +64,7 @@ class Features:
 
     def _stems(self, words: list[bytes]) -> np.ndarray:
         known = self.stems
-        if len(known) > 1 << 19:
+        if len(known) > MEMO:
             known.clear()
         for w in set(words).difference(known):
             head = STEMS.match(w)
@@ -120,7 +121,13 @@ def fit_toxicity(
     label: str = "toxic",
     how: Ftrl = Ftrl(),
 ) -> Weights:
-    """Weights learnt from about ``how.sample_rows`` labelled documents, chosen by a hash of the key."""
+    """Weights learnt from about ``how.sample_rows`` labelled documents, chosen by a hash of the key.
+
+    Null keys and labels are left out, a key with several labels has the
+    largest; every row that repeats a labelled key is learnt from. A null or
+    empty text has the bias alone. Without labelled rows there are no weights.
+    """
+    scratch = Scratch(prepare(docs.sparkSession))
     chosen = labelled_sample(labels, key, label, how.sample_rows)
     rows = docs.select(F.col(key).alias("key"), text_of(text).cast("binary").alias("text")).join(
         # Bounded by sample_rows, so it may be sent to every task.
@@ -128,11 +135,24 @@ def fit_toxicity(
     )
     shards = max(1, round(min(how.sample_rows, chosen.count()) / how.shard_rows))
     shard = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(shards)).cast("int").alias("shard")
-    sample = rows.select(shard, F.xxhash64("key", F.lit(9)).alias("turn"), "label", "text").cache()
+
+    turn = F.xxhash64("key", "text", F.lit(9)).alias("turn")
+
+    def hashed(table: pa.Table) -> pa.Table:
+        # The texts of a shard are gathered, not their features, of which nearly all are too rare to learn.
+        found = common_features(table.column("text"), how.least_rows, max(how.least_rows, how.most_share * len(table)))
+        table = table.drop_columns("text").append_column("features", pa.array([f.tobytes() for f in found], pa.binary()))
+        release()
+        return table
+
+    found = rows.select(shard, turn, "label", "text").groupBy("shard").applyInArrow(
+        hashed, "shard int, turn bigint, label int, features binary"
+    )
+    sample = scratch.store(found, "sample")
     state: tuple[np.ndarray, ...] = tuple(np.zeros(0, dtype=t) for t in (np.uint64, float, float))
     for _ in range(how.rounds):
         state = _round(sample, state, how)
-    sample.unpersist()
+    scratch.drop("sample")
     features, z, n = state
     w = weight(z, n, how)
     own = features == BIAS
@@ -140,25 +160,46 @@ def fit_toxicity(
     return Weights(features[keep], w[keep], float(w[own].sum()))
 
 
+def common_features(texts: pa.ChunkedArray, least: int, most: float) -> Iterator[np.ndarray]:
+    """The features of each text that at least ``least`` and at most ``most`` of the texts have.
+
+    The texts are read twice: a table of counts by the features' low bits drops
+    nearly all rare ones at the second reading, so they never lie side by side.
+    """
+    low, read = np.uint64(RARE - 1), Features()
+    table = np.zeros(RARE, dtype=np.uint8)
+    for t in texts:
+        at = np.unique((read(t.as_py()) & low).astype(np.int64))
+        table[at] += table[at] < least
+    kept = []
+    for t in texts:
+        found = read(t.as_py())
+        kept.append(np.unique(found[table[(found & low).astype(np.int64)] >= least]))
+    every, counts = np.unique(np.concatenate(kept), return_counts=True)
+    used = every[(counts >= least) & (counts <= most)]
+    for found in kept:
+        yield used[_places(found, used)] if len(used) else used
+
+
 def _round(sample: DataFrame, state: tuple[np.ndarray, ...], how: Ftrl) -> tuple[np.ndarray, ...]:
     """All shards learn from ``state``; the mean of their states is the next one."""
     known, known_z, known_n = state
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("turn", "ascending"), ("text", "ascending")])
-        read = Features()
-        found = [np.unique(np.append(read(t.as_py()), BIAS)) for t in table.column("text")]
-        y = np.array(table.column("label").to_pylist(), dtype=float)
-        every, counts = np.unique(np.concatenate(found), return_counts=True)
-        telling = (counts >= how.least_rows) & (counts <= max(how.least_rows, how.most_share * len(y)))
-        used = every[telling | (every == BIAS)]
-        rows = [_places(f, used) for f in found]
+        order = np.argsort(table.column("turn").to_numpy(), kind="stable")
+        y = table.column("label").to_numpy()[order].astype(float)
+        # Views of the table's own bytes.
+        found = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table.column("features")]
+        used = np.union1d(np.concatenate(found), BIAS)
+        rows = [_places(np.append(found[i], BIAS), used) for i in order]
         z, n = np.zeros(len(used)), np.zeros(len(used))
         if len(known):
             at = np.minimum(np.searchsorted(known, used), len(known) - 1)
             same = known[at] == used
             z[same], n[same] = known_z[at[same]], known_n[at[same]]
         learn(rows, y, z, n, how)
+        del found, rows
+        release()
         return pa.table({"feature": used.view(np.int64), "z": z, "n": n})
 
     # States with a weight, and the bias: what L1 holds at zero starts anew.
@@ -190,6 +231,8 @@ def toxicity(model: Weights, text: str = "text") -> Column:
         read = Features()
         for batch in batches:
             yield pa.array([model.score(read(t.as_py()), hit) for t in batch], pa.float64())
+        del read
+        release()
 
     return score(text_of(text).cast("binary"))
 
