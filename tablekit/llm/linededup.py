@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import LOWER, Scratch, WordHashes, prepare, text_of
+from tablekit.llm.base import LOWER, Scratch, WordHashes, prepare, text_of, tidy
 
 ORDER = ("no_id", "doc", "content", "line")
-# A list of documents of at most so many rows is sent to every task; a longer one is joined by a shuffle.
-SENT_ROWS = 200_000
+# A list of documents and lines of at most so many bytes is sent to every task; a longer one is joined by a shuffle.
+SENT_BYTES = 32 << 20
+# A line that makes up more than this part of all lines is common; there can be no more common lines than the inverse.
+COMMON = 1 / 2000
 
 
 def name_of(words: bytes) -> tuple[int, int]:
@@ -92,7 +94,7 @@ def _lines(docs: DataFrame, kind: str, min_words: int, near_words: int) -> DataF
             )
 
     rows = docs.select("doc", F.col("text").cast("binary").alias("text"), "content")
-    return rows.mapInArrow(run, f"doc {kind}, content bigint, line int, h1 bigint, h2 bigint, halves array<bigint>")
+    return rows.mapInArrow(tidy(run), f"doc {kind}, content bigint, line int, h1 bigint, h2 bigint, halves array<bigint>")
 
 
 def _variants(docs: DataFrame, kind: str) -> DataFrame:
@@ -113,7 +115,7 @@ def _variants(docs: DataFrame, kind: str) -> DataFrame:
             yield _variant_batch(batch, rows)
 
     rows = docs.select("doc", F.col("text").cast("binary").alias("text"), "content", "lines")
-    return rows.mapInArrow(run, f"doc {kind}, content bigint, line int, place int, v1 bigint, v2 bigint, words binary")
+    return rows.mapInArrow(tidy(run), f"doc {kind}, content bigint, line int, place int, v1 bigint, v2 bigint, words binary")
 
 
 def _variant_batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
@@ -130,13 +132,14 @@ def _order() -> Column:
     return F.struct(F.col("doc").isNull().alias("no_id"), "doc", "content", "line")
 
 
-def _sent(small: DataFrame) -> DataFrame:
-    """``small`` marked for sending to every task if it is short, else as it is."""
-    return F.broadcast(small) if small.limit(SENT_ROWS + 1).count() <= SENT_ROWS else small
+def _sent(small: DataFrame, lines: str) -> DataFrame:
+    """``small`` marked for sending to every task if its keys and its arrays ``lines`` are short, else as it is."""
+    size = small.agg(F.coalesce(F.sum(48 + 4 * F.size(lines)), F.lit(0))).first()[0]
+    return F.broadcast(small) if size <= SENT_BYTES else small
 
 
 def repeated_lines(
-    docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", min_words: int = 5, near_words: int = 8
+    docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", min_words: int = 1, near_words: int = 5
 ) -> DataFrame:
     """The lines that go, per document: ``doc``, ``content`` (hash of the text) and ``dropped`` (line numbers from 0).
 
@@ -163,7 +166,7 @@ def repeated_lines(
         "maybe",
     )
     named = rows.join(
-        _sent(by_document), F.col("doc").eqNullSafe(F.col("of")) & (F.col("content") == F.col("with"))
+        _sent(by_document, "lines"), F.col("doc").eqNullSafe(F.col("of")) & (F.col("content") == F.col("with"))
     ).dropDuplicates(["doc", "content"])
     made = scratch.store(_variants(named, kind).withColumn("at", _order()).drop(*ORDER[1:]), "variants")
 
@@ -194,19 +197,23 @@ def repeated_lines(
         .select("h1", "h2", F.lit(True).alias("near"))
     )
     verdicts = kinds.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 or near")
-    goes = (
-        lines.drop("halves")
-        .join(verdicts, ["h1", "h2"])
-        .where(F.coalesce(F.col("near"), F.lit(False)) | (_order() != F.col("first")))
+    verdicts = scratch.store(verdicts, "verdicts")
+    places = lines.drop("halves")
+    # The places of a common line would all meet in one task, so common lines are sent to the places instead.
+    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common, others = verdicts.where(F.col("n") > total * COMMON), verdicts.where(F.col("n") <= total * COMMON)
+    met = places.join(F.broadcast(common), ["h1", "h2"]).unionByName(
+        places.join(F.broadcast(common.select("h1", "h2")), ["h1", "h2"], "left_anti").join(others, ["h1", "h2"])
     )
+    goes = met.where(F.coalesce(F.col("near"), F.lit(False)) | (_order() != F.col("first")))
     dropped = goes.groupBy("doc", "content").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
     out = scratch.store(dropped, "dropped")
-    scratch.drop("lines", "kinds", "maybe", "variants")
+    scratch.drop("lines", "kinds", "maybe", "variants", "verdicts")
     return out
 
 
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, near_words: int = 8
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 1, near_words: int = 5
 ) -> DataFrame:
     """Every document with its number of lines, the lines that go and the text that stays.
 
@@ -219,7 +226,7 @@ def dedup_lines(
     """
     prepare(docs.sparkSession)
     goes = repeated_lines(docs, Scratch(docs.sparkSession), key, text, min_words, near_words)
-    goes = _sent(goes.select(F.col("doc").alias("of"), F.col("content").alias("with"), "dropped"))
+    goes = _sent(goes.select(F.col("doc").alias("of"), F.col("content").alias("with"), "dropped"), "dropped")
     rows = _content(docs, key, text).join(
         goes, F.col("doc").eqNullSafe(F.col("of")) & (F.col("content") == F.col("with")), "left"
     )
@@ -243,20 +250,25 @@ def without(text: pa.Array, dropped: pa.Array) -> pa.Array:
 
 
 def keep_first_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars", min_words: int = 5, near_words: int = 8
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars", min_words: int = 1, near_words: int = 5
 ) -> DataFrame:
     """``docs`` without the lines that go, ``size`` set to the new length.
 
-    A document all of whose words go is left out; one without words stays.
+    A document all of whose words go is left out; one without words, null and
+    empty texts included, stays. Ties are settled as in ``dedup_lines``: of
+    equal lines the earliest stays, fully repeated rows all keep theirs. An
+    empty table gives no rows. Columns of any names are carried along.
     """
     prepare(docs.sparkSession)
     goes = repeated_lines(docs, Scratch(docs.sparkSession), key, text, min_words, near_words)
-    goes = _sent(goes.select(F.col("doc").alias("_of"), F.col("content").alias("_with"), F.col("dropped").alias("_dropped")))
-    joined = docs.join(
-        goes, F.col(key).eqNullSafe(F.col("_of")) & (F.xxhash64(text_of(text)) == F.col("_with")), "left"
-    )
-    changed = F.col("_dropped").isNotNull()
-    kept = F.when(changed, without(F.col(text), F.col("_dropped"))).otherwise(F.col(text))
-    rows = joined.withColumn("_kept", kept)
-    names = [F.col("_kept").alias(c) if c == text else F.when(changed, F.length("_kept").cast("long")).otherwise(F.col(c)).alias(c) if c == size else F.col(c) for c in docs.columns]
-    return rows.where(~changed | F.col("_kept").rlike(r"[^\x20\x09-\x0D]")).select(*names)
+    # Names longer than any of the rows' own cannot clash with them.
+    own = "_" * (1 + max(map(len, docs.columns)))
+    goes = _sent(goes.select(F.col("doc").alias(own + "of"), F.col("content").alias(own + "with"), F.col("dropped").alias(own + "gone")), own + "gone")
+    same = F.col(key).eqNullSafe(F.col(own + "of")) & (F.xxhash64(text_of(text)) == F.col(own + "with"))
+    changed = F.col(own + "gone").isNotNull()
+    # Not to be run again by the filter below, which would take a second worker per task.
+    kept = F.when(changed, without.asNondeterministic()(F.col(text), F.col(own + "gone"))).otherwise(F.col(text))
+    rows = docs.join(goes, same, "left").withColumn(own + "kept", kept)
+    left = {text: F.col(own + "kept"), size: F.when(changed, F.length(own + "kept").cast("long")).otherwise(F.col(size))} if size in docs.columns else {text: F.col(own + "kept")}
+    rows = rows.where(~changed | F.col(own + "kept").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select(*[left.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -154,16 +154,16 @@ WITH l AS (
 w AS (
   SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS ws FROM l),
-k AS (SELECT *, array_to_string(ws, ' ') AS h, doc_id * 1000000 + no AS pos FROM w WHERE len(ws) >= 5),
+k AS (SELECT *, array_to_string(ws, ' ') AS h, doc_id * 1000000 + no AS pos FROM w WHERE len(ws) >= 1),
 f AS (SELECT h, any_value(ws) AS ws, min(pos) AS first FROM k GROUP BY h),
 c AS (
   SELECT h, first, unnest(range(1, len(ws) + 1)) AS i, unnest([
     array_to_string(list_concat(ws[1:x - 1], ws[x + 1:]), ' ') FOR x IN range(1, len(ws) + 1)]) AS v
-  FROM f WHERE len(ws) >= 8),
+  FROM f WHERE len(ws) >= 5),
 near AS (
   SELECT h FROM (SELECT h, first, min(first) OVER (PARTITION BY v, i) AS m FROM c) WHERE m < first
-  UNION SELECT c.h FROM c JOIN f ON f.h = c.v WHERE f.first < c.first AND len(f.ws) >= 8
-  UNION SELECT f.h FROM c JOIN f ON f.h = c.v WHERE c.first < f.first AND len(f.ws) >= 8),
+  UNION SELECT c.h FROM c JOIN f ON f.h = c.v WHERE f.first < c.first AND len(f.ws) >= 5
+  UNION SELECT f.h FROM c JOIN f ON f.h = c.v WHERE c.first < f.first AND len(f.ws) >= 5),
 d AS (
   SELECT k.doc_id, k.no FROM k JOIN f USING (h)
   WHERE k.pos <> f.first OR k.h IN (SELECT h FROM near))

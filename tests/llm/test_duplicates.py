@@ -29,7 +29,7 @@ def lower(text):
 
 def test_lines(spark, docs):
     rng = random.Random(4)
-    base = [" ".join(rng.choices(WORDS, k=rng.randint(8, 14))) for _ in range(12)] + ["same same same same same same same same"]
+    base = [" ".join(rng.choices(WORDS, k=rng.randint(1, 14))) for _ in range(16)] + ["same same same same same same same same"]
     rows = []
     for d in range(40):
         lines = []
@@ -53,8 +53,8 @@ def test_lines(spark, docs):
     for k, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         for i, line in enumerate((t or "").split("\n")):
             words = lower(line).split()
-            if len(words) >= 5:
-                if any(words == s or (min(len(words), len(s)) >= 8 and distance(words, s) <= 1) for s in seen):
+            if words:
+                if any(words == s or (min(len(words), len(s)) >= 5 and distance(words, s) <= 1) for s in seen):
                     want.setdefault(k, []).append(i)
                 seen.append(words)
     assert {k: r.dropped for k, r in got.items() if r.dropped} == want
@@ -66,6 +66,15 @@ def test_lines(spark, docs):
     twice = docs([(1, base[0]), (1, base[0]), (2, base[0]), (3, None)])
     assert sorted((r.doc_id, r.text) for r in linededup.keep_first_lines(twice).collect()) == [(1, base[0]), (1, base[0]), (3, None)]
     assert linededup.keep_first_lines(twice).columns == twice.columns
+    # Columns of any name are carried along, and a very long text is read whole.
+    odd = spark.createDataFrame(
+        [(1, "a\nb", 1, 2, 3), (2, "b\nc", 4, 5, 6), (3, "x " * 50_000 + "\n" + "y " * 50_000, 7, 8, 9), (4, "q\n" + "y " * 49_999, 1, 1, 1)],
+        "doc_id int, text string, _of int, _with int, _kept int",
+    )
+    left = linededup.keep_first_lines(odd)
+    assert left.columns == odd.columns and {(r.doc_id, r.text[:9], r._of, r._with) for r in left.collect()} == {
+        (1, "a\nb", 1, 2), (2, "c", 4, 5), (3, "x x x x x", 7, 8), (4, "q", 1, 1)
+    }
     assert linededup.dedup_lines(docs([])).count() == 0
 
 
@@ -93,6 +102,15 @@ def test_short_lines_in_the_pipeline(spark, docs):
     assert got == want and 90 not in got and got[93] == "x" and got[95] == "a b c e"
 
 
+def test_keep_one_with_columns_of_any_name(spark):
+    words = " ".join(WORDS[:40])
+    rows = [(1, words, 5, 6, 7), (2, words, 8, 9, 10), (2, words, 8, 9, 10), (3, "other words", 1, 1, 1), (3, "other words", 1, 1, 1), (None, None, 2, 2, 2)]
+    odd = spark.createDataFrame(rows, "doc_id int, text string, _of int, _content int, _place int")
+    got = ngramjoin.keep_one(odd)
+    assert got.columns == odd.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[5]], key=str)
+
+
 def components(sets, num, den):
     own = list(range(len(sets)))
 
