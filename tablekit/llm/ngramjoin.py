@@ -2,22 +2,23 @@
 
 A token is a shingle's hash. Sets of equal tokens are one class. With size n, a
 set may miss at most t(n) = n - ceil(s * n) tokens of a set it links with. All sets
-list rare tokens first, then frequent ones, each in hash order, and extend the
-usual prefix until
+list their tokens in hash order, and extend the usual prefix until
 
     rare tokens + sum over classes of (frequent tokens of the class - 1) >= t(n) + K
 
-Frequent tokens fall into classes by hash, as many as t(n) rounded down to a power of two (sets near
-a change of that number use both). Rare tokens are indexed alone, frequent ones as
-pairs of one class. If two linked sets shared fewer than K rare tokens and no
-pair, one of them would miss more than t(n) tokens of the other; so every link
-shares K rare tokens or a pair, and only such pairs of sets are verified (K is 1 for small sets).
+Frequent tokens fall into classes by hash, as many as half of t(n) rounded down to a
+power of two (sets near a change of that number use both). Rare tokens of the prefix
+are indexed alone, frequent ones as pairs of one class. Of two linked sets look at
+the one whose prefix ends first: what the two share of it lies in the other's prefix
+too. If that were fewer than K rare tokens and no pair, the set would miss more than
+t(n) tokens of the other; so every link shares K rare tokens or a pair, and only such
+pairs of sets are verified (K is 1 for small sets).
 
-Frequent means: in the front part of more than ``FREQUENT`` sets. Only the
-speed depends on it, so that part is counted and not all tokens.
+Frequent means: among the tokens that a prefix can reach in more than ``FREQUENT`` sets.
+No prefix goes further, as every class costs one token more, so only these are counted.
+No list of a rare token is longer than that.
 
-Lists of an indexed pair, or of a token that turns out to be common, are not
-expanded. Their members are compared with the hub of the list first (the
+Lists of an indexed pair are not expanded. Their members are compared with the hub of the list first (the
 member with the largest share of usual tokens), and only members that then
 still lie in different components are compared with each other. A token that no other
 member of any such list has cannot be shared, so two sets of n and m tokens, of which
@@ -36,10 +37,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import LOWER, SIGN, Scratch, WordHashes, key_of, mixed, prepare, shingles, text_of
+from tablekit.llm.base import LOWER, SIGN, Scratch, WordHashes, key_of, mixed, prepare, shingles, text_of, tidy
 from tablekit.llm.graph import components
 
-FREQUENT = 20
+FREQUENT = 8
 SHARED = 3  # K
 SCARCE = 10
 SMALL = 24  # sets with fewer tokens use K = 1
@@ -58,44 +59,41 @@ def token_set(text: bytes, hashes: WordHashes, width: int) -> np.ndarray:
 
 
 def front(n: int, num: int, den: int) -> int:
-    """Length of the counted part of a set: the prefix, and a quarter more to stand in for frequent tokens."""
+    """The tokens that a prefix can reach: the usual ones, and one more for every class of frequent tokens."""
     miss = n - needed(n, num, den)
-    return min(n, miss + SHARED + -(-miss // 4))
+    return min(n, miss + SHARED + max(1, -(-miss // 2)))
 
 
-def signatures(
-    n: int, known: int, place: np.ndarray, token: np.ndarray, frequent: np.ndarray, num: int, den: int
-) -> tuple[list[int], list[int]]:
+def classes_of(miss: int) -> int:
+    """Power of two of the number of classes of frequent tokens, at most half of ``miss``."""
+    return max(1, miss // 2).bit_length() - 1
+
+
+def signatures(n: int, place: np.ndarray, token: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[list[int], list[int]]:
     """Rare tokens of the prefix, and hashes of its pairs of frequent tokens.
 
-    ``place`` numbers the given tokens among the first ``known`` of the set; the
-    tokens not given are rare ones that no other set has.
+    ``place`` numbers the given tokens in the set; the tokens not given are rare
+    ones that no other set can reach.
     """
-    miss = n - needed(n, num, den)
-    want = miss + (SHARED if n >= SMALL else 1)
-    rank = place - np.concatenate([[0], np.cumsum(frequent)])[:-1]
-    rare = token[~frequent & (rank < want)].tolist()
-    left = want - (known - int(frequent.sum()))
-    if left <= 0 or known < n:
-        return rare, []
-    pairs: list[int] = []
     low = needed(n, num, den)
-    common = token[frequent]
-    first, last = (max(1, s - needed(s, num, den)).bit_length() - 1 for s in (low, n))
-    for level in range(first, last + 1):
-        classes: dict[int, list[int]] = {}
-        got = 0
-        spot = mixed(common.view(np.uint64)) % np.uint64(1 << level)
-        for t, c in zip(common.tolist(), spot.tolist()):
-            own = classes.setdefault(c, [])
-            got += bool(own)
-            own.append(t)
-            if got >= left:
+    want = n - low + (SHARED if n >= SMALL else 1)
+    spot = mixed(token[frequent].view(np.uint64))
+    at, common = place[frequent].tolist(), token[frequent].tolist()
+    stop, pairs = want, []
+    # Also as the smaller partners divide their frequent tokens.
+    for level in range(classes_of(low - needed(low, num, den)), classes_of(n - low) + 1):
+        end = want
+        members: dict[int, list[int]] = {}
+        for p, t, c in zip(at, common, (spot % np.uint64(1 << level)).tolist()):
+            if p >= end:
                 break
-        for own in classes.values():
+            end += c not in members
+            members.setdefault(c, []).append(t)
+        stop = max(stop, end)
+        for own in members.values():
             for i, a in enumerate(own):
                 pairs += [key_of(np.array([level, a, b], dtype=np.int64))[0] for b in own[i + 1 :]]
-    return rare, pairs
+    return token[~frequent & (place < stop)].tolist(), pairs
 
 
 class Join:
@@ -158,7 +156,7 @@ class Join:
                 )
 
         rows = self.docs.select("doc", F.col("text").cast("binary").alias("text"), "content")
-        return rows.mapInArrow(run, f"doc {self.kind}, content bigint, n int, s1 bigint, s2 bigint, front array<bigint>")
+        return rows.mapInArrow(tidy(run), f"doc {self.kind}, content bigint, n int, s1 bigint, s2 bigint, front array<bigint>")
 
     def whole(self, ids: DataFrame, name: str) -> DataFrame:
         """All tokens of the classes ``ids`` (id, first), worked out again from the texts."""
@@ -176,59 +174,38 @@ class Join:
             F.broadcast(named) if few else named,
             F.col("doc").eqNullSafe(F.col("of")) & (F.col("content") == F.col("with")),
         )
-        made = rows.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id bigint, tokens array<bigint>")
+        made = rows.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "id bigint, tokens array<bigint>")
         # Fully repeated rows name the same class twice.
         return self.scratch.store(made.dropDuplicates(["id"]), name)
 
     def lists(self, classes: DataFrame) -> DataFrame:
         """Index entries: ``sig``, ``id``, ``n``, and whether the list is of a pair."""
-        spread = classes.select("id", "n", F.size("front").alias("known"), F.posexplode("front").alias("place", "token"))
+        spread = classes.select("id", "n", F.posexplode("front").alias("place", "token"))
         counts = self.scratch.store(
             spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts"
         )
-        frequent = counts.where(F.col("df") > FREQUENT).select("token", F.lit(True).alias("frequent"))
-        few = frequent.limit(SENT_ROWS + 1).count() <= SENT_ROWS
-        common = spread.join(F.broadcast(frequent) if few else frequent, "token").groupBy("id", "n", "known")
-        want = F.col("n") - F.ceil(F.col("n") * self.num / self.den) + F.when(F.col("n") >= SMALL, SHARED).otherwise(1)
-        short = (F.col("known") - F.col("common") < want) & (F.col("known") < F.col("n"))
-        short = self.scratch.store(common.agg(F.count(F.lit(1)).alias("common")).where(short).select("id"), "short")
-        # Sets whose counted part is mostly frequent go on with all their tokens.
-        more = self.whole(short.join(classes.select("id", "first"), "id"), "more")
-        every = more.select("id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
-        at = F.struct("place", "token", F.coalesce("frequent", F.lit(False)).alias("frequent"))
-        extended = (
-            every.join(frequent, "token", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(at)).alias("tokens"))
-        )
-        # A token that one counted part alone holds is shared if a set that goes on holds it further back.
-        back = every.select("token").distinct().join(counts, "token", "left_anti").select("token", F.lit(1).alias("df"))
         at = F.struct("place", "token", (F.col("df") > FREQUENT).alias("frequent"))
-        shared = (
-            spread.join(counts.unionByName(back), "token")
-            .join(short, "id", "left_anti")
-            .groupBy("id", "n", "known")
-            .agg(F.sort_array(F.collect_list(at)).alias("tokens"))
-        )
-        rows = shared.unionByName(extended.select("id", "n", F.col("n").alias("known"), "tokens"))
+        rows = spread.join(counts, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(at)).alias("tokens"))
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[tuple] = []
                 for r in range(batch.num_rows):
-                    i, n, known = (batch.column(c)[r].as_py() for c in range(3))
+                    i, n = (batch.column(c)[r].as_py() for c in range(2))
                     place, token, frequent = (
-                        np.array(batch.column(c)[r].as_py(), dtype=t) for c, t in ((3, np.int64), (4, np.int64), (5, bool))
+                        np.array(batch.column(c)[r].as_py(), dtype=t) for c, t in ((2, np.int64), (3, np.int64), (4, bool))
                     )
-                    for pair, sigs in enumerate(signatures(n, known, place, token, frequent, num, den)):
+                    for pair, sigs in enumerate(signatures(n, place, token, frequent, num, den)):
                         out += [(s, i, n, bool(pair)) for s in sigs]
                 columns = list(zip(*out)) or [()] * 4
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["sig", "id", "n", "pair"])
 
         parts = [F.col(f"tokens.{f}").alias(f) for f in ("place", "token", "frequent")]
-        made = rows.select("id", "n", "known", *parts).mapInArrow(run, "sig bigint, id bigint, n int, pair boolean")
+        made = rows.select("id", "n", *parts).mapInArrow(tidy(run), "sig bigint, id bigint, n int, pair boolean")
         out = self.scratch.store(made, "lists")
-        self.scratch.drop("counts", "short", "more")
+        self.scratch.drop("counts")
         return out
 
     def linked(self, lists: DataFrame, classes: DataFrame) -> DataFrame:
@@ -236,8 +213,8 @@ class Join:
         sizes = lists.groupBy("sig", "pair").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         lists = self.scratch.store(lists.join(sizes, ["sig", "pair"]), "sized")
         self.scratch.drop("lists")
-        # All pairs of a list, but for lists of pairs and of tokens that are common after all.
-        expand = lists.where(f"not pair and size <= {2 * FREQUENT}").select("sig", "id", "n")
+        # All pairs of a rare token's list, of which none is long.
+        expand = lists.where("not pair").select("sig", "id", "n")
         other = expand.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"))
         enough = F.when((F.col("n") >= SMALL) & (F.col("n_b") >= SMALL), SHARED).otherwise(1)
         rare = (
@@ -248,7 +225,7 @@ class Join:
             .where(F.col("shared") >= enough)
             .select("a", "b")
         )
-        long = lists.where(f"pair or size > {2 * FREQUENT}").select("sig", "id", "n", "size")
+        long = lists.where("pair").select("sig", "id", "n", "size")
         met, scarce = self.met(long, classes)
         long = self.scratch.store(long.join(met, "id"), "long")
         # The member with the largest share of usual tokens stands for the list, of several that in most lists.
@@ -373,20 +350,19 @@ def keep_one(
     found = join.scratch.store(join.run().where("n > 0"), "found")
     at = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "content")
     first = found.groupBy("component").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    goes = found.join(first, "component").where(at != F.col("first")).select(*_row_names()).distinct()
+    # Names longer than any of the rows' own cannot clash with them.
+    own = "_" * (1 + max(map(len, docs.columns)))
+    names = F.col("doc").alias(own + "of"), F.col("content").alias(own + "with")
+    goes = found.join(first, "component").where(at != F.col("first")).select(*names).distinct()
     goes = join.scratch.store(goes, "goes")
     few = goes.limit(SENT_ROWS + 1).count() <= SENT_ROWS
-    rows = docs.withColumn("_content", F.xxhash64(text_of(text)))
-    same = F.col(key).eqNullSafe(F.col("_of")) & (F.col("_content") == F.col("_with"))
+    rows = docs.withColumn(own + "content", F.xxhash64(text_of(text)))
+    same = F.col(key).eqNullSafe(F.col(own + "of")) & (F.col(own + "content") == F.col(own + "with"))
     rows = rows.join(F.broadcast(goes) if few else goes, same, "left_anti")
     again = found.groupBy("doc", "content").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    again = join.scratch.store(again.select(*_row_names()), "again")
+    again = join.scratch.store(again.select(*names), "again")
     if again.isEmpty():
-        return rows.drop("_content")
-    place = F.row_number().over(Window.partitionBy(key, "_content").orderBy(F.lit(1)))
-    one = rows.join(again, same, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
-    return rows.join(again, same, "left_anti").unionByName(one).drop("_content")
-
-
-def _row_names():
-    return F.col("doc").alias("_of"), F.col("content").alias("_with")
+        return rows.drop(own + "content")
+    place = F.row_number().over(Window.partitionBy(key, own + "content").orderBy(F.lit(1)))
+    one = rows.join(again, same, "left_semi").withColumn(own + "place", place).where(F.col(own + "place") == 1).drop(own + "place")
+    return rows.join(again, same, "left_anti").unionByName(one).drop(own + "content")
