@@ -408,13 +408,19 @@ def _(t):
 
 @query(
     "snk10_ofx",
-    f"""SELECT id AS _row, regexp_replace('          <STMTTRN>' || chr(10) || '            <TRNTYPE>' || CASE WHEN amount < 0 THEN 'DEBIT' ELSE 'CREDIT' END || '</TRNTYPE>' || chr(10)
+    f"""WITH t AS ({TX}) SELECT account, 1 AS part, id AS _row, regexp_replace('          <STMTTRN>' || chr(10) || '            <TRNTYPE>' || CASE WHEN amount < 0 THEN 'DEBIT' ELSE 'CREDIT' END || '</TRNTYPE>' || chr(10)
          || '            <DTPOSTED>' || strftime(date, '%Y%m%d') || '</DTPOSTED>' || chr(10) || '            <TRNAMT>' || amount || '</TRNAMT>' || chr(10) || '            <FITID>' || id || '</FITID>' || chr(10)
          || CASE WHEN check_number <> '' THEN '            <CHECKNUM>' || check_number || '</CHECKNUM>' || chr(10) ELSE '' END || '            <NAME>' || payee || '</NAME>' || chr(10)
-         || CASE WHEN memo <> '' THEN '            <MEMO>' || memo || '</MEMO>' || chr(10) ELSE '' END || '          </STMTTRN>', '~', '') AS text FROM ({TX})""",
+         || CASE WHEN memo <> '' THEN '            <MEMO>' || memo || '</MEMO>' || chr(10) ELSE '' END || '          </STMTTRN>', '~', '') AS text FROM t
+       UNION ALL SELECT account, 0, NULL, array_to_string(['    <STMTTRNRS>', '      <TRNUID>1</TRNUID>', '      <STATUS><CODE>0</CODE><SEVERITY>INFO</SEVERITY></STATUS>',
+         '      <STMTRS>', '        <CURDEF>USD</CURDEF>', '        <BANKACCTFROM>', '          <ACCTID>' || account || '</ACCTID>', '          <ACCTTYPE>CHECKING</ACCTTYPE>',
+         '        </BANKACCTFROM>', '        <BANKTRANLIST>', '          <DTSTART>' || strftime(arg_min(date, id), '%Y%m%d') || '</DTSTART>',
+         '          <DTEND>' || strftime(arg_max(date, id), '%Y%m%d') || '</DTEND>'], chr(10)) FROM t GROUP BY account
+       UNION ALL SELECT account, 2, NULL, array_to_string(['        </BANKTRANLIST>', '        <LEDGERBAL>', '          <BALAMT>0.00</BALAMT>',
+         '          <DTASOF>20240101000000</DTASOF>', '        </LEDGERBAL>', '      </STMTRS>', '    </STMTTRNRS>'], chr(10)) FROM t GROUP BY account""",
 )
 def _(t):
-    return statement_sink.ofx_lines(transactions(t), now="20240101000000").filter("part = 1").select("_row", "text")
+    return statement_sink.ofx_lines(transactions(t), now="20240101000000").select("account", "part", "_row", "text")
 
 
 @query("snk11_feature_table", f"SELECT lat AS latitude, lon AS longitude, 'Point' AS geometry_type, s_name AS name FROM ({XY})")
