@@ -449,6 +449,26 @@ def _(t):
     return t.spark.read.text(folder).select("value")
 
 
+@query(
+    "snk13_sheet_csv",
+    "SELECT 0 AS part, 'n_nationkey,n_name,n_regionkey' AS value UNION ALL SELECT 1, n_nationkey || ',' || n_name || ',' || n_regionkey FROM nation",
+)
+def _(t):
+    folder = new_folder(t.spark)
+    texts.write_sheets(sheet_of(t), folder, "csv")
+    return t.spark.read.text(folder).select("part", "value")
+
+
+@query(
+    "snk13_sheet_xml",
+    """SELECT '<row><n_nationkey>' || n_nationkey || '</n_nationkey><n_name>' || n_name || '</n_name><n_regionkey>' || n_regionkey || '</n_regionkey></row>' AS value FROM nation""",
+)
+def _(t):
+    folder = new_folder(t.spark)
+    texts.write_sheets(sheet_of(t), folder, "xml")
+    return t.spark.read.text(folder).select("value")
+
+
 @query(
     "snk14_sql_inserts",
     """SELECT 'INSERT INTO "nation" ("n_nationkey", "name") VALUES (' || n_nationkey || ', ' || CASE WHEN n_nationkey % 4 = 0 THEN 'NULL' ELSE '''' || n_name || '''''s''' END || ');' AS text FROM nation""",

@@ -319,16 +319,25 @@ def kml_frame(name: str = "Export") -> tuple[str, str]:
 
 
 def write_sheets(cells: DataFrame, path: str, form: str = "json") -> None:
-    """Records of every sheet in a folder of its own, as JSON, CSV or XML lines."""
+    """Records of every sheet in a folder of its own, as JSON, CSV or XML lines.
+
+    In the CSV form a sheet's header line lies in the folder ``part=0``, its
+    rows in ``part=1``, so that files in name order are the whole sheet.
+    """
     from tablekit.operators.grid import records
 
     recs = records(cells)
     if form == "json":
         line = F.to_json("record", {"ignoreNullFields": "false"})
     elif form == "csv":
-        line = F.array_join(
-            F.transform(F.map_values("record"), lambda v: F.coalesce(csv_field(v, "minimal"), F.lit(""))), ","
-        )
+        def joined(cells: Column) -> Column:
+            return F.array_join(F.transform(cells, lambda v: F.coalesce(csv_field(v, "minimal"), F.lit(""))), ",")
+
+        heads = recs.groupBy("workbook", "sheet").agg(F.min_by(joined(F.map_keys("record")), "row").alias("value"))
+        lines = recs.select("workbook", "sheet", F.lit(1).alias("part"), joined(F.map_values("record")).alias("value"))
+        lines = heads.select("workbook", "sheet", F.lit(0).alias("part"), "value").unionByName(lines)
+        lines.write.mode("overwrite").partitionBy("workbook", "sheet", "part").text(path)
+        return
     elif form == "xml":
         item = F.transform(
             F.map_entries("record"),
