@@ -56,6 +56,13 @@ def _(t):
     return tables.read_csv(t.spark, f"{folder}/*").drop("_row")
 
 
+@query("udf3_header_function", "SELECT CAST(o_orderkey AS VARCHAR) AS ORDERKEY, o_orderstatus AS ORDERSTATUS FROM orders")
+def _(t):
+    folder = new_folder(t.spark)
+    texts.write_csv(t.orders.select("o_orderkey", "o_orderstatus"), folder)
+    return tables.read_csv(t.spark, folder, transform_header=lambda n: n.removeprefix("o_").upper()).drop("_row")
+
+
 @query(
     "src2_typing",
     """SELECT event_id, CAST(NULLIF(user_id, 3) AS BIGINT) AS a, value AS b, event_id % 2 = 0 AS c, CASE WHEN event_id % 2 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS d FROM events""",

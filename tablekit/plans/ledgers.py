@@ -463,6 +463,17 @@ def _(t):
     return grid.dimensions(order_cells(t)).select("sheet", "rows", "cols", "range")
 
 
+@query(
+    "fx5_time",
+    """SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, date_trunc('second', ts) AS back, true AS today FROM events""",
+)
+def _(t):
+    seconds = fx.fx_timestamp_to_epoch(F.col("ts"))
+    back = fx.fx_epoch_to_timestamp(seconds).cast("timestamp_ntz")
+    same_day = (fx.fx_today() == F.current_date()) & (F.to_date(fx.fx_now()) == fx.fx_today())
+    return t.events.select("event_id", seconds.alias("seconds"), back.alias("back"), same_day.alias("today"))
+
+
 def order_merges(t):
     """In each of the three sheets a range of three rows and two columns at every tenth order, spelt in two ways."""
     r = F.col("o_orderkey") + 2
