@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tablekit.llm import hmm, licenses, quality, toxicity
@@ -115,6 +116,34 @@ def test_weights_follow_the_closed_form():
     assert toxicity.weight(np.array([0.05, -0.5]), np.array([0.0, 0.25]), how).tolist() == pytest.approx([0.0, w1])
 
 
+def test_toxicity_scores_by_dictionary(spark, docs):
+    """The sorted arrays and the filter give what a plain dictionary over one feature at a time gives."""
+    mask = (1 << 64) - 1
+
+    def scrambled(h):
+        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ h >> 27) * 0x94D049BB133111EB) & mask
+        return h ^ h >> 31
+
+    def plain(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        ids = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+        found = {*ids, *(xxhash.xxh3_64_intdigest((w[:4] + "-").encode()) for w in words)}
+        for gap in (1, 2, 3):
+            found |= {scrambled((a * 3 + scrambled(b) + min(gap, 2)) & mask) for a, b in zip(ids, ids[gap:])}
+        return found
+
+    texts = [None, "", "Été kills 日本 all the Words the words", "a b c d e f a b", "x-y_z ABC abcdefgh", "q " * 3000 + "r"]
+    every = sorted(set().union(*map(plain, texts)))
+    rng = np.random.default_rng(8)
+    weights = {f: w for f, w in zip(every, rng.normal(size=len(every))) if rng.random() < 0.5}
+    model = toxicity.Weights(np.array(list(weights), dtype=np.uint64), np.array(list(weights.values())), -0.3)
+    got = toxicity.score_toxicity(docs(list(enumerate(texts))), model).collect()
+    for r, text in zip(sorted(got), texts):
+        total = -0.3 + sum(weights.get(f, 0.0) for f in plain(text))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total))) and r.predicted == (r.score >= 0.7)
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(2)
     norm = lambda a: a / a.sum(axis=-1, keepdims=True)
