@@ -7,6 +7,7 @@ order column. Amounts are decimals, so sums do not depend on row order.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
 
@@ -198,8 +199,10 @@ def ofx_date(c: Column) -> Column:
 # The rule is sequential: each transaction of A, in order, takes the first free
 # transaction of B it agrees with. Amounts more than a cent apart never agree,
 # so the rule falls apart into runs of neighbouring amounts. Runs are dealt over
-# all tasks; those of a bounded size are settled one after another. What is left
-# are long runs, which are settled in rounds over the whole cluster:
+# all tasks; those of a bounded size are settled one after another. Longer runs
+# are cut into stretches of days, which are settled side by side (see
+# ``_by_stretches``). What is left are runs whose transactions agree over more
+# than neighbouring stretches; they are settled in rounds over the whole cluster:
 #
 # Whether two transactions agree depends only on their signature (cents, day,
 # id, check number), so equal ones are one row with a count. A round looks up,
@@ -211,7 +214,7 @@ def ofx_date(c: Column) -> Column:
 # order the number of rounds follows the number of days, not of rows.
 
 NO_DAY = -(10**9)
-# Rows of a run of amounts that are settled together; longer runs go through the rounds.
+# Rows of a run of amounts that are settled together; longer runs are cut by days.
 RUN_ROWS = 200_000
 
 
@@ -320,11 +323,18 @@ def match_pairs(a: DataFrame, b: DataFrame, days: int = 3, row: str = ROW, run_r
         if run_rows and (tried is None or left * 2 <= tried):
             # Runs get shorter as rows are settled, so they are looked at again.
             tried = left
-            short = cut(_short_runs(a_sig, b_sig, run_rows))
+            runs = cut(_runs(a_sig, b_sig))
+            short = runs.filter(F.col("rows") <= run_rows).select("cents", "run")
             result = result.unionByName(cut(_settled(short, a_sig, a_members, b_sig, b_members, days)))
             a_sig, b_sig = (cut(s.join(short, "cents", "left_anti")) for s in (a_sig, b_sig))
             if a_sig.isEmpty() or b_sig.isEmpty():
                 return result
+            long = runs.filter(F.col("rows") > run_rows).select("cents", "run")
+            made, settled = _by_stretches(long, a_sig, a_members, b_sig, b_members, days, run_rows)
+            result = result.unionByName(made)
+            a_sig, b_sig = (cut(s.join(settled, "cents", "left_anti")) for s in (a_sig, b_sig))
+            if a_sig.isEmpty() or b_sig.isEmpty():
+                return result
         a_free, b_free = _first_free(a_sig, a_members), _first_free(b_sig, b_members)
         a_choice = cut(_choices(a_free, b_free, days).toDF("a_sid", "a_taken", "b_sid", "b_limit"))
         b_choice = cut(_choices(b_free, a_free, days).toDF("b_sid", "b_taken", "a_sid", "a_limit"))
@@ -344,8 +354,8 @@ def match_pairs(a: DataFrame, b: DataFrame, days: int = 3, row: str = ROW, run_r
         b_sig, b_members = _left_over(b_sig, b_members, b_choice, pairs, "b_sid")
 
 
-def _short_runs(a_sig: DataFrame, b_sig: DataFrame, run_rows: int) -> DataFrame:
-    """Amounts in runs of at most ``run_rows`` rows: ``cents, run``."""
+def _runs(a_sig: DataFrame, b_sig: DataFrame) -> DataFrame:
+    """Amounts with their run and its number of rows: ``cents, run, rows``."""
     free = F.col("n") - F.col("taken")
     amounts = a_sig.select("cents", free.alias("n")).unionByName(b_sig.select("cents", free.alias("n")))
     amounts = amounts.groupBy("cents").agg(F.sum("n").alias("n"))
@@ -355,8 +365,18 @@ def _short_runs(a_sig: DataFrame, b_sig: DataFrame, run_rows: int) -> DataFrame:
     runs = running_total(flagged, ["cents"], F.col("_starts"), "_before").withColumn(
         "run", F.col("_before") + F.col("_starts")
     )
-    sizes = runs.groupBy("run").agg(F.sum("n").alias("rows")).filter(F.col("rows") <= run_rows)
-    return runs.join(sizes.select("run"), "run").select("cents", "run")
+    sizes = runs.groupBy("run").agg(F.sum("n").alias("rows"))
+    return runs.join(sizes, "run").select("cents", "run", "rows")
+
+
+def _free_rows(some: DataFrame, signatures: DataFrame, members: DataFrame, side: str) -> DataFrame:
+    """Free transactions of some amounts (``cents, run``); ``uid`` tells them apart."""
+    wanted = signatures.join(some, "cents").drop("n")
+    return (
+        members.join(wanted, "sid")
+        .filter(F.col("place") >= F.col("taken"))
+        .select("run", F.lit(side).alias("side"), (F.col("sid") + F.col("place")).alias("uid"), "r", "cents", "day", "id", "chk")
+    )
 
 
 def _settled(
@@ -364,15 +384,7 @@ def _settled(
 ) -> DataFrame:
     """The sequential rule on whole runs of amounts, one run after another."""
 
-    def rows(signatures: DataFrame, members: DataFrame, side: str) -> DataFrame:
-        some = signatures.join(short, "cents").drop("n")
-        return (
-            members.join(some, "sid")
-            .filter(F.col("place") >= F.col("taken"))
-            .select("run", F.lit(side).alias("side"), "r", "cents", "day", "id", "chk")
-        )
-
-    both = rows(a_sig, a_members, "a").unionByName(rows(b_sig, b_members, "b"))
+    both = _free_rows(short, a_sig, a_members, "a").unionByName(_free_rows(short, b_sig, b_members, "b")).drop("uid")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows come sorted by run; a run may go over several batches.
@@ -428,6 +440,136 @@ def _greedy(pdf: pd.DataFrame, days: int) -> list[tuple[int, int]]:
     return pairs
 
 
+# --- long runs, by stretches of days
+
+STATE = (
+    "run bigint, side string, uid bigint, r bigint, cents bigint, day int, id string, chk string, "
+    "low int, high int, mate bigint, mate_r bigint, at int, gone boolean"
+)
+
+
+def _by_stretches(
+    long: DataFrame, a_sig: DataFrame, a_members: DataFrame, b_sig: DataFrame, b_members: DataFrame, days: int, run_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a_row, b_row`` of long runs of amounts, and the ``cents`` that are settled with them.
+
+    The rule is the one matching in which no two transactions would rather have
+    each other, as both sides want low row numbers. Offers lead to it in any
+    order: each transaction of A offers to the first of B that is free or held
+    by a later one, which is let go and offers again. So a run is cut into
+    stretches of days, and every two neighbouring ones are a block in which all
+    offers are made that stay inside; blocks are shifted by one stretch from turn
+    to turn. A run with a transaction of A that agrees over more than two
+    stretches is left, and so is one whose days do not part it.
+    """
+    a, b = cut(_free_rows(long, a_sig, a_members, "a")), cut(_free_rows(long, b_sig, b_members, "b"))
+    per_day = a.unionByName(b).groupBy("run", "day").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_total(per_day, ["run", "day"], F.col("n"), "before")
+    first = placed.groupBy("run").agg(F.min("before").alias("_first"))
+    slots = (
+        placed.join(first, "run")
+        .groupBy("run", F.floor((F.col("before") - F.col("_first")) / run_rows).alias("slot"))
+        .agg(F.min("day").alias("day"), F.sum("n").alias("n"))
+    )
+    # One entry per ``run_rows`` rows of a run.
+    starts = cut(slots.groupBy("run").agg(F.sort_array(F.collect_list("day")).alias("starts"), F.max("n").alias("most")))
+    starts = starts.filter(F.col("most") <= 2 * run_rows).select("run", "starts")
+
+    def slot(day: Column) -> Column:
+        return F.greatest(F.size(F.filter("starts", lambda s: s <= day)) - 1, F.lit(0))
+
+    def marks(df: DataFrame) -> DataFrame:
+        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("k")) for k, c in (("i", "id"), ("c", "chk"))])
+        return df.select("*", F.inline(F.filter(kinds, lambda m: m["k"] != "")))
+
+    # How far the partners by id or check number lie.
+    partners = marks(b).groupBy("kind", "k", "cents").agg(F.min("day").alias("from"), F.max("day").alias("to"))
+    looks = marks(a).select("uid", "kind", "k", F.explode(F.sequence(F.col("cents") - 1, F.col("cents") + 1)).alias("cents"))
+    reach = looks.join(partners, ["kind", "k", "cents"]).groupBy("uid").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    dated = F.col("day") != NO_DAY
+    spans = (
+        a.join(reach, "uid", "left")
+        .withColumn("from", F.least("from", F.when(dated, F.col("day") - days)))
+        .withColumn("to", F.greatest("to", F.when(dated, F.col("day") + days)))
+        # Without a day, an id or a check number in B there is no partner.
+        .filter(F.col("from").isNotNull())
+        .join(F.broadcast(starts), "run")
+        .select(*a.columns, slot(F.col("from")).alias("low"), slot(F.col("to")).alias("high"))
+    )
+    spans = cut(spans)
+    far = spans.filter(F.col("high") - F.col("low") > 1).select("run").distinct()
+    fit = starts.join(far, "run", "left_anti")
+    own = b.join(F.broadcast(fit), "run").select(*b.columns, slot(F.col("day")).alias("low")).withColumn("high", F.col("low"))
+    alone = {"mate": F.lit(-1).cast("bigint"), "mate_r": F.lit(0).cast("bigint"), "at": F.lit(0), "gone": F.lit(False)}
+    state = cut(spans.join(F.broadcast(fit.select("run")), "run").unionByName(own).withColumns(alone))
+    waiting = (F.col("side") == "a") & (F.col("mate") < 0) & ~F.col("gone")
+    shift = 0
+    while not state.filter(waiting).isEmpty():
+        block = lambda c: F.shiftright(F.col(c) + F.lit(shift), 1)  # noqa: B023, E731
+        whole = block("low") == block("high")
+        # A transaction that reaches over the edge goes with the one it has.
+        place = F.when(whole, block("low")).when(F.col("mate") >= 0, block("at"))
+        marked = state.withColumn("block", place)
+        busy = F.broadcast(cut(marked.filter(waiting & whole).select("run", "block").distinct()))
+        moved = marked.join(busy, ["run", "block"], "left_semi").groupBy("run", "block").applyInPandas(_offers(days, shift), STATE)
+        resting = marked.join(busy, ["run", "block"], "left_anti").drop("block")
+        state = cut(moved.unionByName(resting))
+        shift = 1 - shift
+    pairs = state.filter((F.col("side") == "a") & (F.col("mate") >= 0))
+    return pairs.select(F.col("r").alias("a_row"), F.col("mate_r").alias("b_row")), long.join(fit, "run").select("cents")
+
+
+def _offers(days: int, shift: int):
+    """All offers inside one block, lowest row number first, until nobody in it has one left to make."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[[c.split()[0] for c in STATE.split(", ")]].sort_values(["side", "r", "uid"], ignore_index=True)
+        is_a = (out["side"] == "a").to_numpy()
+        n = int(is_a.sum())
+        whole = ((out["low"] + shift) // 2 == (out["high"] + shift) // 2).tolist()
+        rows = list(out[["cents", "day", "id", "chk"]].itertuples(index=False, name=None))
+        # In row order, A before B, a place stands for a row number.
+        place = {(s, u): i for i, (s, u) in enumerate(zip(out["side"], out["uid"]))}
+        mate = [-1 if m < 0 else place["b" if i < n else "a", m] for i, m in enumerate(out["mate"])]
+        waiting: dict[tuple, deque] = defaultdict(deque)
+        for i in range(n, len(rows)):
+            cents, day, name, check = rows[i]
+            for kind, value in (("d", day), ("i", name), ("c", check)):
+                if value not in ("", NO_DAY):
+                    waiting[kind, cents, value].append(i)
+        # One that was let go comes after the one it gave way to, so the heap only moves forward.
+        heap = [i for i in range(n) if whole[i] and mate[i] < 0]
+        while heap:
+            i = heapq.heappop(heap)
+            cents, day, name, check = rows[i]
+            values = [("i", name), ("c", check)]
+            if day != NO_DAY:
+                values += [("d", day + step) for step in range(-days, days + 1)]
+            firsts = []
+            for kind, value in values:
+                for near in (cents - 1, cents, cents + 1):
+                    queue = waiting.get((kind, near, value))
+                    while queue and 0 <= mate[queue[0]] < i:
+                        queue.popleft()
+                    if queue:
+                        firsts.append(queue[0])
+            if firsts:
+                best = min(firsts)
+                given_up = mate[best]
+                mate[i], mate[best] = best, i
+                if given_up >= 0:
+                    mate[given_up] = -1
+                    if whole[given_up]:
+                        heapq.heappush(heap, given_up)
+        for name, source, none in (("mate", "uid", -1), ("mate_r", "r", 0), ("at", "low", 0)):
+            values = out[source].tolist()
+            out[name] = [none if m < 0 else values[m] for m in mate]
+        out["gone"] = [i < n and whole[i] and mate[i] < 0 for i in range(len(rows))]
+        return out
+
+    return run
+
+
 def _left_over(
     signatures: DataFrame, members: DataFrame, choice: DataFrame, pairs: DataFrame, sid: str
 ) -> tuple[DataFrame, DataFrame]:

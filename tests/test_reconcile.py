@@ -101,3 +101,24 @@ def test_report(spark):
     row = ledger.reconcile_report(a, b, result).first()
     assert (row.matched, row.unmatched_a, row.unmatched_b, row.reconciled) == (1, 1, 0, False)
     assert (row.total_a, row.total_b, round(row.discrepancy, 2)) == (3.0, 1.01, 1.99)
+
+
+@pytest.mark.parametrize("seed, days, run_rows", [(5, 3, 60), (6, 1, 40), (7, 3, 80)])
+def test_stretches_of_days_as_sequential(spark, monkeypatch, seed, days, run_rows):
+    """A run far longer than what is settled together needs no round, wherever its days are cut."""
+    rng = random.Random(seed)
+    start = datetime.date(2024, 1, 1)
+
+    def rows(n, shown):
+        out = []
+        for k in rng.sample(range(n * 2), n):
+            # Ids and check numbers are shared by both sides, a few days apart.
+            at = start + datetime.timedelta((k * 37) % 200 + (k % 6 if shown else 0))
+            out.append((k, f"id{k}" if k % 2 else "", at, 0 if k % 3 else 1, f"c{k}" if k % 10 == 0 else ""))
+        return out
+
+    a, b = rows(330, False), rows(300, True)
+    a += [(1000, "", None, 0, ""), (1001, "none", None, 1, "")]
+    monkeypatch.setattr(ledger, "_choices", lambda *args: pytest.fail("settled in rounds"))
+    got = ledger.match_pairs(frame(spark, a), frame(spark, b), days, run_rows=run_rows).collect()
+    assert sorted((r.a_row, r.b_row) for r in got) == sequential(a, b, days)
