@@ -230,6 +230,9 @@ def distance(a: Column, b: Column) -> Column:
 
 # --- chained equations ------------------------------------------------------
 
+# Numbers in a table of patterns that is sent to all tasks; more are joined in this many parts per pattern.
+SENT_NUMBERS, SALTS = 2_000_000, 64
+
 
 def mice(df: DataFrame, cols: Sequence[str], rounds: int = 5) -> DataFrame:
     """Chained regressions: each column with gaps is predicted from the others, in turn.
@@ -274,7 +277,14 @@ def mice(df: DataFrame, cols: Sequence[str], rounds: int = 5) -> DataFrame:
     own = "_" * (1 + max(map(len, df.columns))) + "mice"
     work = df.select("*", F.struct(pattern.alias("pattern"), F.array(*scores).alias("z")).alias(own))
     ready = filled.select(F.col("pattern").alias(own + "p"), F.col("fill").alias(own + "f"))
-    work = work.join(ready, F.col(own)["pattern"] == F.col(own + "p"), "left")
+    # Half of all rows may have the same gaps, so they are not gathered by them: the few patterns
+    # go to the rows, and where there are many, the rows of one pattern are dealt over many tasks.
+    if patterns.count() * width * width <= SENT_NUMBERS:
+        work = work.join(F.broadcast(ready), F.col(own)["pattern"] == F.col(own + "p"), "left")
+    else:
+        salt = F.pmod(F.xxhash64(F.col(own)["z"]), F.lit(SALTS))
+        ready = ready.withColumn(own + "s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        work = work.join(ready, (F.col(own)["pattern"] == F.col(own + "p")) & (salt == F.col(own + "s")), "left").drop(own + "s")
     place = {c: i for i, c in enumerate(used)}
 
     def value(c: str) -> Column:

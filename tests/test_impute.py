@@ -77,3 +77,27 @@ def test_chained_equations(spark):
     twin = spark.createDataFrame([(1, 1.0, 2.0, 5.0), (2, 2.0, 4.0, 5.0), (3, None, 6.0, 5.0)], "id int, a double, b double, c double")
     assert sorted(impute.mice(twin, ["a", "b", "c"]).collect())[2].a == pytest.approx(3.0)
     assert impute.mice(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_rows_of_one_pattern_lie_apart(spark, monkeypatch):
+    """No task gathers all rows with the same gaps, whether the patterns are few or many."""
+    rng = np.random.default_rng(2)
+    table = rng.normal(size=(3000, 2))
+    table[:1000, 0] = np.nan
+    rows = [(i, None if np.isnan(a) else float(a), float(b)) for i, (a, b) in enumerate(table)]
+    df = spark.createDataFrame(rows, "id int, a double, b double").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = []
+        for sent in (impute.SENT_NUMBERS, 0):
+            monkeypatch.setattr(impute, "SENT_NUMBERS", sent)
+            out = impute.mice(df, ["a", "b"], 2)
+            sizes = [len(p) for p in out.rdd.glom().collect()]
+            assert max(sizes) < 1000
+            found.append(np.array(sorted((r.id, r.a, r.b) for r in out.collect())))
+        assert found[0] == pytest.approx(found[1], rel=1e-12)
+        assert found[0][:, 1:] == pytest.approx(brute_chained(table, 2), rel=1e-7, abs=1e-7)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
