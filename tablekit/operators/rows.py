@@ -17,14 +17,20 @@ def with_row(df: DataFrame, name: str = ROW) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan that has fewer partitions than cores to all cores.
+# Rows of a table that one task gets for costly row-local work.
+SPREAD_ROWS = 50_000
 
-    For costly row-local work over few files. A scan with enough partitions is
-    left alone, so a large input is not shuffled.
+
+def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """Deal a table over all cores, ``rows`` rows a task at most.
+
+    For costly row-local work. The partitions of a scan tell little: a file of
+    few row groups is cut into many, of which most are empty. The rows are
+    counted (which takes the file footers) and dealt in turn, so a task's work
+    stays the same however large the table is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // rows)))
 
 
 def running_total(

@@ -317,3 +317,15 @@ def test_repair_leaves_strings_alone(spark):
         {"x": "a /* b */ c", "y": None, "z": [1, 2]},
         {"a": 1, "b": {"c": True}, "d": [1, 2]},
     ]
+
+
+def test_spread_by_rows(spark):
+    """A table in many partitions with all rows in one is dealt out, and large ones to as many tasks as they need."""
+    from tablekit.operators.rows import spread
+
+    lumped = spark.range(1000, numPartitions=1).union(spark.createDataFrame([], "id bigint").repartition(9))
+    sizes = [len(p) for p in spread(lumped).rdd.glom().collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 500
+    sizes = [len(p) for p in spread(lumped, 20).rdd.glom().collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 50 and max(sizes) <= 40
+    assert spread(lumped.limit(0)).count() == 0
