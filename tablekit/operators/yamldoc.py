@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Sequence
 from typing import Any
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablekit.functions.coerce import col
 from tablekit.operators import jsondoc, jsonedit, xmldoc
-from tablekit.sources.documents import yaml_to_json
+from tablekit.sources.documents import YAML, remembered_tags, yaml_to_json
 
 to_json = yaml_to_json
 
@@ -24,7 +25,29 @@ def from_json(c: Column, flow: bool = False) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         import yaml
 
-        dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
+        base = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
+
+        class Dumper(base):
+            pass
+
+        Dumper.resolve = remembered_tags(Dumper)
+
+        def node(dumper: Any, value: Any) -> Any:
+            # What the safe representer makes of JSON values, which never share a part.
+            if isinstance(value, dict):
+                pairs = [(node(dumper, k), node(dumper, v)) for k, v in value.items()]
+                return yaml.MappingNode(YAML + "map", pairs, flow_style=flow)
+            if isinstance(value, list):
+                return yaml.SequenceNode(YAML + "seq", [node(dumper, v) for v in value], flow_style=flow)
+            if isinstance(value, str):
+                return yaml.ScalarNode(YAML + "str", value)
+            if isinstance(value, float):
+                return dumper.represent_float(value)
+            if value is None:
+                return yaml.ScalarNode(YAML + "null", "null")
+            if isinstance(value, bool):
+                return yaml.ScalarNode(YAML + "bool", "true" if value else "false")
+            return yaml.ScalarNode(YAML + "int", str(value))
 
         def one(text):
             if text is None:
@@ -33,9 +56,15 @@ def from_json(c: Column, flow: bool = False) -> Column:
                 value = json.loads(text)
             except ValueError:
                 return None
-            return yaml.dump(
-                value, Dumper=dumper, sort_keys=False, allow_unicode=True, default_flow_style=flow, width=2**30 if flow else 80
-            ).strip()
+            out = io.StringIO()
+            dumper = Dumper(out, allow_unicode=True, default_flow_style=flow, width=2**30 if flow else 80, sort_keys=False)
+            try:
+                dumper.open()
+                dumper.serialize(node(dumper, value))
+                dumper.close()
+            finally:
+                dumper.dispose()
+            return out.getvalue().strip()
 
         return texts.map(one)
 

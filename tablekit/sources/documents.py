@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 from xml.etree import ElementTree
 
@@ -23,6 +24,27 @@ from tablekit.sources.lines import ORDER, pieces, without_bom
 # --- YAML -------------------------------------------------------------------
 
 
+YAML = "tag:yaml.org,2002:"
+# Texts up to this length have their tags remembered, this many at a time.
+TAG_CHARS, TAG_MEMO = 40, 1 << 15
+
+
+def remembered_tags(base: type) -> Callable[..., str]:
+    """The ``resolve`` of a YAML loader or dumper that looks at a short plain text once."""
+    whole = base.resolve
+
+    @functools.lru_cache(TAG_MEMO)
+    def known(kind: Any, value: str, implicit: tuple) -> str:
+        return whole(base, kind, value, implicit)
+
+    def resolve(self: Any, kind: Any, value: Any, implicit: Any) -> str:
+        if type(value) is str and type(implicit) is tuple and len(value) <= TAG_CHARS:
+            return known(kind, value, implicit)
+        return whole(self, kind, value, implicit)
+
+    return resolve
+
+
 def yaml_to_json(c: Column) -> Column:
     """JSON text of a YAML text; null where it is no YAML.
 
@@ -43,6 +65,8 @@ def yaml_to_json(c: Column) -> Column:
             for first, found in base.yaml_implicit_resolvers.items()
         }
 
+        Loader.resolve = remembered_tags(Loader)
+
         def plain(v: Any) -> Any:
             if isinstance(v, dict):
                 return {_key(k): plain(x) for k, x in v.items()}
@@ -52,11 +76,43 @@ def yaml_to_json(c: Column) -> Column:
                 return None
             return v if v is None or isinstance(v, (str, int, float, bool)) else str(v)
 
+        def direct(loader: Any, node: Any) -> Any:
+            """The plain value of a node of the usual tags with text keys; LookupError for others."""
+            tag = node.tag
+            if tag == YAML + "str" and isinstance(node, yaml.ScalarNode):
+                return node.value
+            if tag == YAML + "map" and isinstance(node, yaml.MappingNode):
+                out = {}
+                for k, v in node.value:
+                    if k.tag != YAML + "str" or not isinstance(k, yaml.ScalarNode):
+                        raise LookupError(k.tag)
+                    out[k.value] = direct(loader, v)
+                return out
+            if tag == YAML + "seq" and isinstance(node, yaml.SequenceNode):
+                return [direct(loader, v) for v in node.value]
+            name = tag.removeprefix(YAML)
+            if name not in ("int", "float", "bool", "null") or not isinstance(node, yaml.ScalarNode):
+                raise LookupError(tag)
+            return plain(getattr(loader, "construct_yaml_" + name)(node))
+
+        def loaded(text: str) -> Any:
+            loader = Loader(text)
+            try:
+                node = loader.get_single_node()
+                if node is None:
+                    return None
+                try:
+                    return direct(loader, node)
+                except (LookupError, RecursionError):
+                    return plain(loader.construct_document(node))
+            finally:
+                loader.dispose()
+
         def one(text):
             if text is None:
                 return None
             try:
-                return json.dumps(plain(yaml.load(text, Loader)), ensure_ascii=False, separators=(",", ":"))
+                return json.dumps(loaded(text), ensure_ascii=False, separators=(",", ":"))
             except (yaml.YAMLError, ValueError):
                 return None
 
