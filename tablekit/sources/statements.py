@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tablekit.functions.coerce import strip
 from tablekit.operators.ledger import MONEY, ofx_date, qif_date
 from tablekit.operators.rows import ROW, running_total
+from tablekit.session import cut
 from tablekit.sources.lines import ORDER, pieces, without_bom
 
 
@@ -43,6 +44,16 @@ def detect_format(spark: SparkSession, path: str) -> DataFrame:
     return facts.select("file", kind.alias("format"))
 
 
+# Rows of facts about accounts or files that are sent to all tasks; of more none holds most transactions.
+SENT_ROWS = 50_000
+
+
+def _facts(df: DataFrame) -> DataFrame:
+    """One row per account or file, ready to be joined without gathering the transactions of an account."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= SENT_ROWS else kept
+
+
 def _accounts(chunks: DataFrame, opens: Column, is_tx: Column) -> DataFrame:
     """Add per-file ``account_no`` and, inside an account, ``tx_no`` (both from 1)."""
     numbered = running_total(
@@ -51,8 +62,8 @@ def _accounts(chunks: DataFrame, opens: Column, is_tx: Column) -> DataFrame:
         {"_o": F.col("_opens"), "_t": F.col("_tx")},
     ).withColumn("_acct", F.col("_o") + F.col("_opens"))
     # One row per account, and per file, from partial minima.
-    starts = numbered.groupBy("file", "_acct").agg(F.min("_t").alias("_t0"))
-    files = numbered.groupBy("file").agg(F.min("_acct").alias("_a0"))
+    starts = _facts(numbered.groupBy("file", "_acct").agg(F.min("_t").alias("_t0")))
+    files = _facts(starts.groupBy("file").agg(F.min("_acct").alias("_a0")))
     return (
         numbered.join(starts, ["file", "_acct"])
         .join(files, "file")
@@ -78,8 +89,10 @@ def read_qif(spark: SparkSession, path: str) -> DataFrame:
     chunks = chunks.join(firsts, "file").withColumn("_first", F.struct("block", "_seq") <= F.col("_f")).drop("_f")
     opens = (F.size("_header") > 0) & ~F.coalesce(F.col("_first"), F.lit(True))
     placed = _accounts(chunks, opens, F.col("_is_tx"))
-    types = placed.groupBy("file", "account_no").agg(
-        F.max_by(F.element_at("_header", -1), F.when(F.size("_header") > 0, F.struct("block", "_seq"))).alias("_type")
+    types = _facts(
+        placed.groupBy("file", "account_no").agg(
+            F.max_by(F.element_at("_header", -1), F.when(F.size("_header") > 0, F.struct("block", "_seq"))).alias("_type")
+        )
     )
 
     def field(code: str) -> Column:
@@ -174,7 +187,7 @@ def read_ofx(spark: SparkSession, path: str) -> DataFrame:
         .groupBy("file", "account_no")
         .agg(F.min_by("_tail", F.struct("block", "_seq")).alias("_tail"))
     )
-    info = accounts.join(balances, ["file", "account_no"], "left")
+    info = _facts(accounts.join(balances, ["file", "account_no"], "left"))
 
     def or_else(c: Column, default: Column | str) -> Column:
         return F.coalesce(F.nullif(c, F.lit("")), F.lit(default) if isinstance(default, str) else default)
