@@ -96,8 +96,7 @@ def same_scalar(a: Column, b: Column) -> Column:
 
 def bracket_depth(json: Column) -> Column:
     """How deep the brackets of a JSON text nest, strings left out."""
-    bare = F.regexp_replace(F.regexp_replace(json, r"\\.", ""), '"[^"]*"', "")
-    brackets = F.regexp_replace(bare, r"[^\[\]{}]", "")
+    brackets = F.regexp_replace(json, r'(?s)"(?:[^"\\]++|\\.)*+"|[^"\[\]{}]++', "")
     steps = F.transform(
         F.split(brackets, ""),
         lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0),

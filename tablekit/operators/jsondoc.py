@@ -313,23 +313,43 @@ def paired_leaves(
     json: str,
     max_depth: int | None = None,
     unequal_arrays_whole: bool = False,
+    equal: bool = True,
 ) -> DataFrame:
     """Walk two versions of each document together, after one join on the document.
 
     Only containers of the same kind on both sides are opened, so a subtree
     that is new, gone or of another type stays one row: ``path, pointer, a, b``.
+    Without ``equal`` neither is a subtree opened nor a row given where both
+    sides have the same JSON text.
     """
-    kind = "struct<path:string,pointer:string,a:variant,b:variant,open:boolean>"
-    left = a.select(*[col(k) for k in doc], variant(a, json).alias("_a"), levels_of(a, json, max_depth).alias("_la"))
-    right = b.select(*[col(k) for k in doc], variant(b, json).alias("_b"), levels_of(b, json, max_depth).alias("_lb"))
+    pairs = _paired(a, b, doc, json, max_depth, unequal_arrays_whole, equal)
+    return pairs.select(*[col(k) for k in doc], "path", "pointer", "a", "b")
 
-    def below(x: Column, y: Column, path: Column, pointer: Column) -> Column:
+
+def _paired(
+    a: DataFrame, b: DataFrame, doc: Sequence[str], json: str, max_depth: int | None, unequal_arrays_whole: bool, equal: bool
+) -> DataFrame:
+    """The rows of ``paired_leaves`` with ``old`` and ``new``, both sides as JSON text."""
+    kind = "struct<path:string,pointer:string,a:variant,b:variant,old:string,new:string,open:boolean>"
+    kept = [col(k) for k in doc]
+
+    def below(sides: Column, path: Column, pointer: Column) -> Column:
         """One pair; ``open`` where both sides hold containers of one kind to go into."""
-        arrays = as_array(x).isNotNull() & as_array(y).isNotNull()
+        # Every text is made once and tells both the kind and whether anything below differs.
+        return bind(
+            F.struct(sides["a"].alias("a"), sides["b"].alias("b"), F.to_json(sides["a"]).alias("x"), F.to_json(sides["b"]).alias("y")),
+            lambda p: F.struct(
+                path.alias("path"), pointer.alias("pointer"), p["a"].alias("a"), p["b"].alias("b"),
+                p["x"].alias("old"), p["y"].alias("new"), opened(p).alias("open"),
+            ),
+        )
+
+    def opened(p: Column) -> Column:
+        arrays = p["x"].startswith("[") & p["y"].startswith("[")
         if unequal_arrays_whole:
-            arrays = F.when(arrays, F.size(as_array(x)) == F.size(as_array(y)))
-        both = (as_map(x).isNotNull() & as_map(y).isNotNull()) | F.coalesce(arrays, F.lit(False))
-        return F.struct(path.alias("path"), pointer.alias("pointer"), x.alias("a"), y.alias("b"), both.alias("open"))
+            arrays = F.when(arrays, F.size(as_array(p["a"])) == F.size(as_array(p["b"])))
+        both = F.coalesce((p["x"].startswith("{") & p["y"].startswith("{")) | arrays, F.lit(False))
+        return both if equal else both & (p["x"] != p["y"])
 
     def children(p: Column) -> Column:
         # Members of both sides by name, and items of both sides by place.
@@ -338,26 +358,36 @@ def paired_leaves(
                 F.map_zip_with(as_map(p["a"]), as_map(p["b"]), lambda k, x, y: F.struct(x.alias("a"), y.alias("b")))
             ),
             lambda e: below(
-                e["value"]["a"], e["value"]["b"],
+                e["value"],
                 F.concat(p["path"], F.lit("."), e["key"]), F.concat(p["pointer"], F.lit("/"), _escaped(e["key"])),
             ),
         )
         items = F.transform(
             F.zip_with(as_array(p["a"]), as_array(p["b"]), lambda x, y: F.struct(x.alias("a"), y.alias("b"))),
             lambda e, i: below(
-                e["a"], e["b"],
+                e,
                 F.concat(p["path"], F.lit("["), i.cast("string"), F.lit("]")),
                 F.concat(p["pointer"], F.lit("/"), i.cast("string")),
             ),
         )
-        return F.when(p["open"], F.coalesce(members, items))
-
-    kept = [col(k) for k in doc]
-    root = below(F.col("_a"), F.col("_b"), F.lit("$"), F.lit(""))
-    # What is open on both sides is no deeper than the shallower one.
-    every = unfold(root, kind, F.least("_la", "_lb"), children)
-    pairs = left.join(right, list(doc)).select(*kept, F.explode(F.filter(every, lambda p: ~p["open"])).alias("_p"))
-    return pairs.select(*kept, "_p.path", "_p.pointer", "_p.a", "_p.b")
+        found = F.when(p["old"].startswith("{"), members).otherwise(items)
+        if not equal:
+            found = F.filter(found, lambda c: ~F.coalesce(c["old"] == c["new"], F.lit(False)))
+        return F.when(p["open"], found)
+
+    # Texts go through the join as they are and are parsed behind it.
+    left, right = a.select(*kept, col(json).alias("_a")), b.select(*kept, col(json).alias("_b"))
+    both = left.join(right, list(doc))
+    read = both.select(*kept, variant(both, "_a").alias("a"), variant(both, "_b").alias("b"))
+    read = read.select(*kept, F.struct("a", "b").alias("_s"), F.to_json("a").alias("_x"), F.to_json("b").alias("_y"))
+    # What is open on both sides is no deeper than either of them; what is equal is not opened.
+    levels = bracket_depth(F.when(F.length("_x") <= F.length("_y"), F.col("_x")).otherwise(F.col("_y")))
+    levels = levels if max_depth is None else F.least(levels, F.lit(max_depth))
+    read = read.select(*kept, "_s", F.when(F.lit(equal) | (F.col("_x") != F.col("_y")), levels).otherwise(0).alias("_levels"))
+    every = unfold(below(F.col("_s"), F.lit("$"), F.lit("")), kind, F.col("_levels"), children)
+    shown = lambda p: ~p["open"] if equal else ~p["open"] & ~F.coalesce(p["old"] == p["new"], F.lit(False))
+    pairs = read.select(*kept, F.explode(F.filter(every, shown)).alias("_p"))
+    return pairs.select(*kept, "_p.path", "_p.pointer", "_p.a", "_p.b", "_p.old", "_p.new")
 
 
 def json_diff(
@@ -367,13 +397,15 @@ def json_diff(
 
     Documents on one side only are a matter for a table diff, not for this one.
     """
-    return _changed(paired_leaves(a, b, doc, json, max_depth), doc)
+    return _changed(_paired(a, b, doc, json, max_depth, unequal_arrays_whole=False, equal=False), doc)
 
 
 def _changed(pairs: DataFrame, doc: Sequence[str]) -> DataFrame:
-    typed = pairs.withColumn("_ta", json_type(F.col("a"))).withColumn("_tb", json_type(F.col("b")))
+    # The type of a container takes a look at all of it, its text begins with it.
+    kind = lambda v, text: F.when(text.startswith("{"), "object").when(text.startswith("["), "array").otherwise(json_type(v))
+    typed = pairs.withColumn("_ta", kind(F.col("a"), F.col("old"))).withColumn("_tb", kind(F.col("b"), F.col("new")))
     ta, tb = F.col("_ta"), F.col("_tb")
-    same_value = same_scalar(F.col("a"), F.col("b")) | (F.to_json("a") == F.to_json("b"))
+    same_value = (F.col("old") == F.col("new")) | same_scalar(F.col("a"), F.col("b"))
     status = (
         F.when(ta.isNull(), "added")
         .when(tb.isNull(), "removed")
@@ -385,8 +417,8 @@ def _changed(pairs: DataFrame, doc: Sequence[str]) -> DataFrame:
         "pointer",
         "status",
         F.when(ta != tb, F.concat(F.lit("type changed from "), ta, F.lit(" to "), tb)).alias("details"),
-        F.to_json("a").alias("old"),
-        F.to_json("b").alias("new"),
+        "old",
+        "new",
     )
 
 
@@ -397,10 +429,9 @@ def create_patch(
 
     What is collected per document is a part of that document's own text.
     """
-    changes = _changed(paired_leaves(a, b, doc, json, max_depth, unequal_arrays_whole=True), doc)
+    changes = _changed(_paired(a, b, doc, json, max_depth, unequal_arrays_whole=True, equal=False), doc)
     op = F.when(F.col("status") == "modified", "replace").when(F.col("status") == "added", "add").otherwise("remove")
-    quoted = F.to_json(F.parse_json(F.to_json(F.struct(F.col("pointer").alias("p")))))
-    pointer = F.regexp_extract(quoted, r"(?s)^\{\"p\":(.*)\}$", 1)
+    pointer = F.to_json(F.col("pointer").cast("variant"))
     entry = F.concat(
         F.lit('{"op":"'), op, F.lit('","path":'), pointer,
         F.when(F.col("status") != "removed", F.concat(F.lit(',"value":'), F.col("new"))).otherwise(""),

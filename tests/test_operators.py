@@ -167,6 +167,21 @@ def test_patch_round_trip(spark):
     assert jsondoc.json_diff(a, a, ["d"], "j").count() == 0
 
 
+def test_json_diff_opens_only_what_differs(spark):
+    a = spark.createDataFrame([(1, '{"u":{"t":[1,2],"n":{"k":"[{\\"}"}},"v":1.0,"g":[1,{"x":1}]}')], "d int, j string")
+    b = spark.createDataFrame([(1, '{"g":[1,{"x":2}],"v":1e0,"u":{"n":{"k":"[{\\"}"},"t":[1,2]},"a/\\"b":null}')], "d int, j string")
+    leaves = jsondoc.paired_leaves(a, b, ["d"], "j")
+    assert sorted(r.pointer for r in leaves.collect()) == ['/a~1"b', "/g/0", "/g/1/x", "/u/n/k", "/u/t/0", "/u/t/1", "/v"]
+    walked = jsondoc.paired_leaves(a, b, ["d"], "j", equal=False)
+    # Values of other text may still be equal, as 1.0 and 1e0; subtrees of the same text are not gone into.
+    assert sorted(r.pointer for r in walked.collect()) in (['/a~1"b', "/g/1/x"], ['/a~1"b', "/g/1/x", "/v"])
+    changed = {(r.pointer, r.status, r.old, r.new) for r in jsondoc.json_diff(a, b, ["d"], "j").collect()}
+    assert changed == {('/a~1"b', "added", None, "null"), ("/g/1/x", "modified", "1", "2")}
+    assert [r.patch for r in jsondoc.create_patch(a, b, ["d"], "j").collect()] == [
+        '[{"op":"add","path":"/a~1\\"b","value":null},{"op":"replace","path":"/g/1/x","value":2}]'
+    ]
+
+
 def test_flatten_and_back(spark):
     df = docs(spark, [DOCS[1]])
     flat = {r.name: json.loads(r.value) for r in jsondoc.flatten(df, "j", ["d"]).collect()}
