@@ -15,8 +15,9 @@ lines share costs as much as any other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,10 +33,10 @@ SENT_BYTES = 32 << 20
 COMMON = 1 / 2000
 
 
-def name_of(words: bytes) -> tuple[int, int]:
-    """Two signed numbers that name a sequence of 8-byte word hashes."""
-    digest = xxhash.xxh3_128_digest(words)
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+def names_of(digests: Iterable[bytes]) -> list[pa.Array]:
+    """Two columns of signed numbers that name sequences of 8-byte word hashes, from their 16-byte digests."""
+    found = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+    return [pa.array(found[:, i]) for i in (0, 1)]
 
 
 def halves(words: bytes) -> list[int]:
@@ -47,10 +48,11 @@ def halves(words: bytes) -> list[int]:
     return [xxhash.xxh3_64_intdigest(part, mark) - (1 << 63) for part, mark in zip(parts, marks)]
 
 
-def variants(words: bytes) -> list[tuple[int, int, int]]:
-    """(place left out, two numbers) of a line and of it with one word left out; place -1 for the line itself."""
-    cut = (words[:i] + words[i + 8 :] for i in range(0, len(words), 8))
-    return [(-1, *name_of(words)), *((i, *name_of(part)) for i, part in enumerate(cut))]
+def variants(words: bytes) -> list[bytes]:
+    """Digests of a line's word hashes, then of those with the word at place 0, 1, ... left out."""
+    # Never all variants side by side: those of a long line take the square of its length.
+    digest = xxhash.xxh3_128_digest
+    return [digest(words), *(digest(words[:i] + words[i + 8 :]) for i in range(0, len(words), 8))]
 
 
 def close(a: bytes, b: bytes) -> bool:
@@ -75,6 +77,8 @@ def _lines(docs: DataFrame, kind: str, min_words: int, near_words: int) -> DataF
         hashes = WordHashes()
         for batch in batches:
             rows: list[tuple] = []
+            names: list[bytes] = []
+            keys: list[int] = []
             for r, text in enumerate(batch.column(1)):
                 lines = [line.split() for line in text.as_py().translate(LOWER).split(b"\n")]
                 # All words of a text at once; a line is a slice of 8 bytes a word.
@@ -84,12 +88,19 @@ def _lines(docs: DataFrame, kind: str, min_words: int, near_words: int) -> DataF
                     n = len(words)
                     if n >= min_words:
                         own = every[8 * at : 8 * (at + n)]
-                        rows.append((r, number, *name_of(own), halves(own) if n >= near_words else None))
+                        near = n >= near_words
+                        if near:
+                            keys += halves(own)
+                        rows.append((r, number, near))
+                        names.append(xxhash.xxh3_128_digest(own))
                     at += n
-            r, number, h1, h2, keys = zip(*rows) if rows else ((),) * 5
-            at = pa.array(r, pa.int64())
+            r, number, near = zip(*rows) if rows else ((),) * 3
+            at, near = pa.array(r, pa.int64()), np.array(near, dtype=bool)
+            # Four keys a line, or none and null.
+            ends = pa.array(np.concatenate([[0], np.cumsum(4 * near)]), pa.int32())
+            found = pa.ListArray.from_arrays(ends, pa.array(keys, pa.int64()), mask=pa.array(~near))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(2).take(at), pa.array(number, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column(0).take(at), batch.column(2).take(at), pa.array(number, pa.int32()), *names_of(names), found],
                 names=["doc", "content", "line", "h1", "h2", "halves"],
             )
 
@@ -104,27 +115,34 @@ def _variants(docs: DataFrame, kind: str) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             rows: list[tuple] = []
+            made: list[bytes] = []
             for r in range(batch.num_rows):
                 lines = batch.column(1)[r].as_py().translate(LOWER).split(b"\n")
                 for number in batch.column(3)[r].as_py():
-                    made = variants(hashes(lines[number].split()).tobytes())
-                    rows += [(r, number, *v, lines[number] if v[0] < 0 else None) for v in made]
-                    if len(rows) > 50_000:
-                        yield _variant_batch(batch, rows)
-                        rows = []
-            yield _variant_batch(batch, rows)
+                    own = variants(hashes(lines[number].split()).tobytes())
+                    made += own
+                    rows.append((r, number, len(own), lines[number]))
+                    if len(made) > 50_000:
+                        yield _variant_batch(batch, rows, made)
+                        rows, made = [], []
+            yield _variant_batch(batch, rows, made)
 
     rows = docs.select("doc", F.col("text").cast("binary").alias("text"), "content", "lines")
     return rows.mapInArrow(tidy(run), f"doc {kind}, content bigint, line int, place int, v1 bigint, v2 bigint, words binary")
 
 
-def _variant_batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
-    r, number, place, v1, v2, words = zip(*rows) if rows else ((),) * 6
-    at = pa.array(r, pa.int64())
-    columns = [batch.column(0).take(at), batch.column(2).take(at)]
-    columns += [pa.array(c, pa.int32()) for c in (number, place)] + [pa.array(c, pa.int64()) for c in (v1, v2)]
-    names = ["doc", "content", "line", "place", "v1", "v2", "words"]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.binary())], names=names)
+def _variant_batch(batch: pa.RecordBatch, rows: list[tuple], made: list[bytes]) -> pa.RecordBatch:
+    """A row for each digest of ``made``, the variants of the lines ``rows``, one line after the other."""
+    r, number, sizes, words = zip(*rows) if rows else ((),) * 4
+    sizes = np.array(sizes, dtype=np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of] - 1
+    at = pa.array(np.array(r, dtype=np.int64)[of])
+    numbers = pa.array(np.array(number, dtype=np.int32)[of])
+    # The line's words come with its own row only.
+    lines = pa.array(words, pa.binary()).take(pa.array(of, mask=place >= 0))
+    columns = [batch.column(0).take(at), batch.column(2).take(at), numbers, pa.array(place, pa.int32()), *names_of(made), lines]
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "content", "line", "place", "v1", "v2", "words"])
 
 
 def _order() -> Column:
@@ -234,16 +252,17 @@ def dedup_lines(
         F.col("doc").alias(key),
         F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
-        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(without("text", "dropped")).alias("kept"),
+        # Only texts that change go to Python.
+        F.coalesce(without(F.when(F.col("dropped").isNotNull(), F.col("text")), "dropped"), "text").alias("kept"),
     )
 
 
 @F.arrow_udf(T.StringType())
 def without(text: pa.Array, dropped: pa.Array) -> pa.Array:
-    """A text without the lines of the given numbers; unchanged where these are null."""
+    """A text without the lines of the given numbers; unchanged where these are null, null where it is null."""
     out = []
     for t, d in zip(text, dropped):
-        gone = set(d.as_py() or ())
+        gone = set(d.as_py() or ()) if t.is_valid else ()
         lines = t.as_py().split("\n") if gone else ()
         out.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t.as_py())
     return pa.array(out, pa.string())
@@ -267,7 +286,8 @@ def keep_first_lines(
     same = F.col(key).eqNullSafe(F.col(own + "of")) & (F.xxhash64(text_of(text)) == F.col(own + "with"))
     changed = F.col(own + "gone").isNotNull()
     # Not to be run again by the filter below, which would take a second worker per task.
-    kept = F.when(changed, without.asNondeterministic()(F.col(text), F.col(own + "gone"))).otherwise(F.col(text))
+    kept = without.asNondeterministic()(F.when(changed, F.col(text)), F.col(own + "gone"))
+    kept = F.when(changed, kept).otherwise(F.col(text))
     rows = docs.join(goes, same, "left").withColumn(own + "kept", kept)
     left = {text: F.col(own + "kept"), size: F.when(changed, F.length(own + "kept").cast("long")).otherwise(F.col(size))} if size in docs.columns else {text: F.col(own + "kept")}
     rows = rows.where(~changed | F.col(own + "kept").rlike(r"[^\x20\x09-\x0D]"))

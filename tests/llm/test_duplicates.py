@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -270,3 +271,18 @@ def test_pipeline(spark):
     assert set(safe) == {k for k, t in single.items() if not holds(t)}
     packed = corpus_pipeline.run(spark, FOLDER).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {r.doc_id for r in packed} == set(safe) and all(r.n == r.m for r in packed)
+
+
+def test_only_texts_that_change_go_to_python(spark):
+    rows = [("a\nb\nc", [1]), ("a", None), (None, [0]), (None, None), ("a\nb", [])]
+    df = spark.createDataFrame(rows, "t string, d array<int>")
+    got = [r.k for r in df.select(linededup.without("t", "d").alias("k")).collect()]
+    assert got == ["a\nc", "a", None, None, "a\nb"]
+
+
+def test_names_of_many_sequences_are_those_of_each():
+    digests = [xxhash.xxh3_128_digest(p) for p in (b"", b"12345678", b"1234567887654321")]
+    h1, h2 = linededup.names_of(digests)
+    assert h1.to_pylist() == [int.from_bytes(d[:8], "little", signed=True) for d in digests]
+    assert h2.to_pylist() == [int.from_bytes(d[8:], "little", signed=True) for d in digests]
+    assert [len(c) for c in linededup.names_of([])] == [0, 0]
