@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import ALNUM, WordHashes, prepare, shingles, text_of
+from tablekit.llm.base import ALNUM, WordHashes, prepare, release, shingles, text_of, tidy
 
 WIDTH = 5
 LEAST = 0.8
@@ -218,7 +218,7 @@ def _found(rows: DataFrame, block: list[Items], schema: T.StructType, least: flo
             columns = list(zip(*found)) or [()] * len(out)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def leaks(block: list[Items], text: str = "text", least: float = LEAST) -> Column:
@@ -234,6 +234,8 @@ def leaks(block: list[Items], text: str = "text", least: float = LEAST) -> Colum
                 hashed = read(words)
                 out.append(any(some.find(words, hashed, least) for some in block))
             yield pa.array(out, pa.bool_())
+        del read
+        release()
 
     return holds(text_of(text).cast("binary"))
 

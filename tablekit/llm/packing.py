@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import prepare, text_of
+from tablekit.llm.base import prepare, text_of, tidy
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,8 @@ def within(piece: Piece, limits: Limits) -> Iterator[Piece]:
         n = min(n, max(1, int(np.searchsorted(np.cumsum(piece.loss[:n]), limits.loss, side="right"))))
         head, piece = piece.cut(n)
         yield head
-    yield piece
+    # The rest waits for its block to fill; a view would keep all ids of its document until then.
+    yield Piece(piece.key, piece.start, piece.ids.copy(), piece.loss.copy(), piece.total) if piece.start else piece
 
 
 def fill(pieces: list[Piece], limits: Limits, last: bool) -> tuple[list[list[Piece]], list[Piece]]:
@@ -193,7 +194,7 @@ def _pack(df: DataFrame, read: Callable, key_type: T.DataType, key_name: str, li
                 rows, size = [], 0
         yield _batch(rows, out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

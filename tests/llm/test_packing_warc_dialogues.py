@@ -167,3 +167,17 @@ def test_perspectives(spark):
         assert [r.role for r in own] == [role for *_, role, _ in said]
         assert zlib.crc32(text.encode()) and text.count(dialogues.TURN_END) == len(said)
     assert dialogues.rotate_perspectives(df.limit(0)).count() == 0
+
+
+def test_waiting_pieces_keep_only_their_own_ids():
+    """The rest of a long document waits for its block without the ids that are packed already."""
+    limits = packing.Limits()
+    ids = np.arange(50_000, dtype="<u4")
+    pieces = list(packing.within(packing.Piece(1, 0, ids, np.ones(len(ids), dtype=np.uint8), len(ids)), limits))
+    assert np.concatenate([p.ids for p in pieces]).tolist() == ids.tolist()
+    rest = pieces[-1]
+    assert (rest.start, len(rest.ids), len(rest.loss), rest.total) == (49_152, 848, 848, 50_000)
+    assert rest.ids.base is None and rest.loss.base is None
+    # One that fits is not copied.
+    short = packing.Piece(2, 0, ids[:100], np.ones(100, dtype=np.uint8), 100)
+    assert next(packing.within(short, limits)) is short
