@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -25,6 +25,11 @@ _MIX = (
     np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB),
 )
 SIGN = np.uint64(1 << 63)
+# The bytes at which ``bytes.split`` splits.
+BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+# Words of more bytes are hashed one by one; texts go through the hashing in groups of about so many bytes.
+LONG_WORD, GROUP_BYTES = 64, 1 << 20
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -116,6 +121,46 @@ class WordHashes:
         return np.array(found, dtype=np.uint64)
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of ``data``, eight bytes at a time, and the place of each word's first byte."""
+    edges = np.flatnonzero(np.diff(BLANK[np.frombuffer(data, dtype=np.uint8)], prepend=True, append=True))
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), 0, (1,))
+    out = mixed(size.astype(np.uint64) * _MIX[0])
+    at = np.arange(len(out))
+    for done in range(0, LONG_WORD, 8):
+        at = at[size[at] > done]
+        if not len(at):
+            break
+        part = eight[start[at] + done] & _FIRST_BYTES[np.minimum(size[at] - done, 8)]
+        out[at] = mixed((out[at] ^ part) * _MIX[0])
+    for i in at[size[at] > LONG_WORD].tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]])
+    return out, start
+
+
+def grouped(texts: Iterable[bytes], most: int = GROUP_BYTES) -> Iterator[list[bytes]]:
+    """The texts in order, in groups of at most about ``most`` bytes or one text."""
+    group: list[bytes] = []
+    size = 0
+    for text in texts:
+        if group and size + len(text) > most:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
+def hashed_texts(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text; A-Z count as a-z."""
+    for group in grouped(texts):
+        found, start = word_hashes(b"\n".join(group).translate(LOWER))
+        ends = np.cumsum([len(t) + 1 for t in group])
+        yield from np.split(found, np.searchsorted(start, ends[:-1]))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values one to one."""
     h = (h ^ (h >> np.uint64(30))) * _MIX[1]

@@ -16,6 +16,7 @@ lines share costs as much as any other.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import tee
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import LOWER, Scratch, WordHashes, prepare, text_of, tidy
+from tablekit.llm.base import LOWER, Scratch, grouped, hashed_texts, mixed, prepare, text_of, tidy, word_hashes
 
 ORDER = ("no_id", "doc", "content", "line")
 # A list of documents and lines of at most so many bytes is sent to every task; a longer one is joined by a shuffle.
 SENT_BYTES = 32 << 20
 # A line that makes up more than this part of all lines is common; there can be no more common lines than the inverse.
 COMMON = 1 / 2000
+ODD = 0xD6E8FEB86659FD93
 
 
 def names_of(digests: Iterable[bytes]) -> list[pa.Array]:
@@ -39,13 +41,22 @@ def names_of(digests: Iterable[bytes]) -> list[pa.Array]:
     return [pa.array(found[:, i]) for i in (0, 1)]
 
 
-def halves(words: bytes) -> list[int]:
-    """Keys of which two close lines share one: the first or second half of the shorter, as it lies in each."""
-    n = len(words) // 8
-    a, b = n // 2, (n - 1) // 2
-    parts = (words[: 8 * a], words[8 * a :], words[: 8 * b], words[8 * b + 8 :])
-    marks = (2 * n, 2 * n + 1, 2 * n - 2, 2 * n - 1)
-    return [xxhash.xxh3_64_intdigest(part, mark) - (1 << 63) for part, mark in zip(parts, marks)]
+def halves(words: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Four keys a line, of which two close lines share one: the first or second half of the shorter, as it lies in each.
+
+    The lines are ``n`` of the word hashes ``words`` each, from ``start`` on. Different halves
+    may now and then have one key: it brings lines together, their variants tell.
+    """
+    # A run of words is a polynomial of an odd number, modulo 2**64: a difference of two sums over all words.
+    power = np.full(len(words) + 1, ODD, dtype=np.uint64)
+    back = np.full(len(words) + 1, pow(ODD, -1, 1 << 64), dtype=np.uint64)
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:-1], dtype=np.uint64)])
+    a, b = n // 2, np.maximum(n - 1, 0) // 2
+    runs = ((0 * n, a, 2 * n), (a, n, 2 * n + 1), (0 * n, b, 2 * n - 2), (np.minimum(b + 1, n), n, 2 * n - 1))
+    keys = [(sums[start + j] - sums[start + i]) * back[start + i] ^ mixed(mark.astype(np.uint64)) for i, j, mark in runs]
+    return mixed(np.stack(keys, axis=1)).view(np.int64)
 
 
 def variants(words: bytes) -> list[bytes]:
@@ -74,35 +85,34 @@ def _lines(docs: DataFrame, kind: str, min_words: int, near_words: int) -> DataF
     """Lines of at least ``min_words`` words: their place, hash, and keys of their halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            rows: list[tuple] = []
-            names: list[bytes] = []
-            keys: list[int] = []
-            for r, text in enumerate(batch.column(1)):
-                lines = [line.split() for line in text.as_py().translate(LOWER).split(b"\n")]
-                # All words of a text at once; a line is a slice of 8 bytes a word.
-                every = hashes([w for words in lines for w in words]).tobytes()
-                at = 0
-                for number, words in enumerate(lines):
-                    n = len(words)
-                    if n >= min_words:
-                        own = every[8 * at : 8 * (at + n)]
-                        near = n >= near_words
-                        if near:
-                            keys += halves(own)
-                        rows.append((r, number, near))
-                        names.append(xxhash.xxh3_128_digest(own))
-                    at += n
-            r, number, near = zip(*rows) if rows else ((),) * 3
-            at, near = pa.array(r, pa.int64()), np.array(near, dtype=bool)
-            # Four keys a line, or none and null.
-            ends = pa.array(np.concatenate([[0], np.cumsum(4 * near)]), pa.int32())
-            found = pa.ListArray.from_arrays(ends, pa.array(keys, pa.int64()), mask=pa.array(~near))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(2).take(at), pa.array(number, pa.int32()), *names_of(names), found],
-                names=["doc", "content", "line", "h1", "h2", "halves"],
-            )
+            done = 0
+            for group in grouped(t.as_py() for t in batch.column(1)):
+                data = b"\n".join(group).translate(LOWER)
+                words, at = word_hashes(data)
+                # A line's words go from one of these bounds to the next.
+                breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+                bounds = np.concatenate([[0], np.searchsorted(at, breaks), [len(at)]])
+                n = np.diff(bounds)
+                # The first line of each text, and of what would come after the last.
+                first = np.searchsorted(breaks, np.cumsum([0, *(len(t) + 1 for t in group)]))
+                first[-1] = len(n)
+                own = np.repeat(np.arange(len(group)), np.diff(first))
+                kept = np.flatnonzero(n >= min_words)
+                rows = pa.array(own[kept] + done)
+                every = words.tobytes()
+                names = [xxhash.xxh3_128_digest(every[i:j]) for i, j in zip((8 * bounds[kept]).tolist(), (8 * bounds[kept + 1]).tolist())]
+                near = n[kept] >= near_words
+                keys = halves(words, bounds[kept[near]], n[kept[near]])
+                # Four keys a line, or none and null.
+                ends = pa.array(np.concatenate([[0], np.cumsum(4 * near)]), pa.int32())
+                found = pa.ListArray.from_arrays(ends, pa.array(keys.ravel(), pa.int64()), mask=pa.array(~near))
+                number = pa.array((np.arange(len(n)) - first[own])[kept], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(2).take(rows), number, *names_of(names), found],
+                    names=["doc", "content", "line", "h1", "h2", "halves"],
+                )
+                done += len(group)
 
     rows = docs.select("doc", F.col("text").cast("binary").alias("text"), "content")
     return rows.mapInArrow(tidy(run), f"doc {kind}, content bigint, line int, h1 bigint, h2 bigint, halves array<bigint>")
@@ -112,19 +122,24 @@ def _variants(docs: DataFrame, kind: str) -> DataFrame:
     """Variants of the lines that ``docs`` names in its array ``lines``; the line's own words come with its own row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            rows: list[tuple] = []
-            made: list[bytes] = []
+        def named(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
             for r in range(batch.num_rows):
                 lines = batch.column(1)[r].as_py().translate(LOWER).split(b"\n")
                 for number in batch.column(3)[r].as_py():
-                    own = variants(hashes(lines[number].split()).tobytes())
-                    made += own
-                    rows.append((r, number, len(own), lines[number]))
-                    if len(made) > 50_000:
-                        yield _variant_batch(batch, rows, made)
-                        rows, made = [], []
+                    yield r, number, lines[number]
+
+        for batch in batches:
+            rows: list[tuple] = []
+            made: list[bytes] = []
+            places, texts = tee(named(batch))
+            # The second one runs ahead by a group of texts.
+            for (r, number, line), words in zip(places, hashed_texts(line for _, _, line in texts)):
+                own = variants(words.tobytes())
+                made += own
+                rows.append((r, number, len(own), line))
+                if len(made) > 50_000:
+                    yield _variant_batch(batch, rows, made)
+                    rows, made = [], []
             yield _variant_batch(batch, rows, made)
 
     rows = docs.select("doc", F.col("text").cast("binary").alias("text"), "content", "lines")

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablekit.llm import decontaminate, linededup, ngramjoin, toxicity
+from tablekit.llm import base, decontaminate, linededup, ngramjoin, toxicity
 from tablekit.llm.queries import LLM_ORACLES, LLM_QUERIES
 from tests.test_queries import FOLDER, con  # noqa: F401
 from tools.check import rows as as_rows
@@ -286,3 +287,39 @@ def test_names_of_many_sequences_are_those_of_each():
     assert h1.to_pylist() == [int.from_bytes(d[:8], "little", signed=True) for d in digests]
     assert h2.to_pylist() == [int.from_bytes(d[8:], "little", signed=True) for d in digests]
     assert [len(c) for c in linededup.names_of([])] == [0, 0]
+
+
+def test_words_hashed_in_columns():
+    """Every word has one hash, wherever it stands and however long it is; texts share no words."""
+    rng = random.Random(11)
+    blanks = [" ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85"]
+    words = ["".join(rng.choices("abAB\x00é", k=rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))) for _ in range(400)]
+    texts = ["", " ", "a", *("".join(w + rng.choice(blanks) for w in rng.choices(words, k=rng.randint(0, 30))) for _ in range(60))]
+    data = [t.encode() for t in texts]
+    known = {}
+    for text, found in zip(data, base.hashed_texts(iter(data)), strict=True):
+        split = text.translate(base.LOWER).split()
+        assert len(split) == len(found)
+        for word, h in zip(split, found.tolist()):
+            assert known.setdefault(word, h) == h
+    assert len(set(known.values())) == len(known)
+    assert [len(g) for g in base.grouped([b"ab", b"", b"abc", b"abcdefgh", b"a"], 5)] == [3, 1, 1]
+
+
+def test_close_lines_share_a_half():
+    rng = random.Random(12)
+    lines = [rng.choices(WORDS, k=n) for n in (1, 2, 5, 6, 7, 40) for _ in range(20)]
+    close = []
+    for line in lines:
+        i, word = rng.randrange(len(line)), rng.choice(WORDS)
+        close += [line[:i] + line[i + 1 :], line[:i] + [word] + line[i + 1 :], line[:i] + [word] + line[i:]]
+    every = lines + close
+    words, _ = base.word_hashes(" ".join(w for line in every for w in line).encode())
+    n = np.array([len(line) for line in every])
+    keys = [set(k) for k in linededup.halves(words, np.cumsum(n) - n, n).tolist()]
+    for i, line in enumerate(lines):
+        for j in range(3):
+            assert keys[i] & keys[len(lines) + 3 * i + j]
+    # Keys bring few others together.
+    other = [(a, b) for a in range(len(lines)) for b in range(a) if len(lines[a]) == 40 == len(lines[b])]
+    assert not any(keys[a] & keys[b] for a, b in other)
