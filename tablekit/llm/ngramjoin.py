@@ -25,11 +25,14 @@ member of any such list has cannot be shared, so two sets of n and m tokens, of
 a and b are met elsewhere, can link only if min(a, b) >= s * (n + m - min(a, b)).
 Members that share a token of at most ``SCARCE`` members are looked up by it; for any
 others the bound holds with a and b counting only tokens of more members than that.
+And a set has ``BITS`` bits: whether it holds an odd number of the tokens that fall to
+the bit. Where the bits of two sets differ, one holds a token that the other lacks, so
+two sets can link only if no more bits differ than tokens may.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +40,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import LOWER, SIGN, Scratch, WordHashes, key_of, mixed, prepare, shingles, text_of, tidy
+from tablekit.llm.base import SIGN, Scratch, hashed_texts, key_of, mixed, prepare, shingles, text_of, tidy
 from tablekit.llm.graph import components
 
 FREQUENT = 8
 SHARED = 3  # K
 SCARCE = 10
+BITS = 1024
 SMALL = 24  # sets with fewer tokens use K = 1
 # A list of documents of at most so many rows is sent to every task; a longer one is joined by a shuffle.
 SENT_ROWS = 200_000
@@ -53,9 +57,16 @@ def needed(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def token_set(text: bytes, hashes: WordHashes, width: int) -> np.ndarray:
-    """Distinct shingles of a text as signed numbers, in ascending order."""
-    return np.unique((shingles(hashes(text.translate(LOWER).split()), width) ^ SIGN).view(np.int64))
+def token_sets(texts: Iterable[bytes], width: int) -> Iterator[np.ndarray]:
+    """Distinct shingles of each text as signed numbers, in ascending order."""
+    for words in hashed_texts(texts):
+        yield np.unique((shingles(words, width) ^ SIGN).view(np.int64))
+
+
+def odd_bits(tokens: np.ndarray) -> np.ndarray:
+    """The bits to which an odd number of the tokens fall, 64 to a number."""
+    counts = np.bincount(tokens & (BITS - 1), minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<i8")
 
 
 def front(n: int, num: int, den: int) -> int:
@@ -135,14 +146,12 @@ class Join:
         width, num, den = self.width, self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches:
                 n, names, fronts = [], [], []
-                for t in batch.column(1):
-                    tokens = token_set(t.as_py(), hashes, width)
+                for tokens in token_sets((t.as_py() for t in batch.column(1)), width):
                     n.append(len(tokens))
                     names.append(key_of(tokens))
-                    fronts.append(tokens[: front(len(tokens), num, den)])
+                    fronts.append(tokens[: front(len(tokens), num, den)].copy())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
@@ -159,14 +168,15 @@ class Join:
         return rows.mapInArrow(tidy(run), f"doc {self.kind}, content bigint, n int, s1 bigint, s2 bigint, front array<bigint>")
 
     def whole(self, ids: DataFrame, name: str) -> DataFrame:
-        """All tokens of the classes ``ids`` (id, first), worked out again from the texts."""
+        """All tokens of the classes ``ids`` (id, first), worked out again from the texts, and their ``odd_bits``."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
+            kind = pa.list_(pa.int64())
             for batch in batches:
-                tokens = [token_set(t.as_py(), hashes, width) for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64()))], names=["id", "tokens"])
+                tokens = list(token_sets((t.as_py() for t in batch.column(1)), width))
+                columns = [batch.column(0), pa.array(tokens, kind), pa.array([odd_bits(t) for t in tokens], kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "tokens", "odd"])
 
         named = ids.select("id", F.col("first.doc").alias("of"), F.col("first.content").alias("with"))
         few = named.limit(SENT_ROWS + 1).count() <= SENT_ROWS
@@ -174,7 +184,7 @@ class Join:
             F.broadcast(named) if few else named,
             F.col("doc").eqNullSafe(F.col("of")) & (F.col("content") == F.col("with")),
         )
-        made = rows.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "id bigint, tokens array<bigint>")
+        made = rows.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "id bigint, tokens array<bigint>, odd array<bigint>")
         # Fully repeated rows name the same class twice.
         return self.scratch.store(made.dropDuplicates(["id"]), name)
 
@@ -226,7 +236,7 @@ class Join:
             .select("a", "b")
         )
         long = lists.where("pair").select("sig", "id", "n", "size")
-        met, scarce = self.met(long, classes)
+        met, scarce, odd = self.met(long, classes)
         long = self.scratch.store(long.join(met, "id"), "long")
         # The member with the largest share of usual tokens stands for the list, of several that in most lists.
         weight = long.groupBy("id").agg(F.sum("size").alias("weight"))
@@ -246,26 +256,28 @@ class Join:
         apart = self.scratch.store(
             long.where(self.den * F.col("met") >= self.num * F.col("n"))
             .join(own, F.col("id") == F.col("node"), "left")
-            .select("sig", "id", "n", "met", "usual", F.coalesce("component", "id").alias("component")),
+            .join(odd, "id")
+            .select("sig", "id", "n", "met", "usual", "odd", F.coalesce("component", "id").alias("component")),
             "apart",
         )
         split = apart.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         apart = apart.join(split.select("sig"), "sig", "left_semi")
-        other = [F.col(c).alias(f"{c}_b") for c in ("n", "met", "usual", "component")]
+        other = [F.col(c).alias(f"{c}_b") for c in ("n", "met", "usual", "odd", "component")]
         differ = (F.col("id") < F.col("b")) & (F.col("component") != F.col("component_b"))
         usual = apart.where(self.den * F.col("usual") >= self.num * F.col("n"))
         near = usual.join(usual.select("sig", F.col("id").alias("b"), *other), "sig")
-        near = self.pairs(near.where(differ & self.can_link("usual")))
-        having = scarce.join(apart.select("id", "n", "met", "usual", "component").distinct(), "id")
+        near = self.pairs(near.where(differ & self.can_link("usual") & self.few_odd()))
+        having = scarce.join(apart.dropDuplicates(["id"]).drop("sig"), "id")
         also = having.join(having.select("token", F.col("id").alias("b"), *other), "token")
-        also = self.pairs(also.where(differ & self.can_link()))
+        also = self.pairs(also.where(differ & self.can_link() & self.few_odd()))
         rest = near.unionByName(also).distinct().join(tried, ["a", "b"], "left_anti")
         more = self.verified(self.scratch.store(rest, "rest"), classes, "2")
         return own.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
 
-    def met(self, long: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def met(self, long: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """How many tokens of a member of long lists stand in any other member (``met``), and in more than
-        ``SCARCE`` (``usual``); and the tokens of 2 to ``SCARCE`` members with each of these."""
+        ``SCARCE`` (``usual``); the tokens of 2 to ``SCARCE`` members with
+        each of these; and all members' ``odd_bits``."""
         tokens = self.whole(classes.select("id", "first").join(long.select("id").distinct(), "id", "left_semi"), "members")
         spread = tokens.select("id", F.explode("tokens").alias("token"))
         few = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(f"df <= {SCARCE}")
@@ -275,7 +287,12 @@ class Join:
         count = sizes.select(
             "id", *((F.col("size") - F.coalesce(c, F.lit(0))).alias(m) for m, c in (("met", "own"), ("usual", "few")))
         )
-        return count, few.where("df > 1").select("id", "token")
+        return count, few.where("df > 1").select("id", "token"), tokens.select("id", "odd")
+
+    def few_odd(self):
+        """Whether no more bits differ than tokens of two sets of linked members can: (1 - s) / (1 + s) of both sizes."""
+        differ = sum(F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(BITS // 64))
+        return (self.den + self.num) * differ <= (self.den - self.num) * (F.col("n") + F.col("n_b"))
 
     def can_link(self, count: str = "met"):
         """Whether two members could link if all tokens that both meet elsewhere were the same ones."""

@@ -323,3 +323,25 @@ def test_close_lines_share_a_half():
     # Keys bring few others together.
     other = [(a, b) for a in range(len(lines)) for b in range(a) if len(lines[a]) == 40 == len(lines[b])]
     assert not any(keys[a] & keys[b] for a, b in other)
+
+
+def test_sets_that_differ_in_too_many_tokens_make_no_pair(spark, docs):
+    """A group of sets with the same number of usual tokens, each without other ones: no bound on numbers tells them apart."""
+    rng = np.random.default_rng(13)
+    every = np.sort(rng.integers(-(1 << 63), 1 << 63, 250))
+    sets = [np.sort(rng.choice(every, 225, replace=False)) for _ in range(40)]
+    sets += [np.sort(np.append(rng.choice(s, 215, replace=False), rng.choice(s, 10, replace=False))) for s in sets[:5]]
+    join = ngramjoin.Join(docs([(1, "a")]), "doc_id", "text", 4, 90, 100)
+    rows = [(i, len(np.unique(s)), len(np.unique(s)), ngramjoin.odd_bits(np.unique(s)).tolist()) for i, s in enumerate(sets)]
+    one = spark.createDataFrame(rows, "id bigint, n int, usual int, odd array<bigint>")
+    other = one.select(*(F.col(c).alias(c if c == "b" else f"{c}_b") for c in one.columns)).withColumnRenamed("id_b", "b")
+    pairs = one.join(other, F.col("id") < F.col("b")).where(join.can_link("usual"))
+    left = {(r.id, r.b) for r in pairs.where(join.few_odd()).collect()}
+    linked = set()
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both, union = len(np.intersect1d(a, sets[j])), len(np.union1d(a, sets[j]))
+            if 100 * both >= 90 * union:
+                linked.add((i, j))
+    assert len(linked) >= 5 and linked <= left
+    assert len(left) * 5 < pairs.count()
