@@ -29,18 +29,21 @@ SIGN = np.uint64(1 << 63)
 BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 # Words of more bytes are hashed one by one; texts go through the hashing in groups of about so many bytes.
 LONG_WORD, GROUP_BYTES = 64, 1 << 20
+# Arrow batches of operators that read texts one by one and gain nothing from large ones.
+SMALL_BATCH = 4 << 20
 _FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, batch_bytes: int = 16 << 20) -> SparkSession:
     """Session settings for jobs that move whole texts.
 
     Arrow batches are bounded in rows and bytes, so long texts do not pile up
-    in a worker; shuffle files go as soon as the action that wrote them ends.
+    in a worker or in the memory that the JVM takes beside its heap; shuffle
+    files go as soon as the action that wrote them ends.
     """
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 

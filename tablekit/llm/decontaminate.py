@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import ALNUM, WordHashes, prepare, release, shingles, text_of, tidy
+from tablekit.llm.base import ALNUM, SMALL_BATCH, WordHashes, prepare, release, shingles, text_of, tidy
 
 WIDTH = 5
 LEAST = 0.8
@@ -185,7 +185,7 @@ def find_leaks(
     must stand there whole. Null or empty texts and items match nothing; null keys and
     repeated rows are rows like others; without items the result is empty.
     """
-    spark = prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession, SMALL_BATCH)
     rows = docs.select(F.col(key).alias("key"), text_of(text).cast("binary").alias("text"))
     schema = T.StructType(
         [
@@ -251,7 +251,7 @@ def drop_leaks(
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """The rows of ``docs`` in which ``find_leaks`` finds no item, with all their columns."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
     for block in blocks_of(items, item_key, item_text, radius, block_items):
         docs = docs.where(~leaks(block, text, least))
     return docs

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import LOWER, Scratch, grouped, hashed_texts, mixed, prepare, text_of, tidy, word_hashes
+from tablekit.llm.base import LOWER, SMALL_BATCH, Scratch, grouped, hashed_texts, mixed, prepare, text_of, tidy, word_hashes
 
 ORDER = ("no_id", "doc", "content", "line")
 # A list of documents and lines of at most so many bytes is sent to every task; a longer one is joined by a shuffle.
@@ -257,7 +257,7 @@ def dedup_lines(
     stand in the order of a hash of their texts, null keys last, and fully repeated rows count
     as one. A null text is empty and has one empty line, which stays.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
     goes = repeated_lines(docs, Scratch(docs.sparkSession), key, text, min_words, near_words)
     goes = _sent(goes.select(F.col("doc").alias("of"), F.col("content").alias("with"), "dropped"), "dropped")
     rows = _content(docs, key, text).join(
@@ -293,7 +293,7 @@ def keep_first_lines(
     equal lines the earliest stays, fully repeated rows all keep theirs. An
     empty table gives no rows. Columns of any names are carried along.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
     goes = repeated_lines(docs, Scratch(docs.sparkSession), key, text, min_words, near_words)
     # Names longer than any of the rows' own cannot clash with them.
     own = "_" * (1 + max(map(len, docs.columns)))

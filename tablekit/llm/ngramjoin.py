@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import SIGN, Scratch, hashed_texts, key_of, mixed, prepare, shingles, text_of, tidy
+from tablekit.llm.base import SIGN, SMALL_BATCH, Scratch, hashed_texts, key_of, mixed, prepare, shingles, text_of, tidy
 from tablekit.llm.graph import components
 
 FREQUENT = 8
@@ -111,7 +111,7 @@ class Join:
     """One run: its tables, in the order in which they are made."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, width: int, num: int, den: int):
-        self.spark = prepare(docs.sparkSession)
+        self.spark = prepare(docs.sparkSession, SMALL_BATCH)
         self.scratch = Scratch(self.spark)
         self.kind = docs.schema[key].dataType.simpleString()
         self.width, self.num, self.den = width, num, den

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import prepare, text_of, tidy
+from tablekit.llm.base import SMALL_BATCH, prepare, text_of, tidy
 
 
 @dataclass(frozen=True)
@@ -223,7 +223,7 @@ def pack_documents(
     worker can read; by default the public 50k byte-level one. ``added`` gives
     texts that become one id wherever they stand (see ``added_tokens``); by default none do.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
         nonlocal encode
@@ -251,7 +251,7 @@ def pack_examples(
     ``pack_documents``; a null or empty ``ids`` gives no piece, a null or shorter
     ``loss`` counts as 0 where it has nothing.
     """
-    prepare(examples.sparkSession)
+    prepare(examples.sparkSession, SMALL_BATCH)
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
         for k, i, m in zip(*(batch.column(n) for n in range(3))):

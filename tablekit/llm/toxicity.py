@@ -9,7 +9,7 @@ that every task gets. Scores read whole texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.llm.base import ALNUM, Scratch, WordHashes, mixed, prepare, release, text_of
+from tablekit.llm.base import ALNUM, SMALL_BATCH, Scratch, WordHashes, mixed, prepare, release, text_of
 from tablekit.llm.quality import labelled_sample
 
 BIAS = np.uint64(1)
 # Words a task remembers, and places of the table that finds features too rare to learn.
 MEMO, RARE = 1 << 16, 1 << 22
+# Where the range of features is cut to count them part by part.
+SLICES = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 STEMS = re.compile(rb"^(?:[\x00-\x7F]|[\xC0-\xFF][\x80-\xBF]+){4}")
 
 
@@ -127,7 +129,7 @@ def fit_toxicity(
     largest; every row that repeats a labelled key is learnt from. A null or
     empty text has the bias alone. Without labelled rows there are no weights.
     """
-    scratch = Scratch(prepare(docs.sparkSession))
+    scratch = Scratch(prepare(docs.sparkSession, SMALL_BATCH))
     chosen = labelled_sample(labels, key, label, how.sample_rows)
     rows = docs.select(F.col(key).alias("key"), text_of(text).cast("binary").alias("text")).join(
         # Bounded by sample_rows, so it may be sent to every task.
@@ -140,10 +142,15 @@ def fit_toxicity(
 
     def hashed(table: pa.Table) -> pa.Table:
         # The texts of a shard are gathered, not their features, of which nearly all are too rare to learn.
-        found = common_features(table.column("text"), how.least_rows, max(how.least_rows, how.most_share * len(table)))
-        table = table.drop_columns("text").append_column("features", pa.array([f.tobytes() for f in found], pa.binary()))
+        used, places = common_features(table.column("text"), how.least_rows, max(how.least_rows, how.most_share * len(table)))
+        # A shard's features are sent once, in a row without a label; texts have places among them.
+        first = {"shard": table.column("shard")[0].as_py(), "turn": 0, "label": None}
+        columns = {n: pa.chunked_array([pa.array([v], table.column(n).type), *table.column(n).chunks]) for n, v in first.items()}
+        columns["features"] = pa.array([used.tobytes(), *(p.tobytes() for p in places)], pa.binary())
+        table = pa.table(columns)
+        del used, places, columns
         release()
-        return table
+        return in_parts(table, 256)
 
     found = rows.select(shard, turn, "label", "text").groupBy("shard").applyInArrow(
         hashed, "shard int, turn bigint, label int, features binary"
@@ -160,11 +167,12 @@ def fit_toxicity(
     return Weights(features[keep], w[keep], float(w[own].sum()))
 
 
-def common_features(texts: pa.ChunkedArray, least: int, most: float) -> Iterator[np.ndarray]:
-    """The features of each text that at least ``least`` and at most ``most`` of the texts have.
+def common_features(texts: Iterable[pa.Scalar], least: int, most: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sorted features that at least ``least`` and at most ``most`` of the texts have, with the bias, and their places in each text.
 
     The texts are read twice: a table of counts by the features' low bits drops
     nearly all rare ones at the second reading, so they never lie side by side.
+    The others are counted by slices of their range.
     """
     low, read = np.uint64(RARE - 1), Features()
     table = np.zeros(RARE, dtype=np.uint8)
@@ -175,10 +183,20 @@ def common_features(texts: pa.ChunkedArray, least: int, most: float) -> Iterator
     for t in texts:
         found = read(t.as_py())
         kept.append(np.unique(found[table[(found & low).astype(np.int64)] >= least]))
-    every, counts = np.unique(np.concatenate(kept), return_counts=True)
-    used = every[(counts >= least) & (counts <= most)]
-    for found in kept:
-        yield used[_places(found, used)] if len(used) else used
+    del read, table
+    used = [BIAS.reshape(1)]
+    for parts in zip(*(np.split(found, np.searchsorted(found, SLICES)) for found in kept)):
+        every, counts = np.unique(np.concatenate(parts), return_counts=True)
+        used.append(every[(counts >= least) & (counts <= most)])
+    used = np.unique(np.concatenate(used))
+    for i, found in enumerate(kept):
+        kept[i] = _places(found, used).astype(np.int32)
+    return used, kept
+
+
+def in_parts(table: pa.Table, rows: int) -> pa.Table:
+    """The same table in batches of at most ``rows`` rows, which go to the JVM one by one."""
+    return pa.Table.from_batches(table.to_batches(rows), table.schema)
 
 
 def _round(sample: DataFrame, state: tuple[np.ndarray, ...], how: Ftrl) -> tuple[np.ndarray, ...]:
@@ -186,12 +204,15 @@ def _round(sample: DataFrame, state: tuple[np.ndarray, ...], how: Ftrl) -> tuple
     known, known_z, known_n = state
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("turn").to_numpy(), kind="stable")
-        y = table.column("label").to_numpy()[order].astype(float)
         # Views of the table's own bytes.
-        found = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table.column("features")]
-        used = np.union1d(np.concatenate(found), BIAS)
-        rows = [_places(np.append(found[i], BIAS), used) for i in order]
+        found = [v.as_buffer() for v in table.column("features")]
+        labels = table.column("label").to_numpy()
+        used = np.frombuffer(found[int(np.flatnonzero(np.isnan(labels))[0])], dtype=np.uint64)
+        order = np.argsort(table.column("turn").to_numpy(), kind="stable")
+        order = order[~np.isnan(labels[order])]
+        y = labels[order].astype(float)
+        bias = np.searchsorted(used, BIAS).astype(np.int32)
+        rows = [np.append(np.frombuffer(found[i], dtype=np.int32), bias) for i in order]
         z, n = np.zeros(len(used)), np.zeros(len(used))
         if len(known):
             at = np.minimum(np.searchsorted(known, used), len(known) - 1)
@@ -200,7 +221,7 @@ def _round(sample: DataFrame, state: tuple[np.ndarray, ...], how: Ftrl) -> tuple
         learn(rows, y, z, n, how)
         del found, rows
         release()
-        return pa.table({"feature": used.view(np.int64), "z": z, "n": n})
+        return in_parts(pa.table({"feature": used.view(np.int64), "z": z, "n": n}), 1 << 16)
 
     # States with a weight, and the bias: what L1 holds at zero starts anew.
     means = (
@@ -243,7 +264,7 @@ def score_toxicity(docs: DataFrame, model: Weights, key: str = "doc_id", text: s
     Only the text counts. A null or empty text has the bias alone; null keys and
     repeated rows are rows like others; an empty table gives no rows.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
     rows = docs.select(F.col(key).alias(key), text_of(text).alias("text"))
     scored = rows.select(key, toxicity(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
@@ -251,5 +272,5 @@ def score_toxicity(docs: DataFrame, model: Weights, key: str = "doc_id", text: s
 
 def drop_toxic(docs: DataFrame, model: Weights, text: str = "text", least: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below ``least``, with all their columns."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
     return docs.where(toxicity(model, text) < least)

@@ -3,9 +3,11 @@
 import itertools
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -206,3 +208,19 @@ def test_mit_phrase_is_whole(spark, docs):
     rows = [(1, "see the MIT license"), (2, "a under THE mit-license x under the mit license"), (3, "under the mit licenses")]
     got = {r.doc_id: (list(r.phrase_starts), list(r.phrase_labels)) for r in licenses.scan_licenses(docs(rows)).collect()}
     assert got == {1: ([], []), 2: ([1, 6], ["mit"]), 3: ([], [])}
+
+
+def test_common_features_without_all_side_by_side():
+    """The features, places and bias that sets give; counting them takes little beside what the texts keep."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60, n)).encode() for n in [0, 1, 3, *rng.integers(500, 1500, 300)]]
+    each = [set(toxicity.Features()(t).tolist()) for t in texts]
+    counts = Counter(f for s in each for f in s)
+    tracemalloc.start()
+    used, places = toxicity.common_features(pa.chunked_array([texts[:7], texts[7:]], pa.binary()), 3, 250)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used.tolist() == sorted({int(toxicity.BIAS), *(f for f, n in counts.items() if 3 <= n <= 250)})
+    assert [set(used[p].tolist()) for p in places] == [{f for f in s if 3 <= counts[f] <= 250} for s in each]
+    # The table of counts, the features of all texts and a share of them.
+    assert peak < toxicity.RARE + 1.5 * 8 * sum(counts.values())
