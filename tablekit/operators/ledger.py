@@ -7,18 +7,21 @@ order column. Amounts are decimals, so sums do not depend on row order.
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict, deque
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tablekit.functions.coerce import col
 from tablekit.operators.joins import first_rule, keep_first
 from tablekit.operators.rows import ROW, dense_rows, running_total
-from tablekit.session import cut
+from tablekit.session import cut, new_folder
 
 MONEY = "decimal(18,2)"
 
@@ -198,11 +201,11 @@ def ofx_date(c: Column) -> Column:
 #
 # The rule is sequential: each transaction of A, in order, takes the first free
 # transaction of B it agrees with. Amounts more than a cent apart never agree,
-# so the rule falls apart into runs of neighbouring amounts. Runs are dealt over
-# all tasks; those of a bounded size are settled one after another. Longer runs
-# are cut into stretches of days, which are settled side by side (see
-# ``_by_stretches``). What is left are runs whose transactions agree over more
-# than neighbouring stretches; they are settled in rounds over the whole cluster:
+# so the rule falls apart into runs of neighbouring amounts. The line of amounts
+# is cut where a run begins, and the pieces are settled side by side. A longer run
+# is settled in one task, which goes once over its rows as numbers (see
+# ``_in_row_order``). Runs that no task can hold are settled in rounds over the
+# whole cluster:
 #
 # Whether two transactions agree depends only on their signature (cents, day,
 # id, check number), so equal ones are one row with a count. A round looks up,
@@ -214,25 +217,53 @@ def ofx_date(c: Column) -> Column:
 # order the number of rounds follows the number of days, not of rows.
 
 NO_DAY = -(10**9)
-# Rows of a run of amounts that are settled together; longer runs are cut by days.
+# Rows without a number come last.
+NO_ROW = 2**63 - 1
+# Rows of a run of amounts that are settled with others; a longer one has a task of its own.
 RUN_ROWS = 200_000
+# Rows of a run that one task may hold as numbers; longer runs go through rounds.
+PASS_ROWS = 50_000_000
+A, B = 0, 1
 
 
-def _prepared(df: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
-    """Signatures ``(sid, cents, day, id, chk, n, taken)`` and members ``(sid, place, r)``."""
+def _slim(df: DataFrame, row: str, side: int) -> DataFrame:
+    """What the rule looks at: ``side, r, cents, day, id, chk``."""
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
 
-    slim = df.select(
-        F.col(row).alias("r"),
-        F.round(F.col("amount").try_cast("decimal(20,4)") * 100).cast("bigint").alias("cents"),
+    cents = F.round(F.col("amount").try_cast("decimal(20,4)") * 100).cast("bigint")
+    kind = df.schema["amount"].dataType
+    if isinstance(kind, DecimalType) and kind.scale <= 2:
+        # Whole cents: a double holds them to the last one below 2^50.
+        plain = F.col("amount").cast("double") * 100
+        cents = F.when(F.abs(plain) < 2**50, F.rint(plain).cast("bigint")).otherwise(cents)
+    return df.select(
+        F.lit(side).alias("side"),
+        F.coalesce(F.col(row).cast("bigint"), F.lit(NO_ROW)).alias("r"),
+        cents.alias("cents"),
         F.coalesce(F.unix_date(F.col("date").cast("date")), F.lit(NO_DAY)).alias("day"),
         text("id").alias("id"),
         text("check_number").alias("chk"),
-    ).filter(F.col("cents").isNotNull())
+    )
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table in columns in the shared folder, as some passes read few of them; and its place."""
+    folder = new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def _numbered(slim: DataFrame) -> DataFrame:
+    """The rows with an amount, stored; ``uid`` tells them apart."""
+    return _stored(slim.withColumn("uid", F.monotonically_increasing_id()))[0].filter(F.col("cents").isNotNull())
+
+
+def _prepared(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Signatures ``(sid, cents, day, id, chk, n, taken)`` and members ``(sid, place, r)``."""
     names = ["cents", "day", "id", "chk"]
-    placed = dense_rows(slim, [*names, "r"], "pos")
+    placed = dense_rows(slim.select(*names, "r"), [*names, "r"], "pos")
     signatures = cut(
         placed.groupBy(*names)
         .agg(F.min("pos").alias("sid"), F.count(F.lit(1)).alias("n"))
@@ -307,287 +338,426 @@ def _matched(members: DataFrame, pairs: DataFrame, sid: str, taken: str, out: st
     return chosen.select("pair", (F.col("place") - F.col("_t")).alias("k"), F.col("r").alias(out))
 
 
-def match_pairs(a: DataFrame, b: DataFrame, days: int = 3, row: str = ROW, run_rows: int = RUN_ROWS) -> DataFrame:
+def _left_over(
+    signatures: DataFrame, members: DataFrame, choice: DataFrame, pairs: DataFrame, sid: str
+) -> tuple[DataFrame, DataFrame]:
+    """What the next round still has to look at.
+
+    A signature that found no partner never will, as partners only get fewer,
+    so the tables shrink to what is contested.
+    """
+    step = pairs.select(F.col(sid).alias("sid"), F.col("times").alias("_more"))
+    alive = cut(
+        signatures.join(choice.select(F.col(sid).alias("sid")), "sid", "left_semi")
+        .join(step, "sid", "left")
+        .withColumn("taken", F.col("taken") + F.coalesce("_more", F.lit(0)))
+        .drop("_more")
+        .filter("taken < n")
+    )
+    rest = members.join(alive.select("sid", "taken"), "sid").filter("place >= taken").drop("taken")
+    return alive, cut(rest)
+
+
+def match_pairs(
+    a: DataFrame, b: DataFrame, days: int = 3, row: str = ROW, run_rows: int = RUN_ROWS, pass_rows: int = PASS_ROWS
+) -> DataFrame:
     """Matched row numbers ``a_row, b_row`` of two transaction tables.
 
     Two transactions agree when their amounts differ by at most 0.01 and they
-    share an id, lie at most ``days`` apart, or share a check number. Both ways
+    share an id, lie at most ``days`` apart, or share a check number. All ways
     of settling give the same pairs; ``run_rows=0`` settles all in rounds.
     """
-    a_sig, a_members = _prepared(a, row)
-    b_sig, b_members = _prepared(b, row)
-    result = a.sparkSession.createDataFrame([], "a_row bigint, b_row bigint")
-    tried = None
+    rows = _numbered(_slim(a, row, A).unionByName(_slim(b, row, B)))
+    result = rows.limit(0).select(F.col("r").alias("a_row"), F.col("r").alias("b_row"))
+    numbers = [F.nullif(c, F.lit(NO_ROW)).alias(c) for c in ("a_row", "b_row")]
     while True:
-        left = a_sig.count() if run_rows else 0
-        if run_rows and (tried is None or left * 2 <= tried):
-            # Runs get shorter as rows are settled, so they are looked at again.
-            tried = left
-            runs = cut(_runs(a_sig, b_sig))
-            short = runs.filter(F.col("rows") <= run_rows).select("cents", "run")
-            result = result.unionByName(cut(_settled(short, a_sig, a_members, b_sig, b_members, days)))
-            a_sig, b_sig = (cut(s.join(short, "cents", "left_anti")) for s in (a_sig, b_sig))
-            if a_sig.isEmpty() or b_sig.isEmpty():
-                return result
-            long = runs.filter(F.col("rows") > run_rows).select("cents", "run")
-            made, settled = _by_stretches(long, a_sig, a_members, b_sig, b_members, days, run_rows)
+        if run_rows:
+            # Runs get shorter as rows are settled in rounds, so they are looked at again.
+            made, rows = _by_runs(rows, days, run_rows, pass_rows)
             result = result.unionByName(made)
-            a_sig, b_sig = (cut(s.join(settled, "cents", "left_anti")) for s in (a_sig, b_sig))
-            if a_sig.isEmpty() or b_sig.isEmpty():
-                return result
-        a_free, b_free = _first_free(a_sig, a_members), _first_free(b_sig, b_members)
-        a_choice = cut(_choices(a_free, b_free, days).toDF("a_sid", "a_taken", "b_sid", "b_limit"))
-        b_choice = cut(_choices(b_free, a_free, days).toDF("b_sid", "b_taken", "a_sid", "a_limit"))
-        mutual = a_choice.join(b_choice, ["a_sid", "b_sid"])
-        pairs = cut(
-            mutual.join(_agreed(a_members, mutual, "a_sid", "a_taken", "a_limit"), "a_sid")
-            .join(_agreed(b_members, mutual, "b_sid", "b_taken", "b_limit"), "b_sid")
-            .withColumn("times", F.least("_n_a_sid", "_n_b_sid"))
-        )
-        if pairs.isEmpty():
-            return result
-        made = _matched(a_members, pairs, "a_sid", "a_taken", "a_row").join(
-            _matched(b_members, pairs, "b_sid", "b_taken", "b_row"), ["pair", "k"]
-        )
-        result = result.unionByName(cut(made.select("a_row", "b_row")))
-        a_sig, a_members = _left_over(a_sig, a_members, a_choice, pairs, "a_sid")
-        b_sig, b_members = _left_over(b_sig, b_members, b_choice, pairs, "b_sid")
-
-
-def _runs(a_sig: DataFrame, b_sig: DataFrame) -> DataFrame:
-    """Amounts with their run and its number of rows: ``cents, run, rows``."""
-    free = F.col("n") - F.col("taken")
-    amounts = a_sig.select("cents", free.alias("n")).unionByName(b_sig.select("cents", free.alias("n")))
-    amounts = amounts.groupBy("cents").agg(F.sum("n").alias("n"))
-    # An amount starts a run when there is none a cent below it.
-    below = amounts.select((F.col("cents") + 1).alias("cents"), F.lit(0).alias("_starts"))
-    flagged = amounts.join(below, "cents", "left").withColumn("_starts", F.coalesce("_starts", F.lit(1)))
-    runs = running_total(flagged, ["cents"], F.col("_starts"), "_before").withColumn(
-        "run", F.col("_before") + F.col("_starts")
+            if rows is None:
+                break
+        a_sig, a_members = _prepared(rows.filter(F.col("side") == A))
+        b_sig, b_members = _prepared(rows.filter(F.col("side") == B))
+        enough = a_sig.count() // 2 if run_rows else -1
+        while enough < 0 or a_sig.count() > enough:
+            a_free, b_free = _first_free(a_sig, a_members), _first_free(b_sig, b_members)
+            a_choice = cut(_choices(a_free, b_free, days).toDF("a_sid", "a_taken", "b_sid", "b_limit"))
+            b_choice = cut(_choices(b_free, a_free, days).toDF("b_sid", "b_taken", "a_sid", "a_limit"))
+            mutual = a_choice.join(b_choice, ["a_sid", "b_sid"])
+            pairs = cut(
+                mutual.join(_agreed(a_members, mutual, "a_sid", "a_taken", "a_limit"), "a_sid")
+                .join(_agreed(b_members, mutual, "b_sid", "b_taken", "b_limit"), "b_sid")
+                .withColumn("times", F.least("_n_a_sid", "_n_b_sid"))
+            )
+            if pairs.isEmpty():
+                return result.select(*numbers)
+            made = _matched(a_members, pairs, "a_sid", "a_taken", "a_row").join(
+                _matched(b_members, pairs, "b_sid", "b_taken", "b_row"), ["pair", "k"]
+            )
+            result = result.unionByName(cut(made.select("a_row", "b_row")))
+            a_sig, a_members = _left_over(a_sig, a_members, a_choice, pairs, "a_sid")
+            b_sig, b_members = _left_over(b_sig, b_members, b_choice, pairs, "b_sid")
+        rows = _numbered(_free_rows(a_sig, a_members, A).unionByName(_free_rows(b_sig, b_members, B)))
+    return result.select(*numbers)
+
+
+def _free_rows(signatures: DataFrame, members: DataFrame, side: int) -> DataFrame:
+    return (
+        members.join(signatures, "sid")
+        .filter(F.col("place") >= F.col("taken"))
+        .select(F.lit(side).alias("side"), "r", "cents", "day", "id", "chk")
     )
-    sizes = runs.groupBy("run").agg(F.sum("n").alias("rows"))
-    return runs.join(sizes, "run").select("cents", "run", "rows")
 
 
-def _free_rows(some: DataFrame, signatures: DataFrame, members: DataFrame, side: str) -> DataFrame:
-    """Free transactions of some amounts (``cents, run``); ``uid`` tells them apart."""
-    wanted = signatures.join(some, "cents").drop("n")
-    return (
-        members.join(wanted, "sid")
-        .filter(F.col("place") >= F.col("taken"))
-        .select("run", F.lit(side).alias("side"), (F.col("sid") + F.col("place")).alias("uid"), "r", "cents", "day", "id", "chk")
+def _place(c: Column, bounds: Column, n: int) -> Column:
+    """Place of the last of ``n`` sorted bounds that is not above ``c``, -1 if there is none."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return F.aggregate(
+        steps, F.lit(-1), lambda at, step: F.when(F.get(bounds, at + step) <= c, at + step).otherwise(at)
     )
 
 
-def _settled(
-    short: DataFrame, a_sig: DataFrame, a_members: DataFrame, b_sig: DataFrame, b_members: DataFrame, days: int
-) -> DataFrame:
-    """The sequential rule on whole runs of amounts, one run after another."""
-
-    both = _free_rows(short, a_sig, a_members, "a").unionByName(_free_rows(short, b_sig, b_members, "b")).drop("uid")
-
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come sorted by run; a run may go over several batches.
-        kept: list[pd.DataFrame] = []
-        for pdf in batches:
-            ends = pdf["run"].ne(pdf["run"].iloc[-1]).to_numpy() if len(pdf) else []
-            whole = pdf[ends] if len(pdf) else pdf
-            if kept and len(pdf) and pdf["run"].iloc[0] != kept[0]["run"].iloc[0]:
-                yield pairs(pd.concat(kept))
-                kept = []
-            if len(whole):
-                yield pairs(pd.concat([*kept, whole]))
-                kept = []
-            if len(pdf):
-                kept.append(pdf[~ends])
-        if kept:
-            yield pairs(pd.concat(kept))
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Amounts of different runs never agree, so several may be settled at once.
-        return pd.DataFrame(_greedy(pdf, days), columns=["a_row", "b_row"], dtype="int64")
-
-    sorted_runs = both.repartition("run").sortWithinPartitions("run")
-    return sorted_runs.mapInPandas(settle, "a_row bigint, b_row bigint")
-
-
-def _greedy(pdf: pd.DataFrame, days: int) -> list[tuple[int, int]]:
-    """Each row of side a, in order, takes the first free row of side b it agrees with."""
-    waiting: dict[tuple, deque] = defaultdict(deque)
-    ordered = pdf.sort_values("r")
-    for t in ordered[ordered.side == "b"].itertuples():
-        for kind, value in (("d", t.day), ("i", t.id), ("c", t.chk)):
-            if value not in ("", NO_DAY):
-                waiting[kind, t.cents, value].append(t.r)
-    taken: set[int] = set()
-    pairs = []
-    for t in ordered[ordered.side == "a"].itertuples():
-        values = [("i", t.id), ("c", t.chk)]
-        if t.day != NO_DAY:
-            values += [("d", t.day + shift) for shift in range(-days, days + 1)]
-        firsts = []
-        for kind, value in values:
-            for cents in (t.cents - 1, t.cents, t.cents + 1):
-                queue = waiting.get((kind, cents, value))
-                while queue and queue[0] in taken:
-                    queue.popleft()
-                if queue:
-                    firsts.append(queue[0])
-        if firsts:
-            best = min(firsts)
-            taken.add(best)
-            pairs.append((t.r, best))
-    return pairs
-
-
-# --- long runs, by stretches of days
-
-STATE = (
-    "run bigint, side string, uid bigint, r bigint, cents bigint, day int, id string, chk string, "
-    "low int, high int, mate bigint, mate_r bigint, at int, gone boolean"
-)
+def _numbers(values: Sequence[int]) -> Column:
+    """An array literal; one text, as thousands of literals are slow to plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _by_stretches(
-    long: DataFrame, a_sig: DataFrame, a_members: DataFrame, b_sig: DataFrame, b_members: DataFrame, days: int, run_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a_row, b_row`` of long runs of amounts, and the ``cents`` that are settled with them.
-
-    The rule is the one matching in which no two transactions would rather have
-    each other, as both sides want low row numbers. Offers lead to it in any
-    order: each transaction of A offers to the first of B that is free or held
-    by a later one, which is let go and offers again. So a run is cut into
-    stretches of days, and every two neighbouring ones are a block in which all
-    offers are made that stay inside; blocks are shifted by one stretch from turn
-    to turn. A run with a transaction of A that agrees over more than two
-    stretches is left, and so is one whose days do not part it.
+def _by_runs(rows: DataFrame, days: int, run_rows: int, pass_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs ``a_row, b_row`` of the rows, and the rows of runs that are too long to be settled here."""
+    pieces = _pieces(rows, run_rows)
+    # Where the long runs begin and end by turns.
+    long = [bound for start, end, n in pieces if n for bound in (start, end)]
+    too_long = [bound for start, end, n in pieces if n > pass_rows for bound in (start, end)]
+    starts = [start for start, _, _ in pieces]
+    short = rows if not long else rows.filter(~_inside(long))
+    piece = _place(F.col("cents"), _numbers(starts), len(starts))
+    made = cut(short.drop("uid").withColumn("piece", piece).groupBy("piece").applyInArrow(_greedy(days), PAIRS))
+    some = [bound for start, end, n in pieces if 0 < n <= pass_rows for bound in (start, end)]
+    if some:
+        run = F.shiftright(_place(F.col("cents"), _numbers(some), len(some)), 1)
+        made = made.unionByName(cut(_in_row_order(rows.filter(_inside(some)).withColumn("run", run), days)))
+    return made, rows.filter(_inside(too_long)) if too_long else None
+
+
+def _inside(bounds: list[int]) -> Column:
+    return F.pmod(_place(F.col("cents"), _numbers(bounds), len(bounds)), F.lit(2)) == 0
+
+
+def _pieces(rows: DataFrame, run_rows: int) -> list[tuple[int, int, int]]:
+    """Where the line of amounts is cut: begin, end and, if it is one run longer than ``run_rows``, its rows, else 0.
+
+    A run begins at an amount when there is none a cent below it. The amounts are
+    cut by their running count of rows; of each slot only its first and last
+    beginning come here, as a long run goes over the end of a slot.
     """
-    a, b = cut(_free_rows(long, a_sig, a_members, "a")), cut(_free_rows(long, b_sig, b_members, "b"))
-    per_day = a.unionByName(b).groupBy("run", "day").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_total(per_day, ["run", "day"], F.col("n"), "before")
-    first = placed.groupBy("run").agg(F.min("before").alias("_first"))
+    size = max(1, run_rows // 4)
+    amounts = cut(rows.groupBy("cents").agg(F.count(F.lit(1)).alias("n")))
+    below = amounts.select((F.col("cents") + 1).alias("cents"), F.lit(True).alias("_below"))
+    placed = running_total(amounts.join(below, "cents", "left"), ["cents"], F.col("n"), "before")
     slots = (
-        placed.join(first, "run")
-        .groupBy("run", F.floor((F.col("before") - F.col("_first")) / run_rows).alias("slot"))
-        .agg(F.min("day").alias("day"), F.sum("n").alias("n"))
-    )
-    # One entry per ``run_rows`` rows of a run.
-    starts = cut(slots.groupBy("run").agg(F.sort_array(F.collect_list("day")).alias("starts"), F.max("n").alias("most")))
-    starts = starts.filter(F.col("most") <= 2 * run_rows).select("run", "starts")
-
-    def slot(day: Column) -> Column:
-        return F.greatest(F.size(F.filter("starts", lambda s: s <= day)) - 1, F.lit(0))
-
-    def marks(df: DataFrame) -> DataFrame:
-        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("k")) for k, c in (("i", "id"), ("c", "chk"))])
-        return df.select("*", F.inline(F.filter(kinds, lambda m: m["k"] != "")))
-
-    # How far the partners by id or check number lie.
-    partners = marks(b).groupBy("kind", "k", "cents").agg(F.min("day").alias("from"), F.max("day").alias("to"))
-    looks = marks(a).select("uid", "kind", "k", F.explode(F.sequence(F.col("cents") - 1, F.col("cents") + 1)).alias("cents"))
-    reach = looks.join(partners, ["kind", "k", "cents"]).groupBy("uid").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-    dated = F.col("day") != NO_DAY
-    spans = (
-        a.join(reach, "uid", "left")
-        .withColumn("from", F.least("from", F.when(dated, F.col("day") - days)))
-        .withColumn("to", F.greatest("to", F.when(dated, F.col("day") + days)))
-        # Without a day, an id or a check number in B there is no partner.
-        .filter(F.col("from").isNotNull())
-        .join(F.broadcast(starts), "run")
-        .select(*a.columns, slot(F.col("from")).alias("low"), slot(F.col("to")).alias("high"))
+        placed.groupBy(F.floor(F.col("before") / size).alias("slot"))
+        .agg(
+            F.min(F.when(F.col("_below").isNull(), F.struct("cents", "before"))).alias("first"),
+            F.max(F.when(F.col("_below").isNull(), F.struct("cents", "before"))).alias("last"),
+            F.max(F.col("before") + F.col("n")).alias("end"),
+        )
+        .orderBy("slot")
+        .collect()
     )
-    spans = cut(spans)
-    far = spans.filter(F.col("high") - F.col("low") > 1).select("run").distinct()
-    fit = starts.join(far, "run", "left_anti")
-    own = b.join(F.broadcast(fit), "run").select(*b.columns, slot(F.col("day")).alias("low")).withColumn("high", F.col("low"))
-    alone = {"mate": F.lit(-1).cast("bigint"), "mate_r": F.lit(0).cast("bigint"), "at": F.lit(0), "gone": F.lit(False)}
-    state = cut(spans.join(F.broadcast(fit.select("run")), "run").unionByName(own).withColumns(alone))
-    waiting = (F.col("side") == "a") & (F.col("mate") < 0) & ~F.col("gone")
-    shift = 0
-    while not state.filter(waiting).isEmpty():
-        block = lambda c: F.shiftright(F.col(c) + F.lit(shift), 1)  # noqa: B023, E731
-        whole = block("low") == block("high")
-        # A transaction that reaches over the edge goes with the one it has.
-        place = F.when(whole, block("low")).when(F.col("mate") >= 0, block("at"))
-        marked = state.withColumn("block", place)
-        busy = F.broadcast(cut(marked.filter(waiting & whole).select("run", "block").distinct()))
-        moved = marked.join(busy, ["run", "block"], "left_semi").groupBy("run", "block").applyInPandas(_offers(days, shift), STATE)
-        resting = marked.join(busy, ["run", "block"], "left_anti").drop("block")
-        state = cut(moved.unionByName(resting))
-        shift = 1 - shift
-    pairs = state.filter((F.col("side") == "a") & (F.col("mate") >= 0))
-    return pairs.select(F.col("r").alias("a_row"), F.col("mate_r").alias("b_row")), long.join(fit, "run").select("cents")
-
-
-def _offers(days: int, shift: int):
-    """All offers inside one block, lowest row number first, until nobody in it has one left to make."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[[c.split()[0] for c in STATE.split(", ")]].sort_values(["side", "r", "uid"], ignore_index=True)
-        is_a = (out["side"] == "a").to_numpy()
-        n = int(is_a.sum())
-        whole = ((out["low"] + shift) // 2 == (out["high"] + shift) // 2).tolist()
-        rows = list(out[["cents", "day", "id", "chk"]].itertuples(index=False, name=None))
-        # In row order, A before B, a place stands for a row number.
-        place = {(s, u): i for i, (s, u) in enumerate(zip(out["side"], out["uid"]))}
-        mate = [-1 if m < 0 else place["b" if i < n else "a", m] for i, m in enumerate(out["mate"])]
-        waiting: dict[tuple, deque] = defaultdict(deque)
-        for i in range(n, len(rows)):
-            cents, day, name, check = rows[i]
-            for kind, value in (("d", day), ("i", name), ("c", check)):
-                if value not in ("", NO_DAY):
-                    waiting[kind, cents, value].append(i)
-        # One that was let go comes after the one it gave way to, so the heap only moves forward.
-        heap = [i for i in range(n) if whole[i] and mate[i] < 0]
-        while heap:
-            i = heapq.heappop(heap)
-            cents, day, name, check = rows[i]
-            values = [("i", name), ("c", check)]
-            if day != NO_DAY:
-                values += [("d", day + step) for step in range(-days, days + 1)]
-            firsts = []
-            for kind, value in values:
-                for near in (cents - 1, cents, cents + 1):
-                    queue = waiting.get((kind, near, value))
-                    while queue and 0 <= mate[queue[0]] < i:
-                        queue.popleft()
-                    if queue:
-                        firsts.append(queue[0])
-            if firsts:
-                best = min(firsts)
-                given_up = mate[best]
-                mate[i], mate[best] = best, i
-                if given_up >= 0:
-                    mate[given_up] = -1
-                    if whole[given_up]:
-                        heapq.heappush(heap, given_up)
-        for name, source, none in (("mate", "uid", -1), ("mate_r", "r", 0), ("at", "low", 0)):
-            values = out[source].tolist()
-            out[name] = [none if m < 0 else values[m] for m in mate]
-        out["gone"] = [i < n and whole[i] and mate[i] < 0 for i in range(len(rows))]
+    held = [s for s in slots if s["first"] is not None]
+    nexts = [s["first"]["before"] for s in held[1:]] + [s["end"] for s in slots[-1:]]
+    cuts: list[tuple[int, int]] = []
+    for s, after in zip(held, nexts):
+        n = after - s["last"]["before"]
+        if n <= run_rows or s["first"] != s["last"]:
+            cuts.append((s["first"]["cents"], 0))
+        if n > run_rows:
+            cuts.append((s["last"]["cents"], n))
+    ends = [start for start, _ in cuts[1:]] + [2**63 - 1]
+    return [(start, end, n) for (start, n), end in zip(cuts, ends)] or [(0, 1, 0)]
+
+
+# --- the rule inside one task
+
+PAIRS = "a_row bigint, b_row bigint"
+# Rows of A whose places are looked up at once.
+LOOKUP_ROWS = 65_536
+
+Links = tuple[np.ndarray, np.ndarray]
+
+
+def _settle(cents: np.ndarray, day: np.ndarray, n: int, days: int, asks: Links, members: Links) -> np.ndarray:
+    """Places of the rows of B that the first ``n`` rows, those of A, take in order; -1 is none.
+
+    The rows of both sides come in row order. Those of B wait in queues by amount
+    and day, so a row of A looks at the heads of some ranges of queues. ``asks``
+    and ``members`` are places and keys: partners that lie further, by id or check
+    number, wait in a queue for each key. All that grows with the rows is in
+    arrays of numbers.
+    """
+    rows = len(day)
+    mate = array("i", [-1]) * n
+    if n in (0, rows):
+        return np.array(mate)
+    dated = day != NO_DAY
+    of_b = np.flatnonzero(dated[n:]) + n
+    first, last = (int(day[of_b].min()), int(day[of_b].max())) if len(of_b) else (0, 0)
+    span = last - first + 1
+    if (int(cents.max()) - int(cents.min()) + 2) * span < 2**62:
+        code = cents - cents.min()
+        code = code.astype(np.int32) if code.max() < 2**30 else code
+    else:
+        # Only whether amounts are neighbours matters.
+        values, code = np.unique(cents, return_inverse=True)
+        code = np.concatenate(([0], np.cumsum(np.diff(values) == 1) + 2 * np.cumsum(np.diff(values) != 1)))[code]
+    del cents
+
+    def queued(places: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        places, keys = places[order].astype(np.int32), keys[order]
+        starts = np.flatnonzero(np.concatenate(([len(keys) > 0], keys[1:] != keys[:-1])))[: len(keys)]
+        return keys[starts], np.diff(starts, append=len(keys)), places
+
+    def numbers(kind: str, values: np.ndarray) -> array:
+        out = array(kind)
+        out.frombytes(values.astype({"i": np.int32, "q": np.int64}[kind], copy=False).tobytes())
         return out
 
+    found, sizes, items = queued(of_b, code[of_b].astype(np.int64) * span + (day[of_b] - first))
+    del of_b
+    by_day = np.full(rows + 1, -1, np.int32)
+    by_day[items] = np.repeat(np.arange(len(found)), sizes)
+    # Queues by name come after those by day.
+    named, name_sizes, name_items = queued(*members)
+    offset = len(found)
+    sizes, items = np.concatenate((sizes, name_sizes)), np.concatenate((items, name_items))
+    # Each queue ends with the place after the last row, which is never taken.
+    ends = np.cumsum(sizes + 1) - 1
+    laid = np.full(len(items) + len(sizes), rows, np.int32)
+    held = np.ones(len(laid), bool)
+    held[ends] = False
+    laid[held] = items
+    at, head = numbers("q", ends - sizes), laid[ends - sizes].tolist()
+    del items, held
+    laid, by_day = numbers("i", laid), numbers("i", by_day)
+    # Queues by name of a row of B: from its first place in ``other`` on.
+    order = np.argsort(name_items, kind="stable")
+    owner, other = name_items[order], (np.repeat(np.arange(len(named)), name_sizes) + offset)[order]
+    others = np.full(rows + 1, -1, np.int32)
+    others[owner[::-1]] = np.arange(len(owner))[::-1]
+    owner, other, others = numbers("i", np.append(owner, -1)), numbers("q", other), numbers("i", others)
+    order = np.argsort(asks[0], kind="stable")
+    who, keys = asks[0][order], asks[1][order]
+    wanted = np.minimum(np.searchsorted(named, keys), max(len(named) - 1, 0))
+    real = named[wanted] == keys if len(named) else np.zeros(len(keys), bool)
+    who, wanted = who[real], wanted[real] + offset
+    del name_items, order, keys
+    gone = bytearray(rows + 1)
+
+    for start in range(0, n, LOOKUP_ROWS):
+        end = min(n, start + LOOKUP_ROWS)
+        mine, near, use = code[start:end], day[start:end].astype(np.int64) - first, dated[start:end]
+        low, high = np.clip(near - days, 0, span), np.clip(near + days + 1, 0, span)
+        looks = []
+        for step in (-1, 0, 1):
+            row = (mine.astype(np.int64) + step) * span
+            looks += [np.where(use, np.searchsorted(found, row + x), 0) for x in (low, high)]
+        some = (looks[0] < looks[1]) | (looks[2] < looks[3]) | (looks[4] < looks[5])
+        named_from, named_to = np.searchsorted(who, (start, end))
+        also: dict[int, list[int]] = defaultdict(list)
+        for i, q in zip(who[named_from:named_to].tolist(), wanted[named_from:named_to].tolist()):
+            also[i].append(q)
+        some[np.array([*also], np.int64) - start] = True
+        asking = np.flatnonzero(some)
+        for i, a0, z0, a1, z1, a2, z2 in zip((asking + start).tolist(), *(x[asking].tolist() for x in looks)):
+            best = min(head[a1:z1]) if a1 < z1 else rows
+            if a0 < z0 and (m := min(head[a0:z0])) < best:
+                best = m
+            if a2 < z2 and (m := min(head[a2:z2])) < best:
+                best = m
+            if i in also:
+                for q in also[i]:
+                    if head[q] < best:
+                        best = head[q]
+            if best == rows:
+                continue
+            mate[i] = best
+            gone[best] = 1
+            q = by_day[best]
+            if q >= 0 and head[q] == best:
+                p = at[q] + 1
+                while gone[laid[p]]:
+                    p += 1
+                at[q], head[q] = p, laid[p]
+            k = others[best]
+            if k >= 0:
+                while owner[k] == best:
+                    q = other[k]
+                    if head[q] == best:
+                        p = at[q] + 1
+                        while gone[laid[p]]:
+                            p += 1
+                        at[q], head[q] = p, laid[p]
+                    k += 1
+    return np.array(mate)
+
+
+def _greedy(days: int):
+    """Each row of side a, in order, takes the first free row of side b it agrees with."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        r, side = t["r"].to_numpy(), t["side"].to_numpy()
+        order = np.lexsort((r, side))
+        if ((np.diff(r[order]) == 0) & (np.diff(side[order]) == 0)).any():
+            # Equal numbers go by what the rule looks at.
+            keys = [(k, "ascending") for k in ("side", "r", "cents", "day", "id", "chk")]
+            order = pc.sort_indices(t, sort_keys=keys).to_numpy()
+        t = t.take(order)
+        r, cents, day = (t[c].to_numpy() for c in ("r", "cents", "day"))
+        n = int((side == A).sum())
+        asks, members = _linked(t, cents, n)
+        mate = _settle(cents, day, n, days, asks, members)
+        mine = np.flatnonzero(mate >= 0)
+        return pa.table({"a_row": r[mine], "b_row": r[mate[mine]]})
+
     return run
 
 
-def _left_over(
-    signatures: DataFrame, members: DataFrame, choice: DataFrame, pairs: DataFrame, sid: str
-) -> tuple[DataFrame, DataFrame]:
-    """What the next round still has to look at.
+def _linked(t: pa.Table, cents: np.ndarray, n: int) -> tuple[Links, Links]:
+    """Places and keys of rows of A and B that share an id or a check number."""
+    values, amount = np.unique(cents, return_inverse=True)
+    asks, members, offset = [], [], 0
+    for name in ("id", "chk"):
+        column = t[name].combine_chunks().dictionary_encode()
+        code, words = column.indices.to_numpy().astype(np.int64), column.dictionary
+        filled = ~pc.equal(words, "").to_numpy(zero_copy_only=False)
+        a_has, b_has = np.zeros(len(words), bool), np.zeros(len(words), bool)
+        a_has[code[:n]], b_has[code[n:]] = True, True
+        shared = (a_has & b_has & filled)[code]
+        mine, theirs = np.flatnonzero(shared[:n]), np.flatnonzero(shared[n:]) + n
+        members.append((theirs, offset + code[theirs] * len(values) + amount[theirs]))
+        for step in (-1, 0, 1):
+            near = np.minimum(np.searchsorted(values, cents[mine] + step), len(values) - 1)
+            found = values[near] == cents[mine] + step
+            asks.append((mine[found], offset + code[mine[found]] * len(values) + near[found]))
+        offset += len(words) * len(values)
+    return tuple(tuple(np.concatenate(x) for x in zip(*some)) for some in (asks, members))
 
-    A signature that found no partner never will, as partners only get fewer,
-    so the tables shrink to what is contested.
+
+# --- long runs
+
+PACKED = "run int, side int, first_r bigint, first_uid bigint, r binary, cents binary, day binary, owner binary, key binary"
+
+
+def _in_row_order(long: DataFrame, days: int) -> DataFrame:
+    """Pairs ``a_row, b_row`` of long runs of amounts, each settled in one task.
+
+    Who takes whom hangs together over the whole run: cut by days, changes went
+    over the cuts for hundreds of turns. So all that can be is done side by side
+    before: partners by name are looked up, rows are sorted and packed as
+    numbers. One task then goes once over the numbers of a run.
     """
-    step = pairs.select(F.col(sid).alias("sid"), F.col("times").alias("_more"))
-    alive = cut(
-        signatures.join(choice.select(F.col(sid).alias("sid")), "sid", "left_semi")
-        .join(step, "sid", "left")
-        .withColumn("taken", F.col("taken") + F.coalesce("_more", F.lit(0)))
-        .drop("_more")
-        .filter("taken < n")
+    names = _names(long).withColumn("h", F.xxhash64("run", "kind", "k"))
+    # Names whose rows are all near are found by their days. Names with one hash can only seem to lie further.
+    far = (
+        names.groupBy("h")
+        .agg(F.min("day").alias("from"), F.max("day").alias("to"), F.min("side").alias("a"), F.max("side").alias("b"))
+        .filter((F.col("a") == A) & (F.col("b") == B) & ((F.col("to") - F.col("from") > days) | (F.col("from") == NO_DAY)))
     )
-    rest = members.join(alive.select("sid", "taken"), "sid").filter("place >= taken").drop("taken")
-    return alive, cut(rest)
+    some, _ = _stored(names.join(far.select("h"), "h", "left_semi"))
+    by = ["run", "kind", "k", "cents"]
+    keys = cut(some.filter(F.col("side") == B).select(*by).distinct().withColumn("key", F.monotonically_increasing_id()))
+    near = F.explode(F.sequence(F.col("cents") - 1, F.col("cents") + 1)).alias("cents")
+    place = ["run", "side", "r", "uid"]
+    asks = some.filter(F.col("side") == A).select(*place, "kind", "k", near)
+    members = some.filter(F.col("side") == B).select(*place, "kind", "k", "cents")
+    links = asks.unionByName(members).join(keys, by).select(*place, "key")
+    none = F.lit(None)
+    stream = long.select(*place, "cents", "day", none.cast("bigint").alias("key")).unionByName(
+        links.select(*place, none.cast("bigint").alias("cents"), none.cast("int").alias("day"), "key")
+    )
+    # A link comes after its row, as nulls come first.
+    packed = stream.repartitionByRange(*place).sortWithinPartitions(*place, "key").mapInArrow(_packed, PACKED)
+    return (
+        packed.repartition("run")
+        .sortWithinPartitions("run", "side", "first_r", "first_uid")
+        .mapInArrow(_unpacked(days), PAIRS)
+    )
+
+
+def _names(long: DataFrame) -> DataFrame:
+    """One row per id and check number of a transaction: ``kind, k`` beside its own columns."""
+    own, check = (
+        long.filter(F.col(c) != "").select("run", "side", "r", "uid", "cents", "day", F.lit(kind).alias("kind"), F.col(c).alias("k"))
+        for kind, c in (("i", "id"), ("c", "chk"))
+    )
+    return own.unionByName(check)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows and links, one row of bytes per batch, run and side."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        run, side, r, uid = (batch[c].to_numpy() for c in ("run", "side", "r", "uid"))
+        starts = np.flatnonzero(np.diff(run, prepend=-1).astype(bool) | np.diff(side, prepend=-1).astype(bool))
+        out = []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+            part = batch.slice(start, end - start)
+            own = part.filter(pc.is_null(part["key"]))
+            link = pc.is_valid(part["key"]).to_numpy(zero_copy_only=False)
+            # -1 is the last row of the piece before.
+            owner = (np.cumsum(~link) - 1)[link].astype(np.int32)
+            out.append({
+                "run": int(run[start]), "side": int(side[start]), "first_r": int(r[start]), "first_uid": int(uid[start]),
+                "r": own["r"].to_numpy().tobytes(), "cents": own["cents"].to_numpy().tobytes(), "day": own["day"].to_numpy().tobytes(),
+                "owner": owner.tobytes(), "key": part["key"].drop_null().to_numpy().tobytes(),
+            })
+        yield pa.RecordBatch.from_pylist(out, schema=_PACKED)
+
+
+_PACKED = pa.schema(
+    [("run", pa.int32()), ("side", pa.int32()), ("first_r", pa.int64()), ("first_uid", pa.int64())]
+    + [(c, pa.binary()) for c in ("r", "cents", "day", "owner", "key")]
+)
+_TYPES = {"r": np.int64, "cents": np.int64, "day": np.int32, "owner": np.int32, "key": np.int64}
+
+
+def _unpacked(days: int):
+    """The rule on whole runs, whose pieces come in row order, A before B."""
+
+    def settle(pieces: dict[str, list[np.ndarray]], n: int) -> Iterator[pa.RecordBatch]:
+        r, owner, key = (np.concatenate(pieces.pop(c)) for c in ("r", "owner", "key"))
+        of_a = owner < n
+        asks, members = (owner[of_a], key[of_a]), (owner[~of_a], key[~of_a])
+        del owner, key
+        mate = _settle(np.concatenate(pieces.pop("cents")), np.concatenate(pieces.pop("day")), n, days, asks, members)
+        for start in range(0, n, LOOKUP_ROWS):
+            theirs = mate[start : start + LOOKUP_ROWS]
+            mine = np.flatnonzero(theirs >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(r[mine + start]), pa.array(r[theirs[mine]])], ["a_row", "b_row"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[str, list[np.ndarray]] = {}
+        now, rows, n = None, 0, 0
+        for batch in batches:
+            for piece in batch.to_pylist():
+                if piece["run"] != now:
+                    if pieces:
+                        yield from settle(pieces, n)
+                    now, rows, n, pieces = piece["run"], 0, 0, {c: [] for c in _TYPES}
+                for c, kind in _TYPES.items():
+                    values = np.frombuffer(piece[c], kind)
+                    pieces[c].append(values + rows if c == "owner" else values)
+                size = len(pieces["r"][-1])
+                rows += size
+                n += size if piece["side"] == A else 0
+        if pieces:
+            yield from settle(pieces, n)
+
+    return run
 
 
 def reconcile(a: DataFrame, b: DataFrame, days: int = 3, row: str = ROW, run_rows: int = RUN_ROWS) -> DataFrame:

@@ -122,3 +122,43 @@ def test_stretches_of_days_as_sequential(spark, monkeypatch, seed, days, run_row
     monkeypatch.setattr(ledger, "_choices", lambda *args: pytest.fail("settled in rounds"))
     got = ledger.match_pairs(frame(spark, a), frame(spark, b), days, run_rows=run_rows).collect()
     assert sorted((r.a_row, r.b_row) for r in got) == sequential(a, b, days)
+
+
+@pytest.mark.parametrize("seed, span", [(11, 300), (12, 1), (13, 12)])
+def test_long_runs_in_one_pass(spark, monkeypatch, seed, span):
+    """A long run needs no round, be its days many or one, and its ids shared over all of them."""
+    rng = random.Random(seed)
+    a, b = side(rng, 200, [0, 1, 2, 700], span), side(rng, 180, [0, 1, 2, 701], span)
+    monkeypatch.setattr(ledger, "_choices", lambda *args: pytest.fail("settled in rounds"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ledger.match_pairs(frame(spark, a), frame(spark, b), run_rows=30).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.a_row, r.b_row) for r in got) == sequential(a, b)
+
+
+def test_runs_too_long_for_a_task_go_through_rounds(spark):
+    rng = random.Random(14)
+    a, b = side(rng, 24, [0, 1, 700, 900], 12), side(rng, 20, [0, 1, 700, 900], 12)
+    got = ledger.match_pairs(frame(spark, a), frame(spark, b), run_rows=4, pass_rows=12).collect()
+    assert sorted((r.a_row, r.b_row) for r in got) == sequential(a, b)
+
+
+@pytest.mark.parametrize("run_rows", [10**6, 2])
+def test_rows_without_a_number_or_with_the_same(spark, run_rows):
+    """They take part: equal numbers are settled in some order, those without one come last."""
+    day = datetime.date(2024, 1, 1)
+    a = [(5, "x", day, 100, ""), (5, "x", day, 100, ""), (None, "", day, 100, "")]
+    b = [(7, "x", day, 100, ""), (7, "x", day, 101, ""), (None, "", day, 100, ""), (1, "", day, 900, "")]
+    got = ledger.match_pairs(frame(spark, a), frame(spark, b), run_rows=run_rows).collect()
+    assert sorted(((r.a_row, r.b_row) for r in got), key=str) == [(5, 7), (5, 7), (None, None)]
+
+
+def test_amounts_far_apart_and_cents_beyond_a_double(spark):
+    """Amounts meet at a cent's distance, however large they are."""
+    day, big = datetime.date(2024, 1, 1), 10**17 + 1
+    a = [(1, "", day, big, ""), (2, "", day, -big, ""), (3, "", day, 0, "")]
+    b = [(4, "", day, big + 2, ""), (5, "", day, big - 1, ""), (6, "", day, -big - 1, ""), (7, "", day, 2, "")]
+    got = ledger.match_pairs(frame(spark, a), frame(spark, b)).collect()
+    assert sorted((r.a_row, r.b_row) for r in got) == [(1, 5), (2, 6)]
