@@ -487,14 +487,16 @@ LOOKUP_ROWS = 65_536
 Links = tuple[np.ndarray, np.ndarray]
 
 
-def _settle(cents: np.ndarray, day: np.ndarray, n: int, days: int, asks: Links, members: Links) -> np.ndarray:
+def _settle(
+    cents: np.ndarray, day: np.ndarray, n: int, days: int, asks: Links, members: Links, twins: dict[int, list[int]] | None = None
+) -> np.ndarray:
     """Places of the rows of B that the first ``n`` rows, those of A, take in order; -1 is none.
 
     The rows of both sides come in row order. Those of B wait in queues by amount
     and day, so a row of A looks at the heads of some ranges of queues. ``asks``
     and ``members`` are places and keys: partners that lie further, by id or check
-    number, wait in a queue for each key. All that grows with the rows is in
-    arrays of numbers.
+    number, wait in a queue for each key. ``twins`` are rows of B that go with
+    another. All that grows with the rows is in arrays of numbers.
     """
     rows = len(day)
     mate = array("i", [-1]) * n
@@ -555,6 +557,24 @@ def _settle(cents: np.ndarray, day: np.ndarray, n: int, days: int, asks: Links,
     del name_items, order, keys
     gone = bytearray(rows + 1)
 
+    def step_on(q: int) -> None:
+        p = at[q] + 1
+        while gone[laid[p]]:
+            p += 1
+        at[q], head[q] = p, laid[p]
+
+    def leave(b: int) -> None:
+        gone[b] = 1
+        q = by_day[b]
+        if q >= 0 and head[q] == b:
+            step_on(q)
+        k = others[b]
+        if k >= 0:
+            while owner[k] == b:
+                if head[other[k]] == b:
+                    step_on(other[k])
+                k += 1
+
     for start in range(0, n, LOOKUP_ROWS):
         end = min(n, start + LOOKUP_ROWS)
         mine, near, use = code[start:end], day[start:end].astype(np.int64) - first, dated[start:end]
@@ -583,23 +603,10 @@ def _settle(cents: np.ndarray, day: np.ndarray, n: int, days: int, asks: Links,
             if best == rows:
                 continue
             mate[i] = best
-            gone[best] = 1
-            q = by_day[best]
-            if q >= 0 and head[q] == best:
-                p = at[q] + 1
-                while gone[laid[p]]:
-                    p += 1
-                at[q], head[q] = p, laid[p]
-            k = others[best]
-            if k >= 0:
-                while owner[k] == best:
-                    q = other[k]
-                    if head[q] == best:
-                        p = at[q] + 1
-                        while gone[laid[p]]:
-                            p += 1
-                        at[q], head[q] = p, laid[p]
-                    k += 1
+            leave(best)
+            if twins and best in twins:
+                for b in twins[best]:
+                    leave(b)
     return np.array(mate)
 
 
@@ -618,13 +625,26 @@ def _greedy(days: int):
         r, cents, day = (t[c].to_numpy() for c in ("r", "cents", "day"))
         n = int((side == A).sum())
         asks, members = _linked(t, cents, n)
-        mate = _settle(cents, day, n, days, asks, members)
+        mate = _settle(cents, day, n, days, asks, members, _twins(r, cents, n))
         mine = np.flatnonzero(mate >= 0)
         return pa.table({"a_row": r[mine], "b_row": r[mate[mine]]})
 
     return run
 
 
+def _twins(r: np.ndarray, cents: np.ndarray, n: int) -> dict[int, list[int]]:
+    """Rows of B with the same number in one run: such a number is taken once."""
+    same = np.flatnonzero((r[n + 1 :] == r[n:-1]) & (r[n:-1] != NO_ROW)) + n
+    if not len(same):
+        return {}
+    values, amount = np.unique(cents, return_inverse=True)
+    run = np.concatenate(([0], np.cumsum(np.diff(values) != 1)))[amount]
+    groups: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for i in np.unique(np.concatenate((same, same + 1))).tolist():
+        groups[int(r[i]), int(run[i])].append(i)
+    return {i: [x for x in places if x != i] for places in groups.values() for i in places}
+
+
 def _linked(t: pa.Table, cents: np.ndarray, n: int) -> tuple[Links, Links]:
     """Places and keys of rows of A and B that share an id or a check number."""
     values, amount = np.unique(cents, return_inverse=True)

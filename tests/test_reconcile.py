@@ -146,13 +146,21 @@ def test_runs_too_long_for_a_task_go_through_rounds(spark):
 
 
 @pytest.mark.parametrize("run_rows", [10**6, 2])
-def test_rows_without_a_number_or_with_the_same(spark, run_rows):
-    """They take part: equal numbers are settled in some order, those without one come last."""
+def test_rows_without_a_number(spark, run_rows):
+    """They take part and come last."""
     day = datetime.date(2024, 1, 1)
-    a = [(5, "x", day, 100, ""), (5, "x", day, 100, ""), (None, "", day, 100, "")]
-    b = [(7, "x", day, 100, ""), (7, "x", day, 101, ""), (None, "", day, 100, ""), (1, "", day, 900, "")]
+    a = [(None, "", day, 100, ""), (5, "x", day, 100, ""), (6, "x", day, 100, "")]
+    b = [(None, "", day, 100, ""), (None, "", day, 100, ""), (7, "x", day, 101, ""), (1, "", day, 900, "")]
     got = ledger.match_pairs(frame(spark, a), frame(spark, b), run_rows=run_rows).collect()
-    assert sorted(((r.a_row, r.b_row) for r in got), key=str) == [(5, 7), (5, 7), (None, None)]
+    assert sorted(((r.a_row, r.b_row) for r in got), key=str) == [(5, 7), (6, None), (None, None)]
+
+
+def test_a_number_of_b_is_taken_once(spark):
+    day = datetime.date(2024, 1, 1)
+    a = [(1, "", day, 100, ""), (2, "", day, 100, ""), (2, "", day, 100, ""), (3, "c", None, 101, "")]
+    b = [(7, "", day, 100, ""), (7, "c", day, 101, ""), (8, "", day, 101, ""), (7, "", day, 900, "")]
+    got = ledger.match_pairs(frame(spark, a), frame(spark, b)).collect()
+    assert sorted((r.a_row, r.b_row) for r in got) == [(1, 7), (2, 8)]
 
 
 def test_amounts_far_apart_and_cents_beyond_a_double(spark):
